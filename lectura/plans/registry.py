@@ -42,7 +42,9 @@ def with_ctes(sql: str) -> str:
                 visit(CTES[name])
 
     visit(sql)
-    definitions = [f"{n} AS ({CTES[n].strip()})" for n in CTES if n in needed]
+    # A definition that names itself is recursive and cannot be materialized ahead.
+    kind = lambda n: "" if re.search(rf"\b{n}\b", CTES[n]) else "MATERIALIZED "
+    definitions = [f"{n} AS {kind(n)}({CTES[n].strip()})" for n in CTES if n in needed]
     body = sql.strip()
     if not definitions:
         return body
