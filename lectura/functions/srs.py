@@ -133,7 +133,7 @@ def answer(card: Column, grade: Column, now_us: Column) -> Column:
     days = F.when(fresh, F.lit(0)).otherwise(
         (F.floor(now_us / DAY_US) - F.floor(card["last_review"] / DAY_US)).cast("int")
     )
-    recall = F.pow(1 + FACTOR * days / card["stability"], F.lit(DECAY))
+    recall = F.when(fresh, F.lit(1.0)).otherwise(F.pow(1 + FACTOR * days / card["stability"], F.lit(DECAY)))
 
     def with_recall(m: Column) -> Column:
         started = F.array(*[F.lit(w) for w in W[:4]])

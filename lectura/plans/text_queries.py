@@ -241,9 +241,9 @@ def _shaped(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return T.shape_tokens(S.full_tokens(spark, sf), lexicon), lexicon
 
 
-@query("t3_shape_tokens", "SELECT * FROM shaped")
+@query("t3_shape_tokens", "SELECT * REPLACE (coalesce(ws, false) AS ws) FROM shaped")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _shaped(spark, sf)[0]
+    return _shaped(spark, sf)[0].withColumn("ws", F.coalesce("ws", F.lit(False)))
 
 
 @query("t4_is_tappable", """

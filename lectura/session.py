@@ -25,6 +25,7 @@ def local_session(cores: str = "8", app: str = "lectura", **conf: str) -> SparkS
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.log.level", "ERROR")
     )
     for key, value in conf.items():

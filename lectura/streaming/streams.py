@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from lectura.functions import srs
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-CARD_STATE = srs.STATE_TYPE.removeprefix("struct<").removesuffix(">")
+CARD_STATE = srs.STATE_TYPE.removeprefix("struct<").removesuffix(">").replace(":", " ")
 
 
 class CardProcessor(StatefulProcessor):
@@ -23,9 +23,6 @@ class CardProcessor(StatefulProcessor):
     same card. The waiting list holds the answers of one card inside one watermark delay.
     """
 
-    def __init__(self, key_types: tuple[str, str]):
-        self.key_types = key_types
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.card = handle.getValueState("card", CARD_STATE)
@@ -73,9 +70,9 @@ def stream_card_state(reviews: DataFrame, delay: str = "1 hour") -> DataFrame:
         .filter(F.col("g").isNotNull())
     )
     types = dict(prepared.dtypes)
-    schema = f"user_id {types['user_id']}, lemma_id {types['lemma_id']}, " + CARD_STATE.replace(":", " ").replace(",", ", ")
+    schema = f"user_id {types['user_id']}, lemma_id {types['lemma_id']}, " + CARD_STATE
     return prepared.groupBy("user_id", "lemma_id").transformWithStateInPandas(
-        statefulProcessor=CardProcessor((types["user_id"], types["lemma_id"])),
+        statefulProcessor=CardProcessor(),
         outputStructType=schema, outputMode="Update", timeMode="EventTime",
     )
 
