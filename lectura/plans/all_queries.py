@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from lectura.plans import ctes, event_queries, study_queries, text_queries  # noqa: F401
+from lectura.plans import bundle_queries, ctes, event_queries, song_queries, study_queries, text_queries  # noqa: F401
 from lectura.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -522,10 +522,10 @@ def _review_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_CLOSED = "(SELECT max(ts) FROM ev{where}) - INTERVAL {delay}"
-
-
-@query("w1_stream_card_state")
+@query("w1_stream_card_state", """
+    SELECT f.user_id, f.lemma_id, s AS stability, d AS difficulty, reps, lapses, state
+    FROM folded f JOIN (SELECT user_id, lemma_id, count(*) AS n FROM answers WHERE us // 1000 <= (SELECT max(us) // 1000 FROM answers) - 3600000 GROUP BY ALL) c
+      ON c.user_id = f.user_id AND c.lemma_id = f.lemma_id AND f.i = c.n""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Newest state per card after the stream; equals the batch replay up to the watermark."""
     out = W.run_to_table(W.stream_card_state(_review_stream(spark, sf)), shared_folder(spark, "cards"), "update")
