@@ -116,24 +116,19 @@ def candidate_pairs(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
     either side occurs in the other. Words that many titles share never form a block of their own,
     and any pair where one side's words contain the other's is found.
     """
-    mine = _blocked(tracks)
+    # Which side must hold the rare word, for the artist and the title: one join answers all four.
+    pick = lambda cases: F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in cases.items()])))
+    artist, title, always = F.col("a_rare"), F.col("t_rare"), F.lit(True)
+    mine = _blocked(tracks).select(
+        "artist_key", "title_key", "aw", "tw",
+        pick({"mm": artist & title, "mo": artist, "om": title, "oo": always}).alias("_sides"),
+    )
     other = _blocked(catalog).select(
-        F.col("artist_key").alias("other_artist_key"), F.col("title_key").alias("other_title_key"),
-        "aw", "tw", F.col("a_rare").alias("oa_rare"), F.col("t_rare").alias("ot_rare"),
+        F.col("artist_key").alias("other_artist_key"), F.col("title_key").alias("other_title_key"), "aw", "tw",
+        pick({"mm": always, "mo": title, "om": artist, "oo": artist & title}).alias("_sides"),
     )
     columns = ["artist_key", "title_key", "other_artist_key", "other_title_key"]
-    found = None
-    for artist_side in ("a_rare", "oa_rare"):
-        for title_side in ("t_rare", "ot_rare"):
-            left, right = mine, other
-            for flag in (artist_side, title_side):
-                if flag.startswith("o"):
-                    right = right.filter(flag)
-                else:
-                    left = left.filter(flag)
-            pairs = left.join(right, ["aw", "tw"]).select(*columns)
-            found = pairs if found is None else found.union(pairs)
-    return found.distinct()
+    return mine.join(other, ["aw", "tw", "_sides"]).select(*columns).distinct()
 
 
 def score_matches(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -177,39 +172,38 @@ def match_verdict(score: Column) -> Column:
 def match_ladder(tracks: DataFrame, catalog: DataFrame, manual: DataFrame | None = None) -> DataFrame:
     """Stage and catalog row per track.
 
-    Stages: text given by the user, all fields equal, title and artist equal, scored, none. An
-    instrumental match ends as ``no_lyrics``. Each stage sees only what the stages before left.
+    Stages: text given by the user, all fields equal, title and artist equal, scored, none. Only
+    what the equal-key stages leave open is scored. An instrumental match ends as ``no_lyrics``.
     """
-    def on(keys: list[str], stage: str) -> DataFrame:
-        rows = catalog.groupBy(*keys).agg(F.min("lyric_id").alias("lyric_id"))
-        return open_.join(rows, keys).select("track_id", "lyric_id", F.lit(stage).alias("stage"))
+    def rows(keys: list[str], name: str) -> DataFrame:
+        return catalog.groupBy(*keys).agg(F.min("lyric_id").alias(name))
 
-    columns = ["track_id", "lyric_id", "stage"]
-    open_ = tracks
-    results = []
+    names, fields = ["artist_key", "title_key"], ["artist_key", "title_key", "album", "duration_sec"]
+    looked = tracks.join(rows(fields, "_full"), fields, "left").join(rows(names, "_named"), names, "left")
+    given = F.lit(False)
     if manual is not None:
-        given = tracks.join(manual.select("track_id").distinct(), "track_id", "left_semi")
-        results.append(given.select("track_id", F.lit(None).cast("long").alias("lyric_id"), F.lit("manual").alias("stage")))
-        open_ = open_.join(manual.select("track_id").distinct(), "track_id", "left_anti")
-    full = on(["artist_key", "title_key", "album", "duration_sec"], "exact")
-    open_ = open_.join(full.select("track_id"), "track_id", "left_anti")
-    named = on(["artist_key", "title_key"], "title_artist")
-    open_ = open_.join(named.select("track_id"), "track_id", "left_anti")
-    scored = score_matches(open_, catalog).filter(F.col("verdict") != "reject").select(
-        "track_id", "lyric_id",
-        F.when(F.col("verdict") == "accept", "scored").otherwise("scored_manual").alias("stage"),
-    )
-    none = open_.join(scored.select("track_id"), "track_id", "left_anti").select(
-        "track_id", F.lit(None).cast("long").alias("lyric_id"), F.lit("none").alias("stage")
-    )
-    for part in (full, named, scored, none):
-        results.append(part.select(*columns))
-    out = results[0]
-    for part in results[1:]:
-        out = out.union(part)
-    flags = catalog.select("lyric_id", "instrumental")
-    return out.join(flags, "lyric_id", "left").select(
-        *columns,
+        marks = manual.select("track_id").distinct().withColumn("_given", F.lit(True))
+        looked = looked.join(marks, "track_id", "left")
+        given = F.coalesce("_given", F.lit(False))
+    stage = (
+        F.when(given, "manual").when(F.col("_full").isNotNull(), "exact")
+        .when(F.col("_named").isNotNull(), "title_artist")
+    )
+    looked = looked.withColumn("_stage", stage)
+    scored = score_matches(looked.filter(F.col("_stage").isNull()), catalog).filter(
+        F.col("verdict") != "reject"
+    ).select(
+        "track_id", F.col("lyric_id").alias("_scored"),
+        F.when(F.col("verdict") == "accept", "scored").otherwise("scored_manual").alias("_how"),
+    )
+    found = looked.select("track_id", "_stage", "_full", "_named").join(scored, "track_id", "left").select(
+        "track_id",
+        F.when(F.col("_stage") == "exact", F.col("_full")).when(F.col("_stage") == "title_artist", F.col("_named"))
+        .when(F.col("_stage").isNull(), F.col("_scored")).alias("lyric_id"),
+        F.coalesce("_stage", "_how", F.lit("none")).alias("stage"),
+    )
+    return found.join(catalog.select("lyric_id", "instrumental"), "lyric_id", "left").select(
+        "track_id", "lyric_id", "stage",
         F.when(F.col("stage") == "none", "no_lyrics")
         .when(F.coalesce("instrumental", F.lit(False)), "no_lyrics")
         .when(F.col("stage") == "scored_manual", "review").otherwise("lyrics").alias("outcome"),
