@@ -448,7 +448,7 @@ CTES["sizes"] = """
 
 def _sizes(spark: SparkSession, sf: str) -> DataFrame:
     """Books whose lexicon is not stored show zero."""
-    lexicon = V.lexicon_counts(S.counts(spark, sf)).filter(~F.endswith("book_id", F.lit("9")))
+    lexicon = V.lexicon_counts(S.counts_once(spark, sf)).filter(~F.endswith("book_id", F.lit("9")))
     return L.lexicon_sizes(S.books(spark, sf), lexicon)
 
 

@@ -166,7 +166,7 @@ CTES["langs"] = rf"""
     SELECT d.doc_id, l.language, l.confidence, CASE WHEN l.confidence >= 0.8 AND l.language = 'es' THEN 'accept' WHEN l.confidence >= 0.8 THEN 'reject' ELSE 'review' END AS route
     FROM documents d LEFT JOIN langs l USING (doc_id)""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return X.language_gate(S.table(spark, sf, "documents").select("doc_id", "text"), S.stop_words(spark))
+    return X.language_gate(S.documents(spark, sf).select("doc_id", "text"), S.stop_words(spark))
 
 
 @query("x9_to_stanzas", r"""
@@ -296,7 +296,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("x18_distinct_senses", """
     SELECT lemma, pos, count(DISTINCT chapter_index) AS tracks, sum(n)::BIGINT AS uses, min(chapter_index) AS first_track FROM counts GROUP BY ALL""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return X.distinct_senses(S.counts(spark, sf).withColumnRenamed("chapter_index", "track_id"))
+    return X.distinct_senses(S.counts_once(spark, sf).withColumnRenamed("chapter_index", "track_id"))
 
 
 _ELISIONS = [("th", "the"), ("ou", "out"), ("pa", "para"), ("na", "nada"), ("an", "and"), ("ch", "ach")]

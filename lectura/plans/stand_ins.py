@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lectura import constants as K
 from lectura.operators import tokens as T
 from lectura.operators import vocab as V
+from lectura.session import spread, stored
 
 RANKED_LEMMAS = 100
 GRADE_OF = {"error": "again", "view": "hard", "click": "good", "purchase": "easy"}
@@ -38,8 +39,12 @@ def forms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "form string, lemma string, pos string")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_index"),
         F.posexplode(F.split("text", "\n")).alias("paragraph_index", "text"),
     ).filter(F.col("text") != "")
@@ -54,10 +59,16 @@ def full_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.annotate(T.mark_first_words(T.tokenize(paragraphs(spark, sf_dir))), forms(spark))
 
 
-def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def counts_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word counts for a plan that reads them once."""
     return V.count_words(word_tokens(spark, sf_dir))
 
 
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word counts, stored: the hub of every plan that uses them more than once."""
+    return stored(counts_once(spark, sf_dir), "counts")
+
+
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapter facts that need no tokens."""
     return table(spark, sf_dir, "documents").select(
@@ -107,7 +118,7 @@ def with_gloss_columns(lexicon: DataFrame) -> DataFrame:
 
 
 def lexicon(counted: DataFrame) -> DataFrame:
-    return with_gloss_columns(V.with_zipf(V.build_lexicon(counted)))
+    return stored(with_gloss_columns(V.with_zipf(V.build_lexicon(counted))), "lexicon")
 
 
 def unkeyed_lexicon(counted: DataFrame) -> DataFrame:
@@ -231,7 +242,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_extract(url, r"^https?://[^/]+/([a-z]+)/([0-9]+)", 1)
     number = F.regexp_extract(url, r"^https?://[^/]+/([a-z]+)/([0-9]+)", 2)
     secure, mobile = F.startswith(url, F.lit("https:")), F.contains(url, F.lit("://m."))
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages"), "page_id").select(
         F.regexp_extract(url, "^https?://([^/]+)", 1).alias("book_id"), F.col("page_id").alias("doc_ord"),
         F.concat(path, F.lit("-"), number, F.lit(".xhtml")).alias("doc_name"),
         F.when(mobile, "application/x-dtbncx+xml").when(secure, "application/xhtml+xml").otherwise("text/html").alias("media_type"),
@@ -270,7 +281,7 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lyric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as lyrics: a turn is a stanza, its lines the lines."""
-    return table(spark, sf_dir, "conversations").select(
+    return spread(table(spark, sf_dir, "conversations"), "conv_id").select(
         F.col("conv_id").alias("track_id"), F.col("turn").alias("stanza_index"),
         F.posexplode(F.split("text", "\n")).alias("line_index", "text"),
     ).filter(F.trim("text") != "")

@@ -115,7 +115,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("c1_closed_class", f"SELECT book_id, pos, pos IN {CLOSED} AS closed, count(*) AS n FROM lex0 GROUP BY ALL")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return V.lexicon_counts(S.counts(spark, sf)).groupBy(
+    return V.lexicon_counts(S.counts_once(spark, sf)).groupBy(
         "book_id", "pos", F.col("pos").isin(*K.CLOSED_CLASS_POS).alias("closed")
     ).agg(F.count(F.lit(1)).alias("n"))
 
@@ -525,7 +525,7 @@ _OUTCOME = "CASE length(lemma) % 5 WHEN 0 THEN 'cache' WHEN 1 THEN 'answered' WH
     FROM (SELECT book_id, {_OUTCOME} AS o FROM lex0) GROUP BY ALL""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     outcomes = F.array(*[F.lit(o) for o in ("cache", "answered", "rejected", "unanswered", "cut")])
-    log = V.lexicon_counts(S.counts(spark, sf)).select(
+    log = V.lexicon_counts(S.counts_once(spark, sf)).select(
         "book_id", "lemma", F.element_at(outcomes, F.length("lemma") % 5 + 1).alias("outcome")
     )
     return R.gloss_run_stats(log)

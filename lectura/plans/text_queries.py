@@ -13,6 +13,7 @@ from lectura.operators import vocab as V
 from lectura.plans import stand_ins as S
 from lectura.plans.ctes import CLOSED
 from lectura.plans.registry import CTES, query
+from lectura.session import stored
 
 # Markup removal as SQL; one definition for all page queries.
 CTES["prose"] = r"""
@@ -51,7 +52,7 @@ _HEADING = r"(?is)<h[1-6](?:\s[^>]*)?>(.*?)</h[1-6]\s*>"
 @query("p1_normalize_text", r"""
     SELECT doc_id, trim(regexp_replace(replace(text, chr(173), ''), '[\t-\r\x1c-\x20\x85\p{Z}]+', ' ', 'g')) AS clean FROM documents""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return S.table(spark, sf, "documents").select("doc_id", X.normalize_text(F.col("text")).alias("clean"))
+    return S.documents(spark, sf).select("doc_id", X.normalize_text(F.col("text")).alias("clean"))
 
 
 @query("p2_html_to_paragraphs", "SELECT doc_ord, paragraph_index, text FROM page_paras")
@@ -237,7 +238,7 @@ CTES["shaped"] = """
 
 
 def _shaped(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    lexicon = V.build_lexicon(S.counts(spark, sf))
+    lexicon = stored(V.build_lexicon(S.counts(spark, sf)), "lexicon")
     return T.shape_tokens(S.full_tokens(spark, sf), lexicon), lexicon
 
 
@@ -294,7 +295,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     SELECT book_id, key, lemma, pos FROM lexk WHERE (book_id, key) IN (SELECT book_id, key FROM vocab JOIN readings USING (book_id, chapter_index))""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     counted = S.counts(spark, sf)
-    lexicon = V.build_lexicon(counted)
+    lexicon = stored(V.build_lexicon(counted), "lexicon")
     opened = S.readings(spark, sf).select("book_id", "chapter_index").distinct()
     keys = V.chapter_vocabulary(counted, lexicon).join(opened, ["book_id", "chapter_index"], "left_semi")
     return T.lexicon_slice(lexicon, keys).select("book_id", "key", "lemma", "pos")
@@ -321,7 +322,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("v3_proper_nouns", "SELECT DISTINCT book_id, lemma FROM counts WHERE pos = 'PROPN'")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return V.proper_nouns(S.counts(spark, sf))
+    return V.proper_nouns(S.counts_once(spark, sf))
 
 
 @query("v4_zipf", "SELECT book_id, lemma, pos, zipf FROM lex0 JOIN zipfs USING (lemma)")
@@ -370,7 +371,7 @@ def _gloss_candidates(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.lit(lang).alias("language"), F.lit(s).alias("source"), F.lit(e).alias("every"))
         for lang in ("de", "en") for s, e in rows
     ])
-    lemmas = V.lexicon_counts(S.counts(spark, sf)).select("lemma", "pos").distinct()
+    lemmas = V.lexicon_counts(S.counts_once(spark, sf)).select("lemma", "pos").distinct()
     return lemmas.select("lemma", "pos", F.explode(layers).alias("c")).filter(
         F.length("lemma") % F.col("c.every") == 0
     ).select("lemma", "pos", "c.language", "c.source", F.concat_ws(":", "c.language", "c.source", "lemma").alias("gloss"))
