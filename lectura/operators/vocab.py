@@ -73,17 +73,21 @@ def proper_nouns(counts: DataFrame) -> DataFrame:
     return counts.filter(F.col("pos") == "PROPN").select("book_id", "lemma").distinct()
 
 
+def corpus_zipf(lexicon: DataFrame) -> DataFrame:
+    """(lemma, zipf) estimated from the corpus itself: log10(1e9 · n / N)."""
+    total = lexicon.agg(F.sum("book_count")).scalar()
+    return lexicon.groupBy("lemma").agg(
+        F.log10(F.lit(1e9) * F.sum("book_count") / total).alias("zipf")
+    )
+
+
 def with_zipf(lexicon: DataFrame, freq: DataFrame | None = None) -> DataFrame:
     """Zipf frequency per lemma, two decimals, 0.0 where unseen.
 
-    With ``freq(lemma, zipf)`` a lookup; without it the corpus itself: log10(1e9 · n / N).
+    ``freq(lemma, zipf)`` is a lookup table; without it the corpus is counted.
     """
-    if freq is None:
-        total = lexicon.agg(F.sum("book_count")).scalar()
-        freq = lexicon.groupBy("lemma").agg(
-            F.log10(F.lit(1e9) * F.sum("book_count") / total).alias("zipf")
-        )
-    return lexicon.join(freq.select("lemma", "zipf"), "lemma", "left").withColumn(
+    found = corpus_zipf(lexicon) if freq is None else freq
+    return lexicon.join(found.select("lemma", "zipf"), "lemma", "left").withColumn(
         "zipf", F.coalesce(F.round("zipf", 2), F.lit(0.0))
     )
 

@@ -118,7 +118,8 @@ def with_gloss_columns(lexicon: DataFrame) -> DataFrame:
 
 
 def lexicon(counted: DataFrame) -> DataFrame:
-    return stored(with_gloss_columns(V.with_zipf(V.build_lexicon(counted))), "lexicon")
+    freq = V.corpus_zipf(V.lexicon_counts(counted))
+    return stored(with_gloss_columns(V.with_zipf(V.build_lexicon(counted), freq)), "lexicon")
 
 
 def unkeyed_lexicon(counted: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from lectura.operators import vocab as V
 from lectura.plans import stand_ins as S
 from lectura.plans.ctes import CLOSED, TIME
 from lectura.plans.registry import CTES, query
+from lectura.session import stored
 
 
 class Study:
@@ -24,7 +25,7 @@ class Study:
         self.counts = S.counts(spark, sf)
         self.lexicon = S.lexicon(self.counts)
         self.vocab = V.chapter_vocabulary(self.counts, self.lexicon)
-        words = S.word_of_rank(self.counts)
+        words = stored(S.word_of_rank(self.counts), "words")
         self.cards = S.cards(spark, sf, words)
         self.marks = S.known_lemmas(spark, sf, words)
         self.known, self.carded = N.known_state(self.cards, self.marks)
