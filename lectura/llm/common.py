@@ -24,24 +24,21 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long")
 
 
-def numbered(rows: DataFrame, key: list[str], order: list[str], out: str, spread: str = "doc_id", parts: int = 256) -> DataFrame:
-    """Add `out`: a gapless number from 0 inside each `key`, the same in every run.
+def numbered(rows: DataFrame, key: str, order: list[str], out: str, spread: str, parts: int) -> DataFrame:
+    """Add `out`: a gapless number from 0 inside each `key` (a column without nulls), the same in every run.
 
     No window holds a whole key: rows are numbered inside (key, hash of `spread`), and each such part is shifted
-    by the aggregated sizes of the parts before it. Rows that agree in `order` may swap numbers. `rows` is read
-    twice, so hand in a stored table.
+    by the sizes of the parts before it. Give as many `parts` as a large key needs to be sorted in pieces. Rows that
+    agree in `order` may swap numbers. `rows` is read twice, so hand in a stored table.
     """
     cut = rows.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(parts)))
-    by_part = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    by_part = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = (
-        cut.groupBy(*key, "_part").agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(by_part), F.lit(0)))
-        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("_part").alias("_p"), "_before")
+        cut.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(by_part), F.lit(0))).drop("_n")
     )
-    inside = cut.withColumn("_nr", F.row_number().over(Window.partitionBy(*key, "_part").orderBy(*order)))
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)] + [F.col("_part") == F.col("_p")]
-    joined = inside.join(before, same)
-    return joined.select(*rows.columns, (F.col("_before") + F.col("_nr") - 1).cast("long").alias(out))
+    inside = cut.withColumn("_nr", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)))
+    return inside.join(before, [key, "_part"]).select(*rows.columns, (F.col("_before") + F.col("_nr") - 1).cast("long").alias(out))
 
 
 def ship(spark: SparkSession) -> SparkSession:

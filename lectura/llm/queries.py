@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, mixing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +39,57 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha AS text_sha256
 """)
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query(r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, source, md5('20:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
+    FROM documents
+), s AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+           CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
+    FROM d GROUP BY source
+), fill(source, source_size, w, clamped, round) AS (
+    SELECT source, source_size, w, false, 0 FROM s
+    UNION ALL
+    SELECT source, source_size, w, clamped OR share > 3 * source_size, round + 1
+    FROM (
+        SELECT *, w * ((sum(source_size) OVER () - coalesce(sum(3 * source_size) FILTER (clamped) OVER (), 0))
+                       / CAST(sum(w) FILTER (NOT clamped) OVER () AS DOUBLE)) AS share,
+               count(*) OVER () AS n
+        FROM fill
+    ) WHERE round < n
+), shares AS (
+    SELECT source, source_size,
+           CASE WHEN clamped THEN CAST(3 * source_size AS DOUBLE)
+                ELSE w * ((sum(source_size) OVER () - coalesce(sum(3 * source_size) FILTER (clamped) OVER (), 0))
+                          / CAST(sum(w) FILTER (NOT clamped) OVER () AS DOUBLE)) END AS target
+    FROM fill WHERE round = (SELECT max(round) FROM fill)
+), t AS (
+    SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM shares
+), p AS (
+    SELECT d.doc_id, d.size, t.source_size, t.target, t.whole,
+           CAST(floor(t.target + 0.5) AS BIGINT) - t.whole * t.source_size AS rest,
+           coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), m AS (
+    SELECT *, CAST(greatest(0, least(size, rest - before)) AS BIGINT) AS more FROM p
+)
+SELECT doc_id, size, source_size, target, CAST(size * whole + more AS BIGINT) AS taken,
+       CAST(whole + CASE WHEN more > 0 AND more * 2 >= size THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM m
+""")
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
