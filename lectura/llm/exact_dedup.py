@@ -77,7 +77,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     """
     rows = recipes(docs)
     stays = F.min(F.struct((-F.col("n_points")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id"))
-    groups = rows.groupBy("recipe").agg(F.count("*").alias("group_size"), stays.alias("keep"))
+    groups = stored(rows.groupBy("recipe").agg(F.count("*").alias("group_size"), stays.alias("keep")), "recipe-groups")
     return rows.join(groups, "recipe").select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size",
         (F.col("row_id") == F.col("keep.row_id")).alias("kept"), "text_sha256", "n_points",
