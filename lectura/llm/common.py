@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +26,40 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long")
 
 
+def map_rows(rows: DataFrame, make: Callable[..., dict], fields: str, use: list[str], keep: list[str]) -> DataFrame:
+    """The columns `keep` as they are, and new columns that `make` computes from the columns `use`, batch by batch.
+
+    `make` gets one list per column of `use` and gives a dict of new columns; a key `at` says from which row of the
+    batch each new row comes, else there is one per row. Values stay in Arrow, so that large ids and nulls survive.
+    """
+    ship(rows.sparkSession)
+    new = _fields(rows, fields)
+    schema = rows.select(*keep).schema
+    for field in new:
+        schema = schema.add(field)
+    types = [_arrow(f.dataType) for f in new]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = make(*(batch.column(c).to_pylist() for c in use))
+            at = made.pop("at", None)
+            kept = [batch.column(k) if at is None else batch.column(k).take(pa.array(at, pa.int64())) for k in keep]
+            columns = [pa.array(made[f.name], t) for f, t in zip(new, types)]
+            yield pa.RecordBatch.from_arrays(kept + columns, names=[*keep, *(f.name for f in new)])
+
+    return rows.select(*dict.fromkeys([*keep, *use])).mapInArrow(run, schema)
+
+
+def _fields(rows: DataFrame, fields: str):
+    return rows.sparkSession.createDataFrame([], fields).schema.fields
+
+
+def _arrow(kind) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
+
+
 def numbered(rows: DataFrame, key: str, order: list[str], out: str, spread: str, parts: int) -> DataFrame:
     """Add `out`: a gapless number from 0 inside each `key` (a column without nulls), the same in every run.
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lectura.session import stored
 
-from .common import ship, whole_text
+from .common import map_rows, ship, whole_text
 from .components import components
 
 SHINGLE = 3
@@ -51,15 +51,11 @@ def fingerprint(text: str, width: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint) of every row, as a signed 64-bit number, stored."""
-    ship(docs.sparkSession)
+    def of_texts(texts: list[str]) -> dict:
+        return {"fingerprint": np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)}
 
-    def of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            made = np.array([fingerprint(t) for t in rows["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "fingerprint": made})
-
-    schema = docs.select("doc_id").schema.add("fingerprint", "long")
-    return stored(docs.select("doc_id", whole_text(docs).alias("text")).mapInPandas(of_batches, schema), "fingerprints")
+    texts = docs.select("doc_id", whole_text(docs).alias("text"))
+    return stored(map_rows(texts, of_texts, "fingerprint long", ["text"], ["doc_id"]), "fingerprints")
 
 
 # --- the trie inside one task -----------------------------------------------------------------------------------------

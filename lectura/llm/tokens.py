@@ -2,8 +2,8 @@
 
 Both tokenizers cut a text into pre-tokens that they then encode independently of each other. Texts repeat their
 words, so each worker remembers the ids of the units between blanks and of the pre-tokens, in two generations of
-bounded size. A text with characters or spacing for which that shortcut has not been shown to be the same goes
-through the tokenizer as a whole.
+bounded size. A text with characters for which that shortcut has not been shown to be the same goes through the
+tokenizer as a whole.
 """
 
 from __future__ import annotations
@@ -88,7 +88,7 @@ class Encoder:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode_bytes(self, text: str) -> bytes:
-        if SPECIAL in text or not text.isascii() and UNUSUAL.search(text) or text.isascii() and not text.isprintable() and UNUSUAL.search(text):
+        if SPECIAL in text or not (text.isascii() and text.isprintable()) and UNUSUAL.search(text):
             return self.encode_whole(text)
         if self.lower:
             units = text.lower().split()
@@ -96,7 +96,7 @@ class Encoder:
             # A blank between two other characters always starts a pre-token, so texts fall apart there.
             first, *rest = text.split(" ")
             if "" in rest or not first:
-                return self.encode_whole(text)
+                return self._unit(text)
             units = chain((first,), map(" ".__add__, rest))
         ids = b"".join(map(self.units.__getitem__, units))
         self.units.tidy()
