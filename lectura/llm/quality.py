@@ -1,6 +1,6 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-A document has one score, the mean of weights that its words hash to, and ordered thresholds cut the scores into
+A document has one score, the mean of the weights that its distinct words hash to and the weights of its look, and ordered thresholds cut the scores into
 grades: P(grade <= k) = sigmoid(threshold_k - score). All grades share the weights, so a rating of any grade teaches
 all of them. From the fitted law follow a document's expected grade and the chance that it reaches a grade.
 """
@@ -17,11 +17,15 @@ from pyspark.sql import functions as F
 from .common import map_rows, whole_text
 
 BITS = 18
-SCALE = 20.0  # a word that makes up all of a text has this value
+SCALE = 80.0  # a text's distinct words share this value
+LEAST_WORDS = 200  # shorter texts do not give their words more than longer ones
+TEXT_VALUE = 10.0  # of a feature of the whole text
 SAMPLE = 6000  # rated documents used to fit, at most; those with the smallest hashed id
-STEPS, RATE, DECAY = 300, 0.05, 1e-5
+RARE = 1 / 300  # of the sample: places in fewer texts than this, at most MOST_RARE, get no weight
+MOST_RARE = 20
+STEPS, RATE, DECAY = 300, 0.2, 3e-5
 GRADES = 3  # 0 toxic, 1 low quality, 2 good
-KEEP_GRADE, KEEP_CHANCE = 2, 0.5
+KEEP_GRADE, KEEP_CHANCE = 2, 0.6
 WORDS_KEPT = 300_000
 
 _END = re.compile(rb"[^0-9A-Za-z\x80-\xff]+$")
@@ -42,20 +46,28 @@ def word_places(word: bytes) -> tuple[int, ...]:
     return tuple(zlib.crc32(m) & mask for m in marks)
 
 
-def pair_places(words: list[bytes]) -> tuple[int, float]:
-    """A feature of the whole text: how often a word follows itself, and the place of that feature."""
-    same = sum(a == b for a, b in zip(words, words[1:]))
-    return zlib.crc32(b"r") & ((1 << BITS) - 1), same / max(1, len(words))
+def text_places(words: list[bytes]) -> list[int]:
+    """Where the look of a whole text hashes to: bands of four shares of its words."""
+    n = max(1, len(words))
+    shares = (
+        sum(a == b for a, b in zip(words, words[1:])) / n,
+        len(set(words)) / n,
+        sum(w.isupper() for w in words) / n,
+        sum(not w[-1:].isalnum() and w[-1:] < b"\x80" and w[-1:] not in b".,;:?" for w in words) / n,
+    )
+    band = len(words).bit_length() // 3  # texts of other lengths repeat other shares of their words
+    return [zlib.crc32(b"t%d %d %d" % (k, int(10 * s), band if k == 1 else 0)) & ((1 << BITS) - 1) for k, s in enumerate(shares)]
 
 
 def features(text: str) -> tuple[list[int], list[float]]:
     words = text.encode().split()
+    distinct = set(words)
     value: dict[int, float] = {}
-    for word in words:
+    for word in sorted(distinct):
         for place in word_places(word):
-            value[place] = value.get(place, 0.0) + SCALE / len(words)
-    place, share = pair_places(words)
-    value[place] = value.get(place, 0.0) + SCALE * share
+            value[place] = value.get(place, 0.0) + SCALE / max(len(distinct), LEAST_WORDS)
+    for place in text_places(words):
+        value[place] = value.get(place, 0.0) + TEXT_VALUE
     return list(value), list(value.values())
 
 
@@ -69,6 +81,8 @@ class Ordinal:
     def fit(cls, rows: np.ndarray, places: np.ndarray, values: np.ndarray, grades: np.ndarray, n_grades: int = GRADES) -> "Ordinal":
         """Adam on the mean log-likelihood. Thresholds are a first one and the logarithms of the gaps, so their order holds."""
         n, size = len(grades), 1 << BITS
+        common = np.bincount(places, minlength=size)[places] >= min(MOST_RARE, n * RARE)
+        rows, places, values = rows[common], places[common], values[common]
         params = np.zeros(size + n_grades - 1)
         share = np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] + 0.5
         start = np.log(share / (n + 1 - share))
@@ -105,11 +119,12 @@ class Ordinal:
             words = text.encode().split()
             if len(known) > WORDS_KEPT:
                 known.clear()
-            for word in set(words).difference(known):
-                known[word] = float(weights[list(word_places(word))].sum())
-            place, share = pair_places(words)
-            total = sum(map(known.__getitem__, words)) / len(words) if words else 0.0
-            return SCALE * (total + share * float(weights[place]))
+            distinct = sorted(set(words))
+            for word in distinct:
+                if word not in known:
+                    known[word] = float(weights[list(word_places(word))].sum())
+            mean = sum(map(known.__getitem__, distinct)) / max(len(distinct), LEAST_WORDS)
+            return SCALE * mean + TEXT_VALUE * float(weights[text_places(words)].sum())
 
         return score
 
@@ -129,10 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     Features are made where the texts are; the driver gets the sample's, whose number is the bound times the words of a
     document. Without any rated document all weights are 0 and every document is equally likely to have any grade.
     """
-    from pyspark.sql.functions import broadcast
-
     chosen = ratings(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rated = docs.select("doc_id", whole_text(docs).alias("text")).join(broadcast(chosen), "doc_id")
+    rated = docs.select("doc_id", whole_text(docs).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def made(texts: list[str]) -> dict:
         pairs = [features(t) for t in texts]
@@ -152,8 +165,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
 
 def grade_documents(docs: DataFrame, model: Ordinal, keep: list[str]) -> DataFrame:
     """The columns `keep`, with score, expected_grade and tail_1, tail_2 (chance of at least that grade) of every row."""
+    held = {}  # the scorer of a task
+
     def graded(texts: list[str]) -> dict:
-        score = model.scorer()
+        if not held:
+            held["score"] = model.scorer()
+        score = held["score"]
         scores = np.array([score(t) for t in texts], dtype=np.float64)
         expected, tails = model.law(scores)
         return {"score": scores, "expected_grade": expected} | {f"tail_{k + 1}": tails[:, k] for k in range(tails.shape[1])}
@@ -164,7 +181,7 @@ def grade_documents(docs: DataFrame, model: Ordinal, keep: list[str]) -> DataFra
 
 
 def accepted() -> Column:
-    """Whether a graded document is more likely good than not."""
+    """Whether a graded document is good with a chance of KEEP_CHANCE or more."""
     return F.col(f"tail_{KEEP_GRADE}") >= KEEP_CHANCE
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, secrets, sharding, simhash, token_files
+from . import exact_dedup, mixing, packing, quality, secrets, sharding, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +115,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.select_documents(docs, labels).select("doc_id", "expected_grade", "tail_1", "tail_2", F.lit(True).alias("kept"))
