@@ -9,12 +9,13 @@ tokenizer as a whole.
 from __future__ import annotations
 
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
 
-UNITS_KEPT = 250_000  # per generation; about 60 MB
-PIECES_KEPT = 150_000
+UNITS_KEPT = 300_000  # per generation; about 60 MB
+PIECES_KEPT = 200_000
 # Outside of these characters, lower-casing, composition or the classes of letters may differ between libraries.
 UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ɏ–-…€]")
 SPECIAL = "<|"  # a special token's string may follow
@@ -73,15 +74,24 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.model, self.lower = self.whole.model, lower
         self.letters = _byte_letters()
+        self.blank = chr(self.letters[32])
         self.split = regex.compile(WORD_PRE_TOKENS if lower else BYTE_PRE_TOKENS).findall
         self.pieces = Remembered(self._piece, PIECES_KEPT)
         self.units = Remembered(self._unit, UNITS_KEPT)
 
     def _piece(self, piece: str) -> bytes:
-        written = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(written)], dtype="<u4").tobytes()
+        if piece.isascii() and piece.isprintable():
+            written = piece.replace(" ", self.blank)
+        else:
+            written = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
 
     def _unit(self, unit: str) -> bytes:
+        word = unit[1:] if unit[:1] == " " else unit
+        if word.isalpha():  # letters only, so one pre-token
+            return self._piece(unit)
+        if word[:-1].isalpha() and word[-1] in ".,":
+            return self.pieces[unit[:-1]] + self.pieces[unit[-1]]
         return b"".join(map(self.pieces.__getitem__, self.split(unit)))
 
     def encode_whole(self, text: str) -> bytes:
