@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, neighbours, packing, quality, secrets, sharding, simhash, token_files
+from . import exact_dedup, mixing, neighbours, packing, pages, quality, secrets, sharding, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), every=50)
+
+
+@query()
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
