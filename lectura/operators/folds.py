@@ -1,61 +1,61 @@
-"""Order-dependent replays of logs.
+"""Order-dependent replays of logs, in the JVM and of any length.
 
-Most groups are short: their log becomes one sorted array, folded inside the JVM. A group longer
-than a cap is never gathered: its rows stream through one task in sorted order, constant memory,
-with the same step in Python. Both routes are exact and share one shuffle of the log.
+A log is numbered and cut into runs of a fixed length. Run 0 of all groups is folded at once, then run n on top of the
+state that run n-1 left, which is stored between the rounds. Nearly all groups end with run 0; only a longer one needs
+more rounds, and no array ever holds more than one run.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BATCH_ROWS = 10_000
+from lectura.session import stored
 
+RUN_LENGTH = 20_000
 
-def split_by_length(log: DataFrame, keys: Sequence[str], cap: int) -> tuple[DataFrame, DataFrame]:
-    """(rows of groups up to ``cap``, rows of longer groups)."""
-    sized = log.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    return (
-        sized.filter(F.col("_size") <= cap).drop("_size"),
-        sized.filter(F.col("_size") > cap).drop("_size"),
+
+def in_runs(log: DataFrame, keys: Sequence[str], fields: Sequence[str], run_length: int = RUN_LENGTH) -> DataFrame:
+    """(…keys, run, last, items): the log in runs, ordered by ``fields``; ``last`` is the group's last run."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*fields)) - 1
+    runs = log.withColumn("run", F.floor(place / run_length).cast("int")).groupBy(*keys, "run").agg(
+        F.array_sort(F.collect_list(F.struct(*fields))).alias("items")
     )
+    return stored(runs.withColumn("last", F.max("run").over(Window.partitionBy(*keys))), "runs")
 
 
-def stream_groups(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str],
-    fold: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str,
-) -> DataFrame:
-    """Run ``fold`` over all rows of each partition, sorted by keys and order.
+def fold_runs(
+    runs: DataFrame, begun: DataFrame, keys: Sequence[str], carry: Sequence[str],
+    start: Column, resume: Callable[[Column], Column], fold: Callable[[Column, Column], Column],
+) -> list[DataFrame]:
+    """One DataFrame per round: (…keys, …carry, run, last, end).
 
-    ``fold`` gets an iterator of row tuples and yields result tuples; it tells groups apart by
-    their leading key fields.
+    ``begun`` holds run 0 of every group and the columns that ``start`` needs; ``resume`` makes the state that
+    a run starts from out of the state before it; ``fold(state, items)`` is one run.
     """
-    names = [part.split(":")[0] for part in _fields(schema)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tuples = (row for pdf in batches for row in pdf.itertuples(index=False, name=None))
-        block: list[tuple] = []
-        for result in fold(tuples):
-            block.append(result)
-            if len(block) >= BATCH_ROWS:
-                yield _frame(block, names)
-                block = []
-        if block:
-            yield _frame(block, names)
-
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return ordered.mapInPandas(run, schema)
-
-
-def _frame(block: list[tuple], names: list[str]) -> pd.DataFrame:
-    columns = zip(*block)
-    return pd.DataFrame({n: pd.Series(list(c), dtype="object") for n, c in zip(names, columns)})
-
-
-def _fields(schema: str) -> list[str]:
-    """Top-level fields of ``name:type,…`` (types without nested commas)."""
-    return [f.strip() for f in schema.split(",")]
+    names = [*keys, *carry, "run", "last"]
+    rounds = [begun.withColumn("end", fold(start, F.col("items"))).select(*names, "end")]
+    top = runs.agg(F.max("run")).first()[0] or 0
+    for k in range(1, top + 1):
+        rounds[-1] = stored(rounds[-1], "fold")
+        before = rounds[-1].filter(F.col("last") >= k).select(
+            *[F.col(c).alias(f"_{c}") for c in keys], *carry, F.col("end").alias("_before")
+        )
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+        now = runs.filter(F.col("run") == k).join(before, same)
+        rounds.append(now.withColumn("end", fold(resume(F.col("_before")), F.col("items"))).select(*names, "end"))
+    return rounds
+
+
+def ended(rounds: Sequence[DataFrame]) -> DataFrame:
+    """The state behind the last run of every group."""
+    return union([r.filter(F.col("run") == F.col("last")) for r in rounds])
+
+
+def union(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -8,17 +8,15 @@ sitting is a session whose cards are all introduced already.
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectura.functions import srs
-from lectura.operators.folds import split_by_length, stream_groups
+from lectura.operators.folds import RUN_LENGTH, ended, fold_runs, in_runs, union
 
 SESSION = ("user_id", "book_id", "chapter_index")
-MAX_FOLDED_ACTIONS = 2_000
 _CARD = "struct<key:string,lemma_id:string,introduced:boolean>"
 _EFFECT = "struct<seq:bigint,us:bigint,kind:string,lemma_id:string,grade:string>"
 _STATE = (
@@ -87,7 +85,7 @@ def _act(s: Column, a: Column) -> Column:
 
 
 def replay_sessions(
-    sessions: DataFrame, log: DataFrame, keys: Sequence[str] = SESSION, cap: int = MAX_FOLDED_ACTIONS
+    sessions: DataFrame, log: DataFrame, keys: Sequence[str] = SESSION, run_length: int = RUN_LENGTH
 ) -> tuple[DataFrame, DataFrame]:
     """(sessions after their log, effects in order).
 
@@ -98,118 +96,37 @@ def replay_sessions(
     actions = log.select(
         *keys, F.col("seq").cast("long").alias("seq"), srs.to_micros(F.col("ts")).alias("us"), "action"
     )
-    short, long_ = split_by_length(actions, keys, cap)
-    arrays = short.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("seq", "us", "action"))).alias("actions")
+    runs = in_runs(actions, keys, ["seq", "us", "action"], run_length)
+    first = runs.filter(F.col("run") == 0).select(*[F.col(k).alias(f"_{k}") for k in keys], "items", "run", "last")
+    none = F.array().cast("array<struct<seq:bigint,us:bigint,action:string>>")
+    begun = sessions.join(first, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").select(
+        *keys, "queue", "total", F.coalesce("items", none).alias("items"),
+        F.coalesce("run", F.lit(0)).alias("run"), F.coalesce("last", F.lit(0)).alias("last"),
     )
     start = F.struct(
         F.col("queue"), F.array().cast("array<string>").alias("passed"),
         F.array().cast("array<string>").alias("dismissed"),
         F.array().cast(f"array<{_EFFECT}>").alias("effects"), F.lit(None).cast("bigint").alias("updated"),
     ).cast(_STATE)
-    none = F.array().cast("array<struct<seq:bigint,us:bigint,action:string>>")
-    streamed_rows = _stream_sessions(sessions, long_, keys)
-    finals = streamed_rows.filter(F.col("kind") == "final")
-    in_memory = (
-        sessions.join(long_.select(*keys).distinct(), keys, "left_anti")
-        .join(arrays, keys, "left")
-        .withColumn("_end", F.aggregate(F.coalesce("actions", none), start, _act))
-    )
-    done = in_memory.select(
-        *keys, "total", phase(F.col("_end.queue")).alias("phase"), "_end.queue", "_end.passed",
-        "_end.dismissed", srs.from_micros(F.col("_end.updated")).alias("updated_at"),
-    ).unionByName(
-        finals.select(
-            *keys, "total", phase(F.col("queue")).alias("phase"), "queue", "passed", "dismissed",
-            srs.from_micros(F.col("us")).alias("updated_at"),
-        )
-    )
-    effects = in_memory.select(*keys, F.explode("_end.effects").alias("_e")).select(
-        *keys, "_e.seq", "_e.us", "_e.kind", "_e.lemma_id", "_e.grade"
-    ).unionByName(
-        streamed_rows.filter(F.col("kind") != "final").select(*keys, "seq", "us", "kind", "lemma_id", "grade")
-    )
-    return done, effects.select(
-        *keys, "seq", srs.from_micros(F.col("us")).alias("ts"), "kind", "lemma_id", "grade"
-    )
-
-
-def _stream_sessions(sessions: DataFrame, actions: DataFrame, keys: list[str]) -> DataFrame:
-    """Effects and one ``final`` row per session whose log is too long for one array.
-
-    Lists travel as parallel arrays; the queue itself is bounded by the cards of the session.
-    """
-    queues = sessions.select(
-        *keys, "total", F.col("queue.key").alias("qk"), F.col("queue.lemma_id").alias("ql"),
-        F.col("queue.introduced").alias("qi"),
-    )
-    rows = actions.join(queues, keys)
-    types = dict(rows.dtypes)
-    width = len(keys)
-    schema = ",".join(
-        [f"{k}:{types[k]}" for k in keys]
-        + ["seq:bigint", "us:bigint", "kind:string", "lemma_id:string", "grade:string", "total:int",
-           "qk:array<string>", "ql:array<string>", "qi:array<boolean>",
-           "passed:array<string>", "dismissed:array<string>"]
+    rounds = fold_runs(
+        runs, begun, keys, ["total"], start,
+        lambda s: s.withField("effects", F.array().cast(f"array<{_EFFECT}>")),
+        lambda s, taken: F.aggregate(taken, s, _act),
     )
-
-    def fold(tuples: Iterator[tuple]) -> Iterator[tuple]:
-        key = None
-        queue, passed, dismissed, updated, total = deque(), [], [], None, 0
-
-        def final() -> tuple:
-            return (*key, None, updated, "final", None, None, total, [c[0] for c in queue],
-                    [c[1] for c in queue], [c[2] for c in queue], passed, dismissed)
-
-        for row in tuples:
-            if row[:width] != key:
-                if key is not None:
-                    yield final()
-                key = row[:width]
-                total = int(row[width + 3])
-                queue = deque(zip(*(list(a) for a in row[width + 4 : width + 7])))
-                passed, dismissed, updated = [], [], None
-            seq, us, action = int(row[width]), int(row[width + 1]), row[width + 2]
-            if not queue:
-                continue
-            card = queue[0]
-            if card[2] and action in ("again", "hard", "good", "easy"):
-                queue.popleft()
-                if action in ("good", "easy"):
-                    passed.append(card[0])
-                else:
-                    queue.append(card)
-                kind, grade = "saveCard", action
-            elif not card[2] and action == "ichKenneDas":
-                queue.popleft()
-                dismissed.append(card[0])
-                kind, grade = "markKnown", None
-            elif not card[2] and action == "weiter":
-                queue.popleft()
-                queue.append((card[0], card[1], True))
-                updated = us
-                continue
-            else:
-                continue
-            updated = us
-            yield (*key, seq, us, kind, card[1], grade, None, None, None, None, None, None)
-        if key is not None:
-            yield final()
-
-    out = stream_groups(
-        rows.select(*keys, "seq", "us", "action", "total", "qk", "ql", "qi"), keys, ["seq"], fold, schema
+    done = ended(rounds).select(
+        *keys, "total", phase(F.col("end.queue")).alias("phase"), "end.queue", "end.passed",
+        "end.dismissed", srs.from_micros(F.col("end.updated")).alias("updated_at"),
     )
-    zipped = F.transform(
-        F.arrays_zip("qk", "ql", "qi"),
-        lambda c: F.struct(c["qk"].alias("key"), c["ql"].alias("lemma_id"), c["qi"].alias("introduced")),
+    effects = union([r.select(*keys, F.explode("end.effects").alias("_e")) for r in rounds]).select(
+        *keys, "_e.seq", srs.from_micros(F.col("_e.us")).alias("ts"), "_e.kind", "_e.lemma_id", "_e.grade"
     )
-    return out.withColumn("queue", zipped.cast(f"array<{_CARD}>")).drop("qk", "ql", "qi")
+    return done, effects
 
 
-def replay_sittings(sittings: DataFrame, log: DataFrame, cap: int = MAX_FOLDED_ACTIONS) -> tuple[DataFrame, DataFrame]:
+def replay_sittings(sittings: DataFrame, log: DataFrame, run_length: int = RUN_LENGTH) -> tuple[DataFrame, DataFrame]:
     """Review sittings per reader; ``log(user_id, seq, ts, grade)``."""
     return replay_sessions(
-        sittings, log.withColumnRenamed("grade", "action"), ("user_id",), cap
+        sittings, log.withColumnRenamed("grade", "action"), ("user_id",), run_length
     )
 
 

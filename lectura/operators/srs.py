@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectura.functions import srs
-from lectura.operators.folds import split_by_length, stream_groups
+from lectura.operators.folds import RUN_LENGTH, ended, fold_runs, in_runs
 from lectura.operators.known import READER_LEMMA
 
-MAX_FOLDED_REVIEWS = 5_000
 FACE_TYPE = "struct<pos:string,de:string,en:string,example:string,region_note:string,mexicanism:boolean>"
 
 
@@ -25,37 +22,28 @@ def new_cards(df: DataFrame, now: Column) -> DataFrame:
 
 
 def replay_reviews(
-    log: DataFrame, initial: DataFrame | None = None, cap: int = MAX_FOLDED_REVIEWS
+    log: DataFrame, initial: DataFrame | None = None, run_length: int = RUN_LENGTH
 ) -> DataFrame:
     """Fold ``log(user_id, lemma_id, ts, seq, grade)`` into one card per (reader, word).
 
     Answers apply in (ts, seq) order; a card in ``initial(user_id, lemma_id, created_at, fsrs)``
-    continues, any other starts new at its first answer. Only words in the log are returned.
+    continues, any other starts new at its first answer. A card without ``created_at`` gets the time
+    of that answer. Only words in the log are returned; a null reader is a reader.
     """
     reviews = log.select(
         *READER_LEMMA, srs.to_micros(F.col("ts")).alias("us"),
         (F.col("seq") if "seq" in log.columns else F.lit(0)).cast("long").alias("seq"),
         srs.grade_number(F.col("grade")).alias("g"),
     ).filter(F.col("g").isNotNull())
-    short, long_ = split_by_length(reviews, READER_LEMMA, cap)
-    arrays = short.groupBy(*READER_LEMMA).agg(
-        F.array_sort(F.collect_list(F.struct("us", "seq", "g"))).alias("answers"),
-        F.min("us").alias("first_us"),
-    )
-    folded = _with_initial(arrays, initial).select(
-        *READER_LEMMA,
-        F.coalesce("created_at", srs.from_micros(F.col("first_us"))).alias("created_at"),
-        srs.to_fsrs(
-            F.aggregate("answers", F.coalesce("start", srs.new_state(F.col("first_us"))),
-                        lambda card, a: srs.answer(card, a["g"], a["us"]))
-        ).alias("fsrs"),
-    )
-    streamed = _stream_reviews(_with_initial(long_, initial)).select(
-        *READER_LEMMA,
-        srs.from_micros(F.col("created_us")).alias("created_at"),
-        srs.to_fsrs(F.struct(*srs.FIELDS)).alias("fsrs"),
+    runs = in_runs(reviews, READER_LEMMA, ["us", "seq", "g"], run_length)
+    begun = _with_initial(runs.filter(F.col("run") == 0), initial)
+    first_us = F.get("items", F.lit(0))["us"]
+    begun = begun.withColumn("created_at", F.coalesce("created_at", srs.from_micros(first_us)))
+    rounds = fold_runs(
+        runs, begun, READER_LEMMA, ["created_at"], F.coalesce("start", srs.new_state(first_us)), lambda card: card,
+        lambda card, answers: F.aggregate(answers, card, lambda c, a: srs.answer(c, a["g"], a["us"])),
     )
-    return folded.unionByName(streamed)
+    return ended(rounds).select(*READER_LEMMA, "created_at", srs.to_fsrs(F.col("end")).alias("fsrs"))
 
 
 def _with_initial(df: DataFrame, initial: DataFrame | None) -> DataFrame:
@@ -63,39 +51,12 @@ def _with_initial(df: DataFrame, initial: DataFrame | None) -> DataFrame:
         return df.withColumn("created_at", F.lit(None).cast("timestamp_ntz")).withColumn(
             "start", F.lit(None).cast(srs.STATE_TYPE)
         )
-    start = initial.select(*READER_LEMMA, "created_at", srs.from_fsrs(F.col("fsrs")).alias("start"))
-    return df.join(start, list(READER_LEMMA), "left")
-
-
-def _stream_reviews(rows: DataFrame) -> DataFrame:
-    types = dict(rows.select(*READER_LEMMA).dtypes)
-    state = srs.STATE_TYPE.removeprefix("struct<").removesuffix(">")
-    schema = f"user_id:{types['user_id']},lemma_id:{types['lemma_id']},created_us:bigint,{state}"
-
-    def fold(tuples: Iterator[tuple]) -> Iterator[tuple]:
-        key, card, created = None, None, None
-        for user, lemma, us, _, grade, created_us, *start in tuples:
-            if key != (user, lemma):
-                if key is not None:
-                    yield (*key, created, *card)
-                key = (user, lemma)
-                begun = start[8] is not None and start[8] == start[8]
-                card = _restored(start) if begun else srs.empty_card(int(us))
-                created = int(created_us) if begun else int(us)
-            card = srs.answer_py(card, int(grade), int(us))
-        if key is not None:
-            yield (*key, created, *card)
-
-    flat = rows.select(
-        *READER_LEMMA, "us", "seq", "g", srs.to_micros(F.col("created_at")).alias("created_us"),
-        *[F.col(f"start.{f}").alias(f) for f in srs.FIELDS],
+    start = initial.select(
+        F.col("user_id").alias("_user"), F.col("lemma_id").alias("_lemma"), "created_at",
+        srs.from_fsrs(F.col("fsrs")).alias("start"),
     )
-    return stream_groups(flat, READER_LEMMA, ["us", "seq"], fold, schema)
-
-
-def _restored(start: list) -> tuple:
-    whole = [int(v) if v is not None and v == v else None for v in start]
-    return (whole[0], float(start[1]), float(start[2]), *whole[3:])
+    same = F.col("user_id").eqNullSafe(F.col("_user")) & F.col("lemma_id").eqNullSafe(F.col("_lemma"))
+    return df.join(start, same, "left").drop("_user", "_lemma")
 
 
 def due_cards(cards: DataFrame, now: Column, limit: int | None = None) -> DataFrame:

@@ -42,32 +42,47 @@ def test_column_fold_equals_the_python_step(spark):
         rows += [(1, f"c{number}", us, i, ("again", "hard", "good", "easy")[g - 1]) for i, (us, g) in enumerate(log)]
     log = spark.createDataFrame(rows, "user_id long, lemma_id string, us long, seq long, grade string").withColumn(
         "ts", srs.from_micros(F.col("us")))
-    for cap in (5000, 3, 0):
-        got = {r.lemma_id: r.fsrs for r in D.replay_reviews(log, cap=cap).collect()}
+    for run_length in (20_000, 7, 1):
+        got = {r.lemma_id: r.fsrs for r in D.replay_reviews(log, run_length=run_length).collect()}
         for number, grades in enumerate(([3] * 6 + [1, 2, 3], [1, 2, 3, 3, 4], [4, 4, 2, 1, 1, 3], [2, 2, 3, 3, 2])):
             card, fsrs = study(grades)[1], got[f"c{number}"]
             assert (fsrs.stability, fsrs.difficulty, fsrs.reps, fsrs.lapses, fsrs.state) == (card[1], card[2], card[6], card[7], card[8])
             assert fsrs.due == datetime(1970, 1, 1) + timedelta(microseconds=card[0])
 
 
-def replay(spark, cards, actions, cap):
+def test_any_run_length_gives_the_same_cards(spark):
+    """A null reader, ids above 2^53 and a stored card without its time of creation."""
+    readers = (2**53 + 1, 2**53, None)
+    rows = [(u, "w", 1_000_000 * (i * 90_000 + 7), i, g) for u in readers for i, g in enumerate(("good", "easy", "again", "hard", "good"))]
+    log = spark.createDataFrame(rows, "user_id long, lemma_id string, us long, seq long, grade string").withColumn("ts", srs.from_micros(F.col("us")))
+    stored_card = D.replay_reviews(log.filter("user_id is null and seq < 2")).withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
+    found = {}
+    for run_length in (1, 7, 20_000):
+        got = D.replay_reviews(log.filter("user_id is not null or seq >= 2"), initial=stored_card, run_length=run_length)
+        found[run_length] = sorted(map(str, got.collect()))
+        assert len(found[run_length]) == 3
+        assert all(r.fsrs.reps == 5 and r.created_at is not None for r in got.collect())
+    assert found[1] == found[7] == found[20_000]
+
+
+def replay(spark, cards, actions, run_length):
     queue = spark.createDataFrame([(1, "b", 0, i, k, k) for i, k in enumerate(cards)] or [(1, "b", 0, 0, None, None)],
                                   "user_id long, book_id string, chapter_index long, ord int, key string, lemma_id string")
     log = spark.createDataFrame([(1, "b", 0, i, T0 + timedelta(seconds=i), a) for i, a in enumerate(actions)],
                                 "user_id long, book_id string, chapter_index long, seq long, ts timestamp_ntz, action string")
-    done, effects = E.replay_sessions(E.start_sessions(queue), log, cap=cap)
+    done, effects = E.replay_sessions(E.start_sessions(queue), log, run_length=run_length)
     row = done.first()
     return row.phase, [c.key for c in row.queue], row.passed, row.dismissed, [(e.kind, e.lemma_id) for e in effects.orderBy("seq").collect()]
 
 
 def test_sessions(spark):
-    for cap in (2000, 0):
-        out = replay(spark, ["a", "b"], ["weiter", "ichKenneDas", "good"], cap)
+    for run_length in (20_000, 2):
+        out = replay(spark, ["a", "b"], ["weiter", "ichKenneDas", "good"], run_length)
         assert out == ("complete", [], ["a"], ["b"], [("markKnown", "b"), ("saveCard", "a")])
         # A grade before recall and an introduction after it change nothing.
-        out = replay(spark, ["a", "b"], ["good", "weiter", "weiter", "weiter", "again"], cap)
+        out = replay(spark, ["a", "b"], ["good", "weiter", "weiter", "weiter", "again"], run_length)
         assert out == ("recall", ["b", "a"], [], [], [("saveCard", "a")])
-        out = replay(spark, ["a"], ["weiter"], cap)
+        out = replay(spark, ["a"], ["weiter"], run_length)
         assert out[:2] == ("recall", ["a"])
 
 
