@@ -15,6 +15,12 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def literal_table(spark: SparkSession, rows: list[tuple[str, ...]], names: str) -> DataFrame:
+    """A small table of strings whose size Spark knows, so that joins with it need no shuffle."""
+    quoted = lambda row: ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in row)
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({quoted(r)})" for r in rows) + f" AS t({names})")
+
+
 def local_session(cores: str = "8", app: str = "lectura", **conf: str) -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
     builder = (
@@ -36,11 +42,13 @@ def local_session(cores: str = "8", app: str = "lectura", **conf: str) -> SparkS
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder all executors can reach.
 
-    Under ``spark.checkpoint.dir`` where the cluster names one. Only a session without that
+    Under ``spark.checkpoint.dir``, which a cluster has to name. Only a local session without that
     setting, as in tests, falls back to a folder of this machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lectura-{name}-{uuid.uuid4().hex}"
@@ -56,11 +64,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on an input that comes in fewer pieces than there are cores.
-
-    Large inputs have more splits than that and stay where they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

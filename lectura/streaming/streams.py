@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from lectura.functions import srs
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CARD_STATE = srs.STATE_TYPE.removeprefix("struct<").removesuffix(">").replace(":", " ")
 
@@ -27,28 +29,30 @@ class CardProcessor(StatefulProcessor):
         self.handle = handle
         self.card = handle.getValueState("card", CARD_STATE)
         self.waiting = handle.getListState("waiting", "us bigint, seq bigint, g int")
+        self.timer = handle.getValueState("timer", "ms bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        times = set()
+        earliest = None
         for pdf in rows:
             for us, seq, g in zip(pdf["us"], pdf["seq"], pdf["g"]):
                 self.waiting.appendValue((int(us), int(seq), int(g)))
-                times.add(int(us) // 1000)
-        for ms in times:
-            self.handle.registerTimer(ms)
+                earliest = int(us) // 1000 if earliest is None else min(earliest, int(us) // 1000)
+        self._wake(earliest)
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.timer.clear()
         limit = timerValues.getCurrentWatermarkInMs()
         waiting = sorted(tuple(w) for w in self.waiting.get())
         ready = [w for w in waiting if w[0] // 1000 <= limit]
-        if not ready:
-            return
         later = waiting[len(ready):]
         if later:
             self.waiting.put(later)
+            self._wake(later[0][0] // 1000)
         else:
             self.waiting.clear()
+        if not ready:
+            return
         card = tuple(self.card.get()) if self.card.exists() else srs.empty_card(ready[0][0])
         for us, _, g in ready:
             card = srs.answer_py(card, g, us)
@@ -56,13 +60,25 @@ class CardProcessor(StatefulProcessor):
         names = ["user_id", "lemma_id", *srs.FIELDS]
         yield pd.DataFrame([(*key, *card)], columns=names)
 
+    def _wake(self, ms: int | None) -> None:
+        """One timer per card, at its earliest waiting answer."""
+        held = self.timer.get()[0] if self.timer.exists() else None
+        if ms is None or held is not None and held <= ms:
+            return
+        if held is not None:
+            self.handle.deleteTimer(held)
+        self.handle.registerTimer(ms)
+        self.timer.update((ms,))
+
     def close(self) -> None:
         pass
 
 
 def stream_card_state(reviews: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Live card state from ``reviews(user_id, lemma_id, ts, seq, grade)``, one row per update."""
-    reviews.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """Live card state from ``reviews(user_id, lemma_id, ts, seq, grade)``, one row per update.
+
+    Runs on the RocksDB state store; ``run_to_table`` sets it for the time of the run.
+    """
     prepared = (
         reviews.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
         .select("user_id", "lemma_id", "ts", F.unix_micros("ts").alias("us"),
@@ -114,9 +130,29 @@ def stream_sittings(reviews: DataFrame, gap: str = "30 minutes", delay: str = "1
     )
 
 
+def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A Parquet table as a stream, be it one file or a folder of part files.
+
+    The pattern matches the path itself: a folder is then listed, a file is taken as it is.
+    """
+    return spark.readStream.schema(schema).parquet(path[:-1] + f"[{path[-1]}]")
+
+
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now into a Parquet table below ``folder`` and read it."""
     spark: SparkSession = stream.sparkSession
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        return _run(spark, stream, folder, mode)
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+
+
+def _run(spark: SparkSession, stream: DataFrame, folder: str, mode: str) -> DataFrame:
     out, checkpoint = f"{folder}/table", f"{folder}/checkpoint"
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", out).outputMode("append")
