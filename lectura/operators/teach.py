@@ -139,26 +139,20 @@ def sessions_remaining(cards: Column, cap: int = K.MAX_CARDS_PER_SESSION) -> Col
     return F.ceil(cards / F.lit(cap)).cast("int")
 
 
-def debuts(tokens: DataFrame) -> DataFrame:
-    """First paragraph of every key of a chapter: ``tokens`` needs book, chapter, paragraph, key."""
-    return tokens.groupBy("book_id", "chapter_index", "key").agg(
-        F.min("paragraph_index").cast("int").alias("debut")
-    )
-
-
 _CARD = "struct<use:bigint,key:string,lemma_id:string>"
 _SEGMENT = f"struct<first:int,last:int,cards:array<{_CARD}>>"
 
 
 def split_segments(
     teach: DataFrame, first_seen: DataFrame, chapters: DataFrame,
-    cap: int = K.MAX_CARDS_PER_SESSION,
+    cap: int = K.MAX_CARDS_PER_SESSION, opened: DataFrame | None = None,
 ) -> DataFrame:
     """Cut each reader's teach set of a chapter into sittings of at most ``cap`` cards.
 
-    ``teach`` from ``select_teach_set``; ``first_seen`` from ``debuts``;
+    ``teach`` from ``select_teach_set``; ``first_seen`` from ``vocab.debuts``;
     ``chapters(book_id, chapter_index, paragraph_count)``. A greedy pack in reading order that
-    never cuts a paragraph: one row per (reader, chapter, segment) with its ordered cards. Keys no
+    never cuts a paragraph: one row per (reader, chapter, segment) with its ordered cards. A chapter of
+    ``opened`` with nothing to teach is one segment without cards. Keys no
     token carries go to the last segment, which they may fill but not stretch. The cards of one
     chapter are the unit of work, so one shuffle on the chapter serves both groupings.
     """
@@ -177,6 +171,12 @@ def split_segments(
         ).alias("steps"),
         F.flatten(F.collect_list(F.when(F.col("debut").isNull(), F.col("cards")))).alias("orphans"),
     )
+    if opened is not None:
+        packed = opened.select(*OPEN_CHAPTER).join(packed, list(OPEN_CHAPTER), "left")
+    kinds = dict(packed.dtypes)
+    packed = packed.select(*OPEN_CHAPTER, *[
+        F.coalesce(c, F.array().cast(kinds[c])).alias(c) for c in ("steps", "orphans")
+    ])
     sized = packed.join(
         chapters.select("book_id", "chapter_index", F.col("paragraph_count").cast("int").alias("_n")),
         ["book_id", "chapter_index"],

@@ -22,6 +22,28 @@ def count_words(tokens: DataFrame) -> DataFrame:
     )
 
 
+def count_forms(words: DataFrame, forms: DataFrame) -> DataFrame:
+    """As ``count_words``, with the first paragraph of each word (``debut``), from ``tokens.words``.
+
+    Forms are counted before the dictionary is looked up, so the corpus never meets it word by word.
+    """
+    inside = F.regexp_like("s", F.lit(r"^\p{Lu}")) & ~F.col("first_word")
+    counted = words.groupBy(*CHAPTER, F.lower("s").alias("s"), inside.alias("capital")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("paragraph_index").cast("int").alias("debut")
+    )
+    found = counted.join(forms.select(F.col("form").alias("s"), "lemma", "pos"), "s", "left")
+    pos = F.coalesce("pos", F.when(F.col("capital"), "PROPN").otherwise("NOUN"))
+    return found.groupBy(*CHAPTER, F.coalesce("lemma", F.col("s")).alias("lemma"), pos.alias("pos")).agg(
+        F.sum("n").alias("n"), F.min("debut").alias("debut")
+    )
+
+
+def debuts(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(book_id, chapter_index, key, debut): the first paragraph of every key of a chapter."""
+    keys = lexicon.select("book_id", "lemma", "pos", "key")
+    return counts.join(keys, ["book_id", "lemma", "pos"]).select(*CHAPTER, "key", "debut")
+
+
 def lexicon_counts(counts: DataFrame) -> DataFrame:
     """One row per book and (lemma, pos), names left out, without keys."""
     return (

@@ -72,9 +72,10 @@ _IV = lambda x: f"least(greatest(floor({x} + 0.5), 1), 36500)"
 CTES["answers"] = f"""
     SELECT user_id, lemma_id, epoch_us(ts) AS us, g, row_number() OVER (PARTITION BY user_id, lemma_id ORDER BY ts, event_id) AS i
     FROM (SELECT *, CASE event_type WHEN 'error' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 END AS g FROM evk) WHERE g IS NOT NULL"""
-CTES["folded"] = f"""
-    SELECT user_id, lemma_id, us AS created, us AS due, 0.0::DOUBLE AS s, 0.0::DOUBLE AS d, 0::BIGINT AS elapsed, 0::BIGINT AS scheduled,
-           0 AS step, 0 AS reps, 0 AS lapses, 0 AS state, NULL::BIGINT AS last, 0::BIGINT AS i FROM answers WHERE i = 1
+def _fold_sql(name: str, log: str, base: str) -> str:
+    """Cards of ``base`` (i = 0) and their states after each answer of ``log``, one recursion step per answer."""
+    return f"""
+    {base}
     UNION ALL
     SELECT user_id, lemma_id, created, us + CASE WHEN mins > 0 THEN mins * 60000000 ELSE iv::BIGINT * {_DAY} END, ns, nd, t,
            CASE WHEN mins > 0 THEN 0 ELSE iv::BIGINT END, CASE WHEN mins > 0 AND g = 2 THEN step WHEN mins > 0 AND g = 3 THEN step + 1 ELSE 0 END,
@@ -93,11 +94,18 @@ CTES["folded"] = f"""
                             ELSE {_r8(f"least(greatest({w[7]}::DOUBLE * {_D0[3]}::DOUBLE + (1 - {w[7]}::DOUBLE) * (d + ({-w[6]}::DOUBLE * (g - 3)) * (10 - d) / 9), 1.0), 10.0)")} END AS nd
                 FROM (SELECT f.* EXCLUDE (i), a.us, a.g, a.i, CASE WHEN f.state = 0 THEN 0 ELSE a.us // {_DAY} - f.last // {_DAY} END AS t,
                              CASE WHEN f.state = 0 THEN 1.0 ELSE pow(1 + {srs.FACTOR!r}::DOUBLE * (a.us // {_DAY} - f.last // {_DAY}) / f.s, {srs.DECAY}::DOUBLE) END AS rc
-                      FROM folded f JOIN answers a ON a.user_id = f.user_id AND a.lemma_id = f.lemma_id AND a.i = f.i + 1)))"""
-CTES["replayed"] = """
+                      FROM {name} f JOIN {log} a ON a.user_id = f.user_id AND a.lemma_id = f.lemma_id AND a.i = f.i + 1)))"""
+
+
+_NEW_CARDS = """
+    SELECT user_id, lemma_id, us AS created, us AS due, 0.0::DOUBLE AS s, 0.0::DOUBLE AS d, 0::BIGINT AS elapsed, 0::BIGINT AS scheduled,
+           0 AS step, 0 AS reps, 0 AS lapses, 0 AS state, NULL::BIGINT AS last, 0::BIGINT AS i FROM answers WHERE i = 1"""
+CTES["folded"] = _fold_sql("folded", "answers", _NEW_CARDS)
+_REPLAYED = """
     SELECT user_id, lemma_id, make_timestamp(created) AS created_at, make_timestamp(due) AS due, s AS stability, d AS difficulty, elapsed::INTEGER AS elapsed_days,
            scheduled::INTEGER AS scheduled_days, step AS learning_steps, reps, lapses, state, make_timestamp(last) AS last_review
-    FROM (SELECT *, row_number() OVER (PARTITION BY user_id, lemma_id ORDER BY i DESC) AS rn FROM folded) WHERE rn = 1"""
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id, lemma_id ORDER BY i DESC) AS rn FROM {folded}) WHERE rn = 1"""
+CTES["replayed"] = _REPLAYED.format(folded="folded")
 
 
 @query("d3_replay_reviews", "SELECT * FROM replayed")
@@ -118,8 +126,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("d3_replay_reviews_streamed", "SELECT * FROM replayed")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    """Every card on the route that is kept for logs too long for one array."""
-    return _fsrs_columns(D.replay_reviews(S.reviews(spark, sf), cap=0))
+    """Every card in runs of two answers, as very long logs are folded."""
+    return _fsrs_columns(D.replay_reviews(S.reviews(spark, sf), run_length=2))
 
 
 @query("d4_due_cards", f"""
@@ -188,27 +196,30 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- sessions ----------------------------------------------------------------------------------
 
-# One session per reader and week: four words first met then, the week's events as answers.
-CTES["slog"] = f"""
-    SELECT user_id, 'w' || strftime(ts, '%V') AS book_id, 0 AS chapter_index, event_id AS seq, ts, {case('event_type', ACTION_OF)} AS action, k FROM ev"""
-CTES["scards"] = """
-    SELECT * FROM (SELECT user_id, book_id, chapter_index, 'm' || k AS key, 'k' || k AS lemma_id,
-           (row_number() OVER (PARTITION BY user_id, book_id ORDER BY min(seq)) - 1)::INTEGER AS ord FROM slog GROUP BY user_id, book_id, chapter_index, k) WHERE ord < 4"""
+# Sessions per reader and week: the words first met then, 18 to a session, with the week's events on them as answers.
+CTES["weekly"] = f"""
+    SELECT user_id, 'w' || strftime(ts, '%V') AS book_id, event_id AS seq, ts, {case('event_type', ACTION_OF)} AS action, k FROM ev WHERE k IS NOT NULL"""
+CTES["scards"] = f"""
+    SELECT user_id, book_id, (place // {K.MAX_CARDS_PER_SESSION})::INTEGER AS chapter_index, 'm' || k AS key, 'k' || k AS lemma_id,
+           (place % {K.MAX_CARDS_PER_SESSION})::INTEGER AS ord, k
+    FROM (SELECT user_id, book_id, k, row_number() OVER (PARTITION BY user_id, book_id ORDER BY min(seq)) - 1 AS place FROM weekly GROUP BY user_id, book_id, k)"""
+CTES["slog"] = "SELECT user_id, book_id, chapter_index, seq, ts, action FROM weekly JOIN scards USING (user_id, book_id, k)"
 
 
 def _session_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    events = S.events(spark, sf).withColumn("book_id", F.concat(F.lit("w"), F.lpad(F.weekofyear("ts").cast("string"), 2, "0"))).withColumn(
-        "chapter_index", F.lit(0)
+    week = F.concat(F.lit("w"), F.lpad(F.weekofyear("ts").cast("string"), 2, "0"))
+    events = S.events(spark, sf).filter(F.col("k").isNotNull()).withColumn("book_id", week)
+    words = ["user_id", "book_id", "k"]
+    place = F.row_number().over(Window.partitionBy("user_id", "book_id").orderBy("first")) - 1
+    placed = events.groupBy(*words).agg(F.min("event_id").alias("first")).select(
+        *words, F.floor(place / K.MAX_CARDS_PER_SESSION).cast("int").alias("chapter_index"),
+        (place % K.MAX_CARDS_PER_SESSION).alias("ord"),
     )
     keys = ["user_id", "book_id", "chapter_index"]
-    order = Window.partitionBy(*keys).orderBy("first")
-    cards = (
-        events.groupBy(*keys, "k").agg(F.min("event_id").alias("first"))
-        .withColumn("ord", F.row_number().over(order) - 1).filter(F.col("ord") < 4)
-        .select(*keys, "ord", F.concat(F.lit("m"), F.col("k").cast("string")).alias("key"),
-                F.concat(F.lit("k"), F.col("k").cast("string")).alias("lemma_id"))
-    )
-    log = events.select(*keys, F.col("event_id").alias("seq"), "ts", S.mapped("event_type", S.ACTION_OF).alias("action"))
+    number = F.col("k").cast("string")
+    cards = placed.select(*keys, "ord", F.concat(F.lit("m"), number).alias("key"), F.concat(F.lit("k"), number).alias("lemma_id"))
+    log = events.join(placed, words).select(
+        *keys, F.col("event_id").alias("seq"), "ts", S.mapped("event_type", S.ACTION_OF).alias("action"))
     return cards, log
 
 
@@ -257,9 +268,9 @@ def _session_rows(done: DataFrame) -> DataFrame:
     )
 
 
-def _replayed(spark: SparkSession, sf: str, cap: int = E.MAX_FOLDED_ACTIONS) -> tuple[DataFrame, DataFrame]:
+def _replayed(spark: SparkSession, sf: str, run_length: int = E.RUN_LENGTH) -> tuple[DataFrame, DataFrame]:
     cards, log = _session_tables(spark, sf)
-    return E.replay_sessions(E.start_sessions(cards), log, cap=cap)
+    return E.replay_sessions(E.start_sessions(cards), log, run_length=run_length)
 
 
 @query("e2_replay_sessions", _SESSION_SQL)
@@ -269,7 +280,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("e2_replay_sessions_streamed", _SESSION_SQL)
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _session_rows(_replayed(spark, sf, cap=0)[0])
+    return _session_rows(_replayed(spark, sf, run_length=7)[0])
 
 
 @query("e3_session_effects", """
@@ -278,27 +289,26 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return _replayed(spark, sf)[1]
 
 
-# A sitting per reader: all words answered so far, in order of first answer, all introduced.
-CTES["due"] = """
-    SELECT user_id, lemma_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at, lemma_id) - 1 AS ord FROM cardsk"""
+# A sitting per reader: all cards due now, soonest first, all introduced.
+CTES["due"] = f"""
+    SELECT user_id, lemma_id, row_number() OVER (PARTITION BY user_id ORDER BY due, lemma_id) - 1 AS ord FROM cardsk WHERE due <= {TIME}"""
 CTES["rlog"] = f"""
     SELECT user_id, event_id AS seq, ts, {case('event_type', GRADE_OF)} AS grade, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM ev WHERE event_type <> 'signup'"""
 CTES["rfold"] = """
-    SELECT user_id, list(lemma_id ORDER BY ord) AS q, 0 AS passed, 0::BIGINT AS i, NULL::VARCHAR AS lemma_id, NULL::VARCHAR AS grade, NULL::BIGINT AS seq FROM due GROUP BY user_id
+    SELECT user_id, list(lemma_id ORDER BY ord) AS q, 0 AS passed, 0::BIGINT AS i, NULL::VARCHAR AS lemma_id, NULL::VARCHAR AS grade, NULL::BIGINT AS seq, NULL::TIMESTAMP AS ts FROM due GROUP BY user_id
     UNION ALL
     SELECT f.user_id, CASE WHEN len(q) = 0 THEN q WHEN l.grade IN ('good', 'easy') THEN q[2:] ELSE list_append(q[2:], q[1]) END,
-           passed + CASE WHEN len(q) > 0 AND l.grade IN ('good', 'easy') THEN 1 ELSE 0 END, l.i, q[1], l.grade, l.seq
+           passed + CASE WHEN len(q) > 0 AND l.grade IN ('good', 'easy') THEN 1 ELSE 0 END, l.i, q[1], l.grade, l.seq, l.ts
     FROM rfold f JOIN rlog l ON l.user_id = f.user_id AND l.i = f.i + 1"""
 _SITTING_SQL = """
     SELECT user_id, passed AS passed_count, len(q)::INTEGER AS remaining, q[1] AS current_key
     FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i DESC) AS rn FROM rfold) WHERE rn = 1"""
 
 
-def _sitting(spark: SparkSession, sf: str, cap: int = E.MAX_FOLDED_ACTIONS) -> tuple[DataFrame, DataFrame]:
-    order = Window.partitionBy("user_id").orderBy("created_at", "lemma_id")
-    due = S.cards(spark, sf).select("user_id", "lemma_id", (F.row_number().over(order) - 1).alias("ord"))
+def _sitting(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    due = D.due_cards(S.cards(spark, sf), S.now()).select("user_id", "lemma_id", "ord")
     log = S.reviews(spark, sf).select("user_id", "seq", "ts", "grade")
-    return E.replay_sittings(E.start_sittings(due), log, cap)
+    return E.replay_sittings(E.start_sittings(due), log)
 
 
 @query("e4_replay_sittings", _SITTING_SQL)
@@ -313,7 +323,17 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return E.effect_reviews(effects).select("user_id", "lemma_id", "seq", "grade")
 
 
-@query("e4_sitting_cards")
+CTES["sittings"] = f"""
+    SELECT user_id, lemma_id, epoch_us(ts) AS us, {case('grade', {g: str(n) for n, g in enumerate(K.GRADES, 1)})}::INTEGER AS g,
+           row_number() OVER (PARTITION BY user_id, lemma_id ORDER BY ts, seq) AS i FROM rfold WHERE lemma_id IS NOT NULL"""
+CTES["sat"] = _fold_sql("sat", "sittings", """
+    SELECT user_id, lemma_id, epoch_us(created_at) AS created, epoch_us(due) AS due, stability AS s, 5.0::DOUBLE AS d, 0::BIGINT AS elapsed,
+           floor(stability / 10)::BIGINT AS scheduled, 0::INTEGER AS step, reps::INTEGER AS reps, lapses::INTEGER AS lapses, state::INTEGER AS state,
+           epoch_us(last_review) AS last, 0::BIGINT AS i
+    FROM cardsk WHERE (user_id, lemma_id) IN (SELECT user_id, lemma_id FROM sittings)""")
+
+
+@query("e4_sitting_cards", _REPLAYED.format(folded="sat"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """The cards after the sitting: its effects replayed onto the stored cards."""
     _, effects = _sitting(spark, sf)
@@ -330,7 +350,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("e6_session_card_view", """
     SELECT user_id, s.book_id, chapter_index, q[1].key AS key, coalesce(x.lemma, q[1].key) AS lemma, coalesce(x.pos, '') AS pos, x.de, x.mexicanism IS NOT NULL AND x.mexicanism AS mexicanism
-    FROM sdone s LEFT JOIN (SELECT DISTINCT book_id, 'm' || k AS key, 'k' || k AS lemma, 'NOUN' AS pos, 'de ' || k AS de, k % 2 = 0 AS mexicanism FROM slog WHERE k < 50) x
+    FROM sdone s LEFT JOIN (SELECT DISTINCT book_id, 'm' || k AS key, 'k' || k AS lemma, 'NOUN' AS pos, 'de ' || k AS de, k % 2 = 0 AS mexicanism FROM weekly WHERE k < 50) x
       ON x.book_id = s.book_id AND x.key = q[1].key WHERE len(q) > 0""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     cards, _ = _session_tables(spark, sf)
@@ -443,13 +463,15 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CTES["sizes"] = """
-    SELECT s.book_id, s.title, coalesce(n, 0) AS lexicon_entries FROM shelf s LEFT JOIN (SELECT book_id, count(*) AS n FROM lex0 WHERE book_id NOT LIKE '%9' GROUP BY 1) USING (book_id)"""
+    SELECT s.book_id, s.title, coalesce(n, 0) AS lexicon_entries FROM (SELECT * FROM shelf UNION ALL SELECT 'empty ' || book_id, title, 0, imported_at FROM shelf) s
+    LEFT JOIN (SELECT book_id, count(*) AS n FROM lex0 GROUP BY 1) USING (book_id)"""
 
 
 def _sizes(spark: SparkSession, sf: str) -> DataFrame:
-    """Books whose lexicon is not stored show zero."""
-    lexicon = V.lexicon_counts(S.counts_once(spark, sf)).filter(~F.endswith("book_id", F.lit("9")))
-    return L.lexicon_sizes(S.books(spark, sf), lexicon)
+    """All books, and beside each one without words, which shows zero."""
+    books = S.books(spark, sf)
+    empty = books.withColumn("book_id", F.concat(F.lit("empty "), "book_id"))
+    return L.lexicon_sizes(books.unionByName(empty), V.lexicon_counts(S.counts_once(spark, sf)))
 
 
 @query("l8_lexicon_sizes", "SELECT * FROM sizes")
@@ -507,9 +529,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams -----------------------------------------------------------------------------------
 
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The events file as a stream."""
-    stored = S.table(spark, sf, "events")
-    stream = spark.readStream.schema(stored.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    """The events as a stream; the table is one file or a folder of part files."""
+    stream = W.read_table(spark, f"{sf}/events.parquet", S.table(spark, sf, "events").schema)
     return stream.select(
         "event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k")
     )

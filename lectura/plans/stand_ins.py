@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lectura import constants as K
 from lectura.operators import tokens as T
 from lectura.operators import vocab as V
-from lectura.session import spread, stored
+from lectura.session import literal_table, stored
 
 RANKED_LEMMAS = 100
 GRADE_OF = {"error": "again", "view": "hard", "click": "good", "purchase": "easy"}
@@ -36,11 +36,11 @@ def mapped(column: str, names: dict[str, str]) -> Column:
 
 def forms(spark: SparkSession) -> DataFrame:
     rows = [(w, w, pos) for pos, ws in K.CLOSED_CLASS_FORMS.items() for w in ws.split()]
-    return spark.createDataFrame(rows, "form string, lemma string, pos string")
+    return literal_table(spark, rows, "form, lemma, pos")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return table(spark, sf_dir, "documents")
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def full_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def counts_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word counts for a plan that reads them once."""
-    return V.count_words(word_tokens(spark, sf_dir))
+    return V.count_forms(T.words(paragraphs(spark, sf_dir)), forms(spark))
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +243,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_extract(url, r"^https?://[^/]+/([a-z]+)/([0-9]+)", 1)
     number = F.regexp_extract(url, r"^https?://[^/]+/([a-z]+)/([0-9]+)", 2)
     secure, mobile = F.startswith(url, F.lit("https:")), F.contains(url, F.lit("://m."))
-    return spread(table(spark, sf_dir, "pages"), "page_id").select(
+    return table(spark, sf_dir, "pages").select(
         F.regexp_extract(url, "^https?://([^/]+)", 1).alias("book_id"), F.col("page_id").alias("doc_ord"),
         F.concat(path, F.lit("-"), number, F.lit(".xhtml")).alias("doc_name"),
         F.when(mobile, "application/x-dtbncx+xml").when(secure, "application/xhtml+xml").otherwise("text/html").alias("media_type"),
@@ -282,7 +282,7 @@ def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lyric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as lyrics: a turn is a stanza, its lines the lines."""
-    return spread(table(spark, sf_dir, "conversations"), "conv_id").select(
+    return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("track_id"), F.col("turn").alias("stanza_index"),
         F.posexplode(F.split("text", "\n")).alias("line_index", "text"),
     ).filter(F.trim("text") != "")
@@ -290,7 +290,7 @@ def lyric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stop_words(spark: SparkSession) -> DataFrame:
     rows = [(lang, w) for lang, ws in K.LANGUAGE_STOP_WORDS.items() for w in ws.split()]
-    return spark.createDataFrame(sorted(set(rows)), "language string, word string")
+    return literal_table(spark, sorted(set(rows)), "language, word")
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:

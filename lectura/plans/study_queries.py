@@ -195,12 +195,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 def _segments(spark: SparkSession, sf: str) -> tuple[DataFrame, Study]:
     study = Study(spark, sf)
-    keys = study.lexicon.select("book_id", F.col("lemma").alias("l"), F.col("pos").alias("p"), "key")
-    first = S.word_tokens(spark, sf).groupBy("book_id", "chapter_index", "l", "p").agg(
-        F.min("paragraph_index").cast("int").alias("debut")
-    ).join(keys, ["book_id", "l", "p"]).select("book_id", "chapter_index", "key", "debut")
     teach = C.select_teach_set(*study.rows())
-    return C.split_segments(teach, first, S.chapters(spark, sf)), study
+    first = V.debuts(study.counts, study.lexicon)
+    return C.split_segments(teach, first, S.chapters(spark, sf), opened=study.open), study
 
 
 CTES["debut"] = """
@@ -226,7 +223,9 @@ CTES["bounds"] = """
     WITH n AS (SELECT doc_id AS chapter_index, length(text) - length(replace(text, chr(10), '')) + 1 AS n FROM documents),
     c AS (SELECT cut.*, n.n, lead(paragraph_start) OVER w AS nxt FROM cut JOIN n USING (chapter_index) WINDOW w AS (PARTITION BY user_id, book_id, chapter_index ORDER BY segment))
     SELECT user_id, book_id, chapter_index, segment, paragraph_start, coalesce(nxt, CASE WHEN size > 18 AND last + 1 < n THEN last + 1 ELSE n END) AS paragraph_end, size FROM c
-    UNION ALL SELECT user_id, book_id, chapter_index, segment + 1, last + 1, n, 0 FROM c WHERE nxt IS NULL AND size > 18 AND last + 1 < n"""
+    UNION ALL SELECT user_id, book_id, chapter_index, segment + 1, last + 1, n, 0 FROM c WHERE nxt IS NULL AND size > 18 AND last + 1 < n
+    UNION ALL SELECT user_id, book_id, chapter_index, 0, 0, n, 0 FROM opened JOIN n USING (chapter_index)
+    WHERE (user_id, chapter_index) NOT IN (SELECT user_id, chapter_index FROM steps)"""
 
 
 @query("c8_split_segments", """
@@ -259,10 +258,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Only the first paragraph's debuts are told; every other key has no place and is an orphan."""
     study = Study(spark, sf)
-    keys = study.lexicon.select("book_id", F.col("lemma").alias("l"), F.col("pos").alias("p"), "key")
-    first = S.word_tokens(spark, sf).groupBy("book_id", "chapter_index", "l", "p").agg(
-        F.min("paragraph_index").cast("int").alias("debut")
-    ).filter(F.col("debut") == 0).join(keys, ["book_id", "l", "p"]).select("book_id", "chapter_index", "key", "debut")
+    first = V.debuts(study.counts, study.lexicon).filter(F.col("debut") == 0)
     segments = C.split_segments(C.select_teach_set(*study.rows()), first, S.chapters(spark, sf))
     return segments.groupBy("user_id", "book_id", "chapter_index").agg(
         F.max_by(F.size("cards"), "segment").alias("last_size")

@@ -292,7 +292,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("t7_lexicon_slice", """
-    SELECT book_id, key, lemma, pos FROM lexk WHERE (book_id, key) IN (SELECT book_id, key FROM vocab JOIN readings USING (book_id, chapter_index))""")
+    WITH o AS (SELECT DISTINCT book_id, chapter_index FROM readings), k AS (SELECT DISTINCT book_id, key FROM vocab JOIN o USING (book_id, chapter_index))
+    SELECT book_id, key, lemma, pos FROM lexk JOIN k USING (book_id, key)""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     counted = S.counts(spark, sf)
     lexicon = stored(V.build_lexicon(counted), "lexicon")
@@ -338,16 +339,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     from lectura.operators.teach import is_teachable
 
-    words = S.word_tokens(spark, sf)
-    lexicon = S.lexicon(V.count_words(words))
-    keys = lexicon.filter(is_teachable()).select("book_id", F.col("lemma").alias("l"), F.col("pos").alias("p"), "key")
-    first = words.join(keys, ["book_id", "l", "p"]).groupBy("book_id", "key").agg(
-        F.min(F.struct("chapter_index", "paragraph_index")).alias("_at")
-    ).select("book_id", "key", "_at.chapter_index", "_at.paragraph_index", F.lit(0).alias("sentence_index"))
-    sentences = first.join(
-        S.paragraphs(spark, sf).withColumnRenamed("text", "sentence"), ["book_id", "chapter_index", "paragraph_index"]
+    counted = S.counts(spark, sf)
+    lexicon = S.lexicon(counted)
+    taught = lexicon.filter(is_teachable()).select("book_id", "key")
+    debuts = V.debuts(counted, lexicon).withColumnRenamed("debut", "paragraph_index")
+    sentences = debuts.join(S.paragraphs(spark, sf), ["book_id", "chapter_index", "paragraph_index"]).select(
+        "book_id", "key", "chapter_index", "paragraph_index", F.lit(0).alias("sentence_index"), F.col("text").alias("sentence")
     )
-    return V.example_sentences(sentences, keys)
+    return V.example_sentences(sentences, taught)
 
 
 @query("v6_attach_glosses", "SELECT book_id, lemma, pos, de, en, region_note, mexicanism FROM lex")

@@ -37,9 +37,9 @@ def parse_known(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     )))
     judged = parsed.select(
         "path",
-        F.when(F.col("v").isNull() | ~F.startswith("shape", F.lit("ARRAY")), "expected a flat array of lemma strings")
-        .when(bad, "expected a string")
-        .when(F.size(lemmas) == 0, "the file contained no lemmas").alias("error"),
+        F.when(F.col("v").isNull() | ~F.startswith("shape", F.lit("ARRAY")), "not a list of words")
+        .when(bad, "an entry is not a word")
+        .when(F.size(lemmas) == 0, "no words in the list").alias("error"),
         lemmas.alias("lemmas"),
     )
     ok = judged.filter(F.col("error").isNull()).select("path", F.explode("lemmas").alias("lemma_id"))

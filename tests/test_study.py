@@ -66,6 +66,15 @@ def test_segment_overflow_and_orphans(spark):
     assert out == [(0, 1, ["o1", "o2", "o3"])]
 
 
+def test_a_chapter_with_nothing_to_teach_is_one_segment(spark):
+    teach = spark.createDataFrame([], "user_id long, book_id string, chapter_index long, part string, key string, lemma_id string, book_count long")
+    seen = spark.createDataFrame([], "book_id string, chapter_index long, key string, debut int")
+    chapters = spark.createDataFrame([("b", 0, 6)], "book_id string, chapter_index long, paragraph_count int")
+    opened = spark.createDataFrame([(1, "b", 0)], "user_id long, book_id string, chapter_index long")
+    out = C.split_segments(teach, seen, chapters, opened=opened).collect()
+    assert [(r.segment, r.paragraph_start, r.paragraph_end, r.cards) for r in out] == [(0, 0, 6, [])]
+
+
 @pytest.mark.parametrize("cards,sessions", [(0, 0), (1, 1), (18, 1), (19, 2), (3226, 180)])
 def test_sessions_remaining(spark, cards, sessions):
     assert spark.range(1).select(C.sessions_remaining(F.lit(cards)).alias("s")).first()["s"] == sessions
