@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectura import constants as K
 from lectura.functions.text import lemma_id
+from lectura.operators.known import reader_state
 from lectura.operators.teach import (
     DEFAULTS, OPEN_CHAPTER, TeachOptions, classify_vocabulary, is_teachable, sessions_remaining,
 )
@@ -49,6 +50,42 @@ def chapter_study(
     )
 
 
+def listed_study(
+    listed: DataFrame, counts: DataFrame, lexicon: DataFrame, known: DataFrame, carded: DataFrame,
+    opts: TeachOptions = DEFAULTS,
+) -> DataFrame:
+    """As ``chapter_study``, over all chapters of whole books, with ``gloss_only`` keys counted too.
+
+    ``listed(user_id, book_id, chapter_index, token_count, propn_tokens)`` · ``counts(book_id,
+    chapter_index, lemma, pos, n)``. Sums are made once per chapter, as a reader who knows nothing sees
+    them, and then corrected by the words that each reader knows or studies. No table of readers times
+    vocabulary is ever made.
+    """
+    entries = lexicon.select("book_id", "lemma", "pos", is_teachable(opts).alias("_teachable"))
+    chapter = ["book_id", "chapter_index"]
+    words = counts.join(entries, ["book_id", "lemma", "pos"]).groupBy(*chapter, lemma_id(F.col("lemma")).alias("lemma_id")).agg(
+        F.sum("n").alias("n"), F.max("_teachable").alias("_ok"), F.count_if("_teachable").alias("_cards"), F.count_if(~F.col("_teachable")).alias("_gloss"),
+    )
+    base = words.groupBy(*chapter).agg(
+        F.sum(F.when(F.col("_ok"), F.col("n")).otherwise(0)).alias("_after"), F.sum("_cards").alias("_cards"), F.sum("_gloss").alias("_gloss"),
+    )
+    books = listed.select("user_id", "book_id").distinct()
+    own = reader_state(known, carded).join(books, "user_id").join(words, ["book_id", "lemma_id"])
+    knows, ok = F.col("is_known"), F.col("_ok")
+    fixes = own.groupBy(*OPEN_CHAPTER).agg(
+        F.sum(F.when(knows, F.col("n")).otherwise(0)).alias("_known"),
+        F.sum(F.when(knows & ~ok, F.col("n")).when(~knows & ok, -F.col("n")).otherwise(0)).alias("_after_fix"),
+        F.sum("_cards").alias("_cards_fix"), F.sum(F.when(knows, F.col("_gloss")).otherwise(0)).alias("_gloss_fix"),
+    )
+    zero = F.lit(0).cast("long")
+    value = lambda c: F.coalesce(c, zero)
+    return listed.join(base, chapter, "left").join(fixes, list(OPEN_CHAPTER), "left").select(
+        *OPEN_CHAPTER, "token_count", (F.col("propn_tokens") + value("_known")).alias("covered"),
+        (F.col("propn_tokens") + value("_after") + value("_after_fix")).alias("covered_after"),
+        (value("_cards") - value("_cards_fix")).alias("cards"), (value("_gloss") - value("_gloss_fix")).alias("gloss_only"),
+    )
+
+
 def coverage(open_chapters: DataFrame, vocab: DataFrame, lexicon: DataFrame, known: DataFrame) -> DataFrame:
     """Share of word tokens each reader covers in each open chapter."""
     entries = lexicon.select("book_id", "key", lemma_id(F.col("lemma")).alias("lemma_id"))
@@ -86,7 +123,7 @@ def book_coverage(study: DataFrame) -> DataFrame:
 
 
 def chapter_list(study: DataFrame, titles: DataFrame, positions: DataFrame) -> DataFrame:
-    """One row per open chapter as a chapter list shows it."""
+    """One row per listed chapter; ``fraction`` is null where the reader has not opened it."""
     place = positions.select(*OPEN_CHAPTER, "fraction")
     return (
         study.join(titles.select("book_id", "chapter_index", "title"), ["book_id", "chapter_index"])

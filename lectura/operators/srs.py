@@ -93,7 +93,12 @@ def cards_by_week(cards: DataFrame) -> DataFrame:
 def reading_statistics(
     provenance: DataFrame, cards: DataFrame, book_rows: DataFrame, positions: DataFrame
 ) -> DataFrame:
-    """Per (reader, book): words known and cards of the reader, coverage, chapters opened."""
+    """Per (reader, book): words known and cards of the reader, coverage, chapters opened, and the
+    reader's cards by week, as an array of (week_start, n) in order.
+    """
+    weeks = cards_by_week(cards).groupBy("user_id").agg(
+        F.array_sort(F.collect_list(F.struct("week_start", "n"))).alias("by_week")
+    )
     totals = cards.groupBy("user_id").agg(F.count(F.lit(1)).alias("cards_total"))
     opened = positions.groupBy("user_id", "book_id").agg(F.count(F.lit(1)).alias("chapters_opened"))
     known = provenance.select("user_id", F.col("total").alias("vocabulary_known"))
@@ -103,9 +108,10 @@ def reading_statistics(
         .join(opened, ["user_id", "book_id"], "left")
         .join(known, "user_id", "left")
         .join(totals, "user_id", "left")
+        .join(weeks, "user_id", "left")
         .select(
             "user_id", "book_id", "coverage",
-            *[F.coalesce(c, zero).alias(c) for c in ("chapters_opened", "vocabulary_known", "cards_total")],
+            *[F.coalesce(c, zero).alias(c) for c in ("chapters_opened", "vocabulary_known", "cards_total")], "by_week",
         )
     )
 

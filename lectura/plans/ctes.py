@@ -127,24 +127,34 @@ for suffix, source in (("k", "evk"), ("w", "evw")):
         SELECT user_id, lemma_id FROM marks{suffix}
         UNION SELECT user_id, lemma_id FROM cards{suffix} WHERE state = 2 AND stability > 21"""
 
-CTES.update({
-    "study_rows": """
+_READER_ROWS = """
         SELECT o.user_id, v.book_id, v.chapter_index, v.key, v.n, x.lemma_id, x.book_count, x.pos, x.reason,
                kw.lemma_id IS NOT NULL AS is_known, cw.lemma_id IS NOT NULL AS is_carded,
                CASE WHEN kw.lemma_id IS NOT NULL THEN NULL WHEN x.reason IS NULL THEN 'gloss_only'
                     WHEN cw.lemma_id IS NULL THEN 'teach' END AS part
-        FROM opened o JOIN vocab v USING (book_id, chapter_index) JOIN reasoned x USING (book_id, key)
+        FROM {chapters} o JOIN vocab v USING (book_id, chapter_index) JOIN reasoned x USING (book_id, key)
         LEFT JOIN knownw kw ON kw.user_id = o.user_id AND kw.lemma_id = x.lemma_id
-        LEFT JOIN cardsw cw ON cw.user_id = o.user_id AND cw.lemma_id = x.lemma_id""",
-    "study": """
+        LEFT JOIN cardsw cw ON cw.user_id = o.user_id AND cw.lemma_id = x.lemma_id"""
+_READER_STUDY = """
         SELECT o.user_id, o.book_id, o.chapter_index, o.token_count,
                (o.propn_tokens + coalesce(kn, 0))::BIGINT AS covered, (o.propn_tokens + coalesce(an, 0))::BIGINT AS covered_after,
                coalesce(cards, 0)::BIGINT AS cards
-        FROM opened o LEFT JOIN (
+        FROM {chapters} o LEFT JOIN (
             SELECT user_id, book_id, chapter_index, sum(n) FILTER (k) AS kn, sum(n) FILTER (k OR t) AS an, sum(c) AS cards
             FROM (SELECT user_id, book_id, chapter_index, lemma_id, sum(n) AS n, bool_or(is_known) AS k,
                          bool_or(coalesce(part = 'teach', false)) AS t, count(*) FILTER (part = 'teach') AS c
-                  FROM study_rows GROUP BY ALL) GROUP BY ALL) USING (user_id, book_id, chapter_index)""",
+                  FROM {rows} GROUP BY ALL) GROUP BY ALL) USING (user_id, book_id, chapter_index)"""
+# Opened chapters, and all chapters of the books in which a reader has opened one.
+CTES["study_rows"] = _READER_ROWS.format(chapters="opened")
+CTES["study"] = _READER_STUDY.format(chapters="opened", rows="study_rows")
+CTES["listed"] = """
+    SELECT u.user_id, u.book_id, d.doc_id AS chapter_index, coalesce(token_count, 0)::BIGINT AS token_count, coalesce(propn_tokens, 0)::BIGINT AS propn_tokens
+    FROM (SELECT DISTINCT user_id, book_id FROM readings) u JOIN documents d ON d.source = u.book_id
+    LEFT JOIN totals t ON t.book_id = d.source AND t.chapter_index = d.doc_id"""
+CTES["listed_rows"] = _READER_ROWS.format(chapters="listed")
+CTES["listed_study"] = _READER_STUDY.format(chapters="listed", rows="listed_rows")
+
+CTES.update({
     "pg": r"""
         SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS book_id, page_id AS doc_ord,
                regexp_extract(url, '^https?://[^/]+/([a-z]+)/([0-9]+)', 1) || '-' ||

@@ -16,7 +16,7 @@ from lectura.operators import vocab as V
 from lectura.plans import stand_ins as S
 from lectura.plans.ctes import ACTION_OF, GRADE_OF, TIME, case
 from lectura.plans.registry import CTES, query
-from lectura.plans.study_queries import Study
+from lectura.plans.study_queries import Shelf, Study
 from lectura.session import shared_folder
 from lectura.streaming import streams as W
 
@@ -163,15 +163,18 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("d9_reading_statistics", """
-    SELECT b.user_id, b.book_id, b.coverage, coalesce(o.n, 0) AS chapters_opened, coalesce(k.n, 0) AS vocabulary_known, coalesce(c.n, 0) AS cards_total
-    FROM book_rows b LEFT JOIN (SELECT user_id, book_id, count(DISTINCT chapter_index) AS n FROM readings GROUP BY ALL) o USING (user_id, book_id)
+    SELECT b.user_id, b.book_id, b.coverage, coalesce(o.n, 0) AS chapters_opened, coalesce(k.n, 0) AS vocabulary_known, coalesce(c.n, 0) AS cards_total, wk.by_week
+    FROM book_rows b LEFT JOIN (SELECT user_id, string_agg(strftime(week, '%Y-%m-%d') || ' ' || n, ', ' ORDER BY week) AS by_week
+        FROM (SELECT user_id, date_trunc('week', created_at) AS week, count(*) AS n FROM cardsw GROUP BY ALL) GROUP BY 1) wk USING (user_id) LEFT JOIN (SELECT user_id, book_id, count(DISTINCT chapter_index) AS n FROM readings GROUP BY ALL) o USING (user_id, book_id)
     LEFT JOIN (SELECT user_id, count(*) AS n FROM knownw GROUP BY 1) k USING (user_id) LEFT JOIN (SELECT user_id, count(*) AS n FROM cardsw GROUP BY 1) c USING (user_id)""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    study = Study(spark, sf)
-    return D.reading_statistics(
-        N.known_provenance(study.cards, study.marks), study.cards, G.book_coverage(study.study()),
+    shelf = Shelf(spark, sf)
+    found = D.reading_statistics(
+        N.known_provenance(shelf.cards, shelf.marks), shelf.cards, G.book_coverage(shelf.study),
         L.latest_positions(S.positions(spark, sf)),
     )
+    week = F.transform("by_week", lambda w: F.concat_ws(" ", w["week_start"].cast("string"), w["n"].cast("string")))
+    return found.withColumn("by_week", F.array_join(week, ", "))
 
 
 @query("d10_due_by_chapter", f"""

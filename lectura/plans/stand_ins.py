@@ -215,6 +215,17 @@ def open_chapters(spark: SparkSession, sf_dir: str, counted: DataFrame) -> DataF
     )
 
 
+def listed_chapters(spark: SparkSession, sf_dir: str, counted: DataFrame) -> DataFrame:
+    """All chapters of the books in which a reader has opened one; chapters without words have no tokens."""
+    pairs = readings(spark, sf_dir).select("user_id", "book_id").distinct()
+    zero = F.lit(0).cast("long")
+    return (
+        pairs.join(chapters(spark, sf_dir).select("book_id", "chapter_index"), "book_id")
+        .join(V.chapter_totals(counted), ["book_id", "chapter_index"], "left")
+        .select("user_id", "book_id", "chapter_index", F.coalesce("token_count", zero).alias("token_count"), F.coalesce("propn_tokens", zero).alias("propn_tokens"))
+    )
+
+
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log of reading positions."""
     from lectura.operators.logs import reading_fraction

@@ -40,6 +40,17 @@ class Study:
         return G.chapter_study(self.open, *self.rows())
 
 
+class Shelf:
+    """All chapters of every reader's books, without keys and without a table per reader and word."""
+
+    def __init__(self, spark: SparkSession, sf: str):
+        counts = S.counts(spark, sf)
+        words = stored(S.word_of_rank(counts), "words")
+        self.cards, self.marks = S.cards(spark, sf, words), S.known_lemmas(spark, sf, words)
+        listed = S.listed_chapters(spark, sf, counts)
+        self.study = G.listed_study(listed, counts, S.unkeyed_lexicon(counts), *N.known_state(self.cards, self.marks))
+
+
 # --- known state -------------------------------------------------------------------------------
 
 @query("k1_is_known", "SELECT user_id, lemma_id, state = 2 AND stability > 21 AS known, state = 2 AND stability > 60 AS known_60 FROM cardsk")
@@ -308,12 +319,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("c13_chapter_teaching", "SELECT book_id, user_id, count(*) FILTER (part = 'teach') AS teach, count(*) FILTER (part = 'gloss_only') AS gloss_only FROM study_rows GROUP BY ALL")
+@query("c13_chapter_teaching", """
+    SELECT o.user_id, o.book_id, o.chapter_index, count(*) FILTER (part = 'teach') AS teach, count(*) FILTER (part = 'gloss_only') AS gloss_only
+    FROM listed o LEFT JOIN listed_rows USING (user_id, book_id, chapter_index) GROUP BY ALL""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    rows = C.classify_vocabulary(*Study(spark, sf).rows())
-    return rows.groupBy("book_id", "user_id").agg(
-        F.count_if(F.col("part") == "teach").alias("teach"), F.count_if(F.col("part") == "gloss_only").alias("gloss_only")
-    )
+    return Shelf(spark, sf).study.select("user_id", "book_id", "chapter_index", F.col("cards").alias("teach"), "gloss_only")
 
 
 @query("c14_over_cap", "SELECT book_id, chapter_index, cards::INTEGER AS cards FROM baked WHERE cards > 18")
@@ -358,30 +368,30 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 CTES["book_rows"] = f"""
     SELECT user_id, book_id, {_SHARE.format('sum(covered)', 'sum(token_count)')} AS coverage, sum(cards)::BIGINT AS cards,
-           ceil(sum(cards) / 18.0)::INTEGER AS sessions FROM study GROUP BY ALL"""
+           ceil(sum(cards) / 18.0)::INTEGER AS sessions FROM listed_study GROUP BY ALL"""
 
 
 @query("g3_book_coverage", "SELECT * FROM book_rows")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return G.book_coverage(Study(spark, sf).study())
+    return G.book_coverage(Shelf(spark, sf).study)
 
 
 @query("g4_chapter_list", f"""
-    WITH p AS (SELECT user_id, book_id, chapter_index, arg_max(fraction, (updated_at, id)) AS fraction FROM positions WHERE k >= 0 GROUP BY ALL)
+    WITH p AS (SELECT user_id, book_id, chapter_index, arg_max(fraction, (updated_at, id)) AS fraction FROM positions GROUP BY ALL)
     SELECT s.user_id, s.book_id, s.chapter_index, 'Document ' || s.chapter_index AS title, token_count, fraction, {_COV} AS coverage,
            {_PROJ} AS projected, cards AS cards_to_learn, ceil(cards / 18.0)::INTEGER AS sessions_to_go
-    FROM study s LEFT JOIN p USING (user_id, book_id, chapter_index)""".replace(" WHERE k >= 0", ""))
+    FROM listed_study s LEFT JOIN p USING (user_id, book_id, chapter_index)""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     from lectura.operators.logs import latest_positions
 
-    return G.chapter_list(Study(spark, sf).study(), S.chapters(spark, sf), latest_positions(S.positions(spark, sf)))
+    return G.chapter_list(Shelf(spark, sf).study, S.chapters(spark, sf), latest_positions(S.positions(spark, sf)))
 
 
 @query("g5_coverage_band", """
     SELECT user_id, book_id, CASE WHEN coverage >= 0.9 THEN 'fine' WHEN coverage >= 0.6 THEN 'demanding' ELSE 'very demanding' END AS band,
            coverage < 0.9 AND sessions > 3 AS difficult FROM book_rows""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    rows = G.book_coverage(Study(spark, sf).study())
+    rows = G.book_coverage(Shelf(spark, sf).study)
     return rows.select(
         "user_id", "book_id", G.coverage_band(F.col("coverage")).alias("band"),
         G.difficulty_flag(F.col("coverage"), F.col("sessions")).alias("difficult"),

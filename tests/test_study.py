@@ -98,3 +98,37 @@ def test_rank_matches_a_plain_window(spark):
     for book in ("b0", "b1"):
         ordered = sorted(l for b, l in set(words) if b == book)
         assert [got[(book, l)] for l in ordered] == list(range(len(ordered)))
+
+
+def test_whole_books_match_the_plain_classification(spark):
+    """Per-chapter sums corrected by each reader's words equal the table of readers times vocabulary."""
+    entries = [("m1", "Casa", "NOUN", 5), ("m2", "sol", "NOUN", 9), ("m3", "raro", "NOUN", 1), ("m4", "de", "ADP", 90), ("m5", "visto", "VERB", 7), ("m6", "visto", "NOUN", 1)]
+    lexicon = spark.createDataFrame([("b", k, l, p, n, 0.0, False) for k, l, p, n in entries], LEX)
+    words = [(c, i, 2 + c + i) for c in range(3) for i in range(len(entries)) if (c + i) % 3]
+    counts = spark.createDataFrame([("b", c, entries[i][1], entries[i][2], n) for c, i, n in words] + [("b", 0, "Ana", "PROPN", 4)],
+                                   "book_id string, chapter_index long, lemma string, pos string, n long")
+    readers = {1: (["sol"], ["visto"]), 2: ([], []), 3: (["visto", "de"], ["casa", "sol"])}
+    state = lambda k: spark.createDataFrame([(u, w) for u, s in readers.items() for w in s[k]], "user_id long, lemma_id string")
+    listed = spark.createDataFrame([(u, "b", c, 60, 4 if c == 0 else 0) for u in readers for c in range(4)],
+                                   "user_id long, book_id string, chapter_index long, token_count long, propn_tokens long")
+    vocab = spark.createDataFrame([(u, "b", c, entries[i][0], n) for u in readers for c, i, n in words],
+                                  "user_id long, book_id string, chapter_index long, key string, n long")
+    plain = G.chapter_study(listed, vocab, lexicon, state(0), state(1))
+    got = G.listed_study(listed, counts, lexicon, state(0), state(1))
+    order = ["user_id", "chapter_index"]
+    assert got.select(plain.columns).orderBy(order).collect() == plain.orderBy(order).collect()
+    parts = C.classify_vocabulary(vocab, lexicon, state(0), state(1)).filter("part = 'gloss_only'").groupBy("user_id", "chapter_index").count()
+    gloss = {(r.user_id, r.chapter_index): r["count"] for r in parts.collect()}
+    assert {(r.user_id, r.chapter_index): r.gloss_only for r in got.collect() if r.gloss_only} == gloss
+
+
+def test_the_corpus_meets_no_dictionary_in_a_shuffle(spark):
+    from lectura.operators.songs import language_scores
+    from lectura.plans import stand_ins as S
+
+    docs = spark.range(1000).selectExpr("id AS doc_id", "'el sol de la casa' AS text")
+    for df in (language_scores(docs, S.stop_words(spark)), S.counts_once(spark, "/root/testdata/sf0.001")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line]
+        assert any("BroadcastHashJoin" in j for j in joins)
+        assert not any("SortMergeJoin" in j and ("word#" in j or "[s#" in j) for j in joins)
