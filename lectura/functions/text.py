@@ -45,6 +45,13 @@ def _accent_table() -> tuple[str, str]:
 ACCENTED, PLAIN = _accent_table()
 
 
+# Marks and jamo join what stands before them; the rest have a composed form of their own.
+MAY_COMPOSE = (
+    r"[\p{M}\u1100-\u11ff\u0340-\u0387\u0958-\u09df\u0a33-\u0a5e\u0b5c\u0b5d\u0f43-\u0fb9\u1f71-\u1fff\u2000\u2001"
+    r"\u2126\u212a\u212b\u2329\u232a\u2adc\uf900-\ufaff\ufb1d-\ufb4e\x{1d15e}-\x{1d1c0}\x{2f800}-\x{2fa1f}]"
+)
+
+
 @F.pandas_udf(StringType())
 def _nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
@@ -74,9 +81,12 @@ def collapse_space(text: Column) -> Column:
 def normalize_text(text: Column, full_nfc: bool = False) -> Column:
     """Compose accents, drop soft hyphens, collapse white space, strip.
 
-    ``full_nfc`` pays for an Arrow round trip to cover every script.
+    ``full_nfc`` covers every script; the texts that composition can change, and only those, make an
+    Arrow round trip.
     """
-    composed = _nfc(text) if full_nfc else compose_latin(text)
+    composed = compose_latin(text)
+    if full_nfc:
+        composed = F.coalesce(_nfc(F.when(F.regexp_like(text, F.lit(MAY_COMPOSE)), text)), text)
     return collapse_space(F.replace(composed, F.lit(SOFT_HYPHEN), F.lit("")))
 
 

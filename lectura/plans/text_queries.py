@@ -49,10 +49,16 @@ CTES["page_paras"] = _paragraphs_sql("prose", "book_id, doc_ord, doc_name", "bod
 _HEADING = r"(?is)<h[1-6](?:\s[^>]*)?>(.*?)</h[1-6]\s*>"
 
 
-@query("p1_normalize_text", r"""
-    SELECT doc_id, trim(regexp_replace(replace(text, chr(173), ''), '[\t-\r\x1c-\x20\x85\p{Z}]+', ' ', 'g')) AS clean FROM documents""")
+# The texts with some letters taken apart: Latin and, at the end, Cyrillic and kana.
+_APART = "replace(replace(text, 'é', 'e' || chr(769)), 'ñ', 'n' || chr(771)) || ' ' || chr(1080) || chr(774) || chr(12363) || chr(12441)"
+
+
+@query("p1_normalize_text", rf"""
+    SELECT doc_id, trim(regexp_replace(replace(nfc_normalize({_APART}), chr(173), ''), '[\t-\r\x1c-\x20\x85\p{{Z}}]+', ' ', 'g')) AS clean FROM documents""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return S.documents(spark, sf).select("doc_id", X.normalize_text(F.col("text")).alias("clean"))
+    latin = F.replace(F.replace("text", F.lit("é"), F.lit("e\u0301")), F.lit("ñ"), F.lit("n\u0303"))
+    apart = F.concat(latin, F.lit(" \u0438\u0306\u304b\u3099"))
+    return S.documents(spark, sf).select("doc_id", X.normalize_text(apart, full_nfc=True).alias("clean"))
 
 
 @query("p2_html_to_paragraphs", "SELECT doc_ord, paragraph_index, text FROM page_paras")

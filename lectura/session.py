@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,3 +66,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Let Python workers import the package, wherever the driver was started; once per context."""
+    context = spark.sparkContext
+    if not getattr(context, "_lectura_shipped", False):
+        root = Path(__file__).resolve().parents[1]
+        archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="spark-")) / "lectura"), "zip", root, "lectura")
+        context.addPyFile(archive)
+        context._lectura_shipped = True
+    return spark

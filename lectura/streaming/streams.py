@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from lectura.functions import srs
+from lectura.session import ship
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -79,6 +80,7 @@ def stream_card_state(reviews: DataFrame, delay: str = "1 hour") -> DataFrame:
 
     Runs on the RocksDB state store; ``run_to_table`` sets it for the time of the run.
     """
+    ship(reviews.sparkSession)
     prepared = (
         reviews.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
         .select("user_id", "lemma_id", "ts", F.unix_micros("ts").alias("us"),

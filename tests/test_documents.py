@@ -20,6 +20,19 @@ def test_normalize_text(spark):
         assert one(spark, raw, lambda c: T.normalize_text(c, full_nfc=True)) == want
 
 
+def test_what_may_compose_covers_unicode():
+    import sys
+    import unicodedata
+
+    import regex
+
+    pattern = regex.compile(T.MAY_COMPOSE.replace("\\x{1d15e}-\\x{1d1c0}\\x{2f800}-\\x{2fa1f}", "\\U0001d15e-\\U0001d1c0\\U0002f800-\\U0002fa1f"))
+    letters = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    assert not [c for c in letters if unicodedata.normalize("NFC", c) != c and not pattern.match(c)]
+    parts = [unicodedata.normalize("NFD", c) for c in letters]
+    assert not [p for p in parts if len(p) > 1 and unicodedata.normalize("NFC", p) != p and not pattern.search(p)]
+
+
 def test_paragraphs(spark):
     cases = {
         "<body><h1>Mapa</h1><p>Norte</p><p>Sur</p></body>": ["Norte", "Sur"],
