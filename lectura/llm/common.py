@@ -1,17 +1,16 @@
-"""What the operators share: white space, words, gapless numbering, and code for the workers."""
+"""What the operators share: white space, words, Arrow maps and gapless numbering."""
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectura.session import ship
+
 # White space is exactly these six characters everywhere in this subpackage.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -75,14 +74,3 @@ def numbered(rows: DataFrame, key: str, order: list[str], out: str, spread: str,
     )
     inside = cut.withColumn("_nr", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)))
     return inside.join(before, [key, "_part"]).select(*rows.columns, (F.col("_before") + F.col("_nr") - 1).cast("long").alias(out))
-
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import the package, wherever the driver was started; once per context."""
-    context = spark.sparkContext
-    if not getattr(context, "_lectura_shipped", False):
-        root = Path(__file__).resolve().parents[2]
-        archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="spark-")) / "lectura"), "zip", root, "lectura")
-        context.addPyFile(archive)
-        context._lectura_shipped = True
-    return spark

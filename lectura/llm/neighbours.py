@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectura.session import stored
+from lectura.session import ship, stored
 
-from .common import map_rows, ship
+from .common import map_rows
 
 SAMPLE = 3000  # vectors that the graph, the parts and the classifier are made of, at most
 PARTS = 16

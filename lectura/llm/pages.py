@@ -19,9 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectura.session import stored
+from lectura.session import ship, stored
 
-from .common import map_rows, ship
+from .common import map_rows
 
 LEAST_PAGES = 8  # different pages of a host before its wording can be called fixed
 SUPPORT = 0.9  # of a host's different pages that hold a template class

@@ -14,9 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectura.session import stored
+from lectura.session import ship, stored
 
-from .common import map_rows, ship, whole_text
+from .common import map_rows, whole_text
 from .components import components
 
 SHINGLE = 3

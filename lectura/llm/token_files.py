@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectura.session import stored
+from lectura.session import ship, stored
 
-from .common import map_rows, ship, whole_text
+from .common import map_rows, whole_text
 from .tokens import encoder
 
 MAGIC = b"LECTPFR1"
