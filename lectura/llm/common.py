@@ -25,6 +25,12 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long")
 
 
+def set_aside(rows: DataFrame, names: set[str]) -> tuple[DataFrame, list[Column]]:
+    """`rows` with its columns of these names out of the way, and the columns that give back `rows` later on."""
+    away = {c: f"_own_{c}" for c in rows.columns if c in names}
+    return rows.withColumnsRenamed(away), [F.col(away.get(c, c)).alias(c) for c in rows.columns]
+
+
 def map_rows(rows: DataFrame, make: Callable[..., dict], fields: str, use: list[str], keep: list[str]) -> DataFrame:
     """The columns `keep` as they are, and new columns that `make` computes from the columns `use`, batch by batch.
 

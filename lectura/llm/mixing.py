@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from lectura.session import stored
 
-from .common import whole_text, word_count
+from .common import set_aside, whole_text, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -110,4 +110,6 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 def repeat_documents(docs: DataFrame) -> DataFrame:
     """`docs` with every row as often as the mix has whole copies of it, and no further columns."""
-    return mix(sized(docs)).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    rows, own = set_aside(docs, {"size", "source_size", "target", "taken", "copies"})
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return mix(sized(rows)).where("copies > 0").withColumn("_copy", times).select(*own)

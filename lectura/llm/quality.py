@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, whole_text
+from .common import map_rows, set_aside, whole_text
 
 BITS = 18
 SCALE = 80.0  # a text's distinct words share this value
@@ -186,12 +186,17 @@ def accepted() -> Column:
 
 
 def select_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of `docs` (doc_id, text, ...) that the classifier fitted on `labels` accepts, with score, expected_grade,
-    tail_1 and tail_2.
+    """doc_id, score, expected_grade, tail_1 and tail_2 of the rows of `docs` (doc_id, text) that the classifier fitted
+    on `labels` accepts.
 
     Null text counts as empty and has score 0, as the average of nothing. Repeated rows are judged alike. Labels without
-    a document, with nulls or twice for a document are no error. An empty table gives no rows. Columns of `docs` with
-    the names of the new ones are replaced by them.
+    a document, with nulls or twice for a document are no error. An empty table gives no rows. Further columns are
+    ignored; `keep_accepted` keeps them.
     """
-    new = {"score", "expected_grade", "tail_1", "tail_2"}
-    return grade_documents(docs, fit(docs, labels, sample), [c for c in docs.columns if c not in new]).where(accepted())
+    return grade_documents(docs, fit(docs, labels, sample), ["doc_id"]).where(accepted())
+
+
+def keep_accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The accepted rows of `docs`, with their own columns and no others."""
+    rows, own = set_aside(docs, {"score", "expected_grade", "tail_1", "tail_2"})
+    return grade_documents(rows, fit(docs, labels, sample), rows.columns).where(accepted()).select(*own)

@@ -59,6 +59,7 @@ def test_mix(spark):
     assert sorted(map(str, got)) == sorted(map(str, mix_documents(frame.repartition(5)).collect()))
     repeated = repeat_documents(frame)
     assert repeated.columns == frame.columns
+    assert {tuple(r) for r in repeated.collect()} <= set(rows)
     assert Counter(r["doc_id"] for r in repeated.collect()) == +sum((Counter({r["doc_id"]: r["copies"]}) for r in got), Counter())
 
 

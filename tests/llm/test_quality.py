@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from lectura.llm.quality import BITS, Ordinal, features, fit, ratings, select_documents
+from lectura.llm.quality import BITS, Ordinal, features, fit, keep_accepted, ratings, select_documents
 
 DOCS = "doc_id long, text string, source string, score string, tail_1 int"
 
@@ -60,7 +60,11 @@ def test_selection_over_a_table(spark):
     labels += [(0, None, None), (3, labels[3][1], labels[3][2]), (None, 1, 0), (12_345, 1, 0)]
     docs, rated = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = select_documents(docs, rated)
-    assert got.columns == ["doc_id", "text", "source", "score", "expected_grade", "tail_1", "tail_2"]
+    assert got.columns == ["doc_id", "score", "expected_grade", "tail_1", "tail_2"]
+    whole = keep_accepted(docs, rated)
+    assert whole.columns == docs.columns
+    by_row = sorted(map(str, docs.collect()))
+    assert all(str(r) in by_row for r in whole.collect()) and whole.count() == got.count()
     kept = [r["doc_id"] for r in got.collect()]
     assert np.mean([k in kept for k in np.flatnonzero(grades == 2)]) > 0.95
     assert np.mean([k in kept for k in np.flatnonzero(grades < 2)]) < 0.1
