@@ -43,7 +43,7 @@ PLACES = tuple({c: k for k, c in enumerate(e)} for e in ENCODINGS)
 SHORTEST = 20  # of a string that the battery judges
 TEST_LIMIT = 3.3  # standard errors at which a test calls a string non-random (two-sided, about 0.001)
 LENGTH_CLASSES = (20, 32, 48, 64)  # where each begins
-FALSE_SHARE = 0.01
+FALSE_SHARE = 0.001
 BINS_PER_DIGIT, LAST_BIN = 20, 600  # of -log10 p, for the distributed procedure
 
 
