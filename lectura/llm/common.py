@@ -21,6 +21,22 @@ def whole_text(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"].cast("string"), F.lit(""))
 
 
+def text_key(docs: DataFrame) -> Column:
+    """A hash that stands for the text of a row; with doc_id it names the row, whatever is null or occurs twice."""
+    return F.sha2(whole_text(docs), 256)
+
+
+def keep_named(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of `docs` that `named` (doc_id, text_key) names, with all their columns; of rows repeated so, one."""
+    stays = named.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    keyed = docs.withColumn("_text_key", text_key(docs))
+    once = F.row_number().over(Window.partitionBy("doc_id", "_text_key").orderBy("text"))
+    return (
+        keyed.join(stays, keyed["doc_id"].eqNullSafe(stays["_id"]) & (F.col("_text_key") == F.col("_key")), "left_semi")
+        .withColumn("_once", once).where("_once = 1").select(*docs.columns)
+    )
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long")
 

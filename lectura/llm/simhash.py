@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lectura.session import ship, stored
 
-from .common import map_rows, whole_text
+from .common import keep_named, map_rows, text_key, whole_text
 from .components import components
 
 SHINGLE = 3
@@ -49,13 +49,13 @@ def fingerprint(text: str, width: int = SHINGLE) -> int:
     return int(np.packbits(set_bits * 2 > len(last), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint) of every row, as a signed 64-bit number, stored."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep` and the fingerprint of every row, as a signed 64-bit number, stored."""
     def of_texts(texts: list[str]) -> dict:
         return {"fingerprint": np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)}
 
-    texts = docs.select("doc_id", whole_text(docs).alias("text"))
-    return stored(map_rows(texts, of_texts, "fingerprint long", ["text"], ["doc_id"]), "fingerprints")
+    texts = docs.select(*keep, whole_text(docs).alias("text"))
+    return stored(map_rows(texts, of_texts, "fingerprint long", ["text"], list(keep)), "fingerprints")
 
 
 # --- the trie inside one task -----------------------------------------------------------------------------------------
@@ -251,6 +251,12 @@ def near_forest(distinct: DataFrame, budget: int = MAX_BITS) -> DataFrame:
     return dealt.groupBy("pair").applyInPandas(traverse, "a long, b long")
 
 
+def rooted_prints(distinct: DataFrame, budget: int = MAX_BITS) -> DataFrame:
+    """`distinct` (fingerprint, ...) with `_root`, the fingerprint that stands for its component, stored."""
+    root = components(near_forest(distinct, budget)).withColumnRenamed("node", "fingerprint")
+    return stored(distinct.join(root, "fingerprint", "left").withColumn("_root", F.coalesce("root", "fingerprint")), "fingerprint-roots")
+
+
 def near_groups(docs: DataFrame, budget: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of `docs` (doc_id, text).
 
@@ -261,8 +267,7 @@ def near_groups(docs: DataFrame, budget: int = MAX_BITS) -> DataFrame:
     """
     rows = fingerprints(docs)
     distinct = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("_first")), "fingerprint-groups")
-    root = components(near_forest(distinct, budget)).withColumnRenamed("node", "fingerprint")
-    rooted = stored(distinct.join(root, "fingerprint", "left").withColumn("_root", F.coalesce("root", "fingerprint")), "fingerprint-roots")
+    rooted = rooted_prints(distinct, budget)
     smallest = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"))
     named = rooted.join(smallest, "_root").select("fingerprint", "component_id")
     return rows.join(named, "fingerprint").select(
@@ -270,12 +275,12 @@ def near_groups(docs: DataFrame, budget: int = MAX_BITS) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, budget: int = MAX_BITS) -> DataFrame:
-    """The rows of `docs` that stay: of each group of near copies the row with the smallest doc_id, once."""
-    from pyspark.sql.window import Window
-
-    stays = near_groups(docs, budget).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id"))
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return (
-        docs.join(stays, docs["doc_id"].eqNullSafe(stays["_id"]), "left_semi")
-        .withColumn("_once", once).where("_once = 1").select(*docs.columns)
-    )
+    """The rows of `docs` that stay: of each group of near copies the row with the smallest doc_id (null last), once.
+
+    A row is named by doc_id and text together, so rows without an id, or of one id, stay if their groups differ.
+    """
+    rows = fingerprints(docs.select("doc_id", "text", text_key(docs).alias("text_key")), ("doc_id", "text_key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+    distinct = stored(rows.groupBy("fingerprint").agg(first.alias("_first")), "fingerprint-groups")
+    stays = rooted_prints(distinct, budget).groupBy("_root").agg(F.min("_first").alias("_first"))
+    return keep_named(docs, stays.select("_first.doc_id", "_first.text_key"))

@@ -132,3 +132,12 @@ def test_empty_table_and_null_ids(spark):
     got = near_groups(spark.createDataFrame([(None, "a b c d", None, None), (4, "a b c d", None, None), (None, "z", None, None)], DOCS)).collect()
     assert sorted((r["doc_id"] is None, r["component_id"]) for r in got if r["component_id"] is not None) == [(False, 4), (True, 4)]
     assert sum(r["component_id"] is None for r in got) == 1
+
+
+def test_rows_without_an_id_or_of_one_id_are_kept_apart(spark):
+    rnd = random.Random(6)
+    texts = [" ".join(f"w{rnd.randrange(900)}" for _ in range(60)) for _ in range(8)]
+    rows = [(None, t, "n", None) for t in texts[:5]] + [(7, texts[5], "a", None), (7, texts[6], "b", None), (8, texts[7], "c", None), (None, texts[7], "d", None)]
+    rows += [(None, texts[0], "n", None)]
+    got = [tuple(r) for r in keep_one_of_each(spark.createDataFrame(rows, DOCS)).collect()]
+    assert sorted(got, key=str) == sorted(rows[:8], key=str)
