@@ -31,6 +31,7 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ("assign", "access", "hex", "random")
 
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+PIECE = re.compile(r"[^=]+")
 LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 # Smallest first; a string belongs to the first alphabet that holds all of it.
 ENCODINGS = (
@@ -81,14 +82,22 @@ def battery(string: str) -> tuple[int, float, bool] | None:
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, int, float, bool]]:
-    """(start, end, encoding, statistic, random) of the strings beside the base spans that are long enough."""
-    out = []
+    """(start, end, encoding, statistic, random) of the strings beside the base spans that are long enough.
+
+    A name and its value, or what stands before and behind a base span, are strings of their own.
+    """
+    out, k = [], 0
     for run in RUN.finditer(text):
-        start, end = run.start(), run.start() + len(run[0].rstrip("="))
-        if end - start < SHORTEST or any(s < end and start < e for s, e, _ in base):
-            continue
-        if (judged := battery(text[start:end])) is not None:
-            out.append((start, end, *judged))
+        at, end = run.span()
+        while at < end:
+            while k < len(base) and base[k][1] <= at:
+                k += 1
+            upto = min(end, base[k][0]) if k < len(base) else end
+            for piece in PIECE.finditer(text, at, max(at, upto)):
+                start, stop = piece.span()
+                if stop - start >= SHORTEST and (judged := battery(text[start:stop])) is not None:
+                    out.append((start, stop, *judged))
+            at = base[k][1] if upto < end else end
     return out
 
 

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from lectura.llm.secrets import base_spans, battery, p_bin, scan_documents, thresholds
+from lectura.llm.secrets import base_spans, battery, candidates, p_bin, scan_documents, thresholds
 
 DOCS = "doc_id long, text string, spans string, source int"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -65,3 +65,16 @@ def test_documents(spark):
 
 def test_empty_table(spark):
     assert scan_documents(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_values_behind_names_and_beside_base_spans_are_judged():
+    rnd = random.Random(4)
+    value = "".join(rnd.choice(BASE64) for _ in range(40))
+    hexes = "0123456789abcdef" * 2
+    for before in ("AWS_SECRET_ACCESS_KEY=", "client_key=", "?sig=", "a=b=", hexes + "_", "token: 'abcdefgh' ", ""):
+        for after in ("", "==", "=" + hexes, "_" + hexes):
+            text = f"x {before}{value}{after} {hexes}"
+            base = base_spans(text)
+            found = candidates(text, base)
+            assert any(value in text[s:e] and e - s <= 42 for s, e, *_ in found), text
+            assert not any(s < f and c < e for s, e, *_ in found for c, f, _ in base), text
