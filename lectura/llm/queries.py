@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, neighbours, packing, pages, quality, secrets, sharding, simhash, token_files
+from . import (
+    centroids, exact_dedup, factors, fill_middle, mixing, neighbours, packing, pages, quality, secrets, sharding, simhash, token_files,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,3 +133,93 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
+
+
+def _centroid_rounds(rounds: int) -> str:
+    """CTEs c1, c2, ... of the centroids after each round, from c0."""
+    return ",\n".join(f"""a{k} AS MATERIALIZED (
+    SELECT vec_id, v, c, d FROM (
+        SELECT vec_id, v, c, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS r FROM (
+            SELECT k.vec_id, k.v, c.c, list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i]))) AS d
+            FROM kept k, c{k} c)) WHERE r = 1
+), c{k + 1} AS MATERIALIZED (
+    SELECT c0.c, coalesce(m.v, c0.v) AS v FROM c{k} c0 LEFT JOIN (
+        SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (
+            SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+            FROM (SELECT c, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{k}) GROUP BY c, i) GROUP BY c) m ON m.c = c0.c
+)""" for k in range(rounds))
+
+
+@query(f"""
+WITH kept AS MATERIALIZED (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY h) - 1 AS c, v
+    FROM (SELECT sha256('2:' || vec_id) AS h, v FROM kept ORDER BY h LIMIT 40)
+), {_centroid_rounds(5)}, last AS (
+    SELECT vec_id, c, d, sha256(list_aggregate(v5, 'string_agg', ',')) AS sha FROM (
+        SELECT vec_id, c, d, v5, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS r FROM (
+            SELECT k.vec_id, c.c, c.v AS v5, list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i]))) AS d
+            FROM kept k, c5 c)) WHERE r = 1
+)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha AS centroid_sha256
+FROM last
+""")
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query(r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+    SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d WHERE len(w) >= 20
+), k AS (
+    SELECT doc_id, p, array_to_string(list_slice(w, p, p + 19), ' ') AS words FROM s
+), r AS (
+    SELECT doc_id, p, row_number() OVER (PARTITION BY words ORDER BY doc_id, p) AS nr FROM k
+), gone AS (
+    SELECT doc_id, list(DISTINCT p) AS gone
+    FROM (SELECT doc_id, unnest(range(p, p + 20)) AS p FROM r WHERE nr > 1) GROUP BY doc_id
+), j AS (
+    SELECT doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_select(w, list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(gone, p))), ' ')) AS kept_sha256
+FROM j
+""")
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = factors.remove_repeats(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+           sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+    FROM documents
+), x AS (
+    SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS p, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS q,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                     OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+                WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM d
+), c AS (
+    SELECT doc_id, text, n, form, array_to_string(list_slice(u, 1, least(p, q)), '') AS prefix,
+           array_to_string(list_slice(u, least(p, q) + 1, greatest(p, q)), '') AS middle,
+           array_to_string(list_slice(u, greatest(p, q) + 1, n), '') AS suffix
+    FROM x
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM c
+""")
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.restore(fill_middle.rearrange(table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2("restored", 256).alias("restored_sha256"))
