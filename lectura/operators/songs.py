@@ -92,74 +92,141 @@ def with_match_keys(df: DataFrame) -> DataFrame:
     )
 
 
-def _words(values: DataFrame, column: str, word: str, rare: str) -> DataFrame:
-    """(column, word, rare): the words of every distinct value, its least used one flagged."""
-    words = values.select(column).distinct().select(
-        column, F.explode(F.array_distinct(F.split(column, " "))).alias(word)
-    )
-    uses = words.groupBy(word).agg(F.count(F.lit(1)).alias("_uses"))
-    least = words.join(uses, word).groupBy(column).agg(F.min_by(word, F.struct("_uses", word)).alias("_least"))
-    return words.join(least, column).select(column, word, (F.col(word) == F.col("_least")).alias(rare))
+def near_words(words: DataFrame) -> DataFrame:
+    """(word, near): the distinct words of ``words(word)`` that are slips apart, every word with itself too.
+
+    A slip is a letter too many, missing, wrong, or swapped with its neighbour: words are near if they, or what is left
+    of them without some letters, are equal. ``SLIP_LETTERS`` says from how many letters on a word may lose one, and two;
+    shorter words only match themselves.
+    """
+    at = lambda w: F.sequence(F.lit(1), F.length(w))
+    shorter = lambda w: F.transform(at(w), lambda k: F.concat(F.substring(w, F.lit(1), k - 1), F.substring(w, k + 1, F.length(w))))
+    one = shorter(F.col("word"))
+    slips = [F.when(F.length("word") >= n, f).otherwise(F.array().cast("array<string>")) for n, f in zip(K.SLIP_LETTERS, (one, F.flatten(F.transform(one, shorter))))]
+    forms = F.array_distinct(F.concat(F.array("word"), *slips))
+    keyed = words.select("word").distinct().select("word", F.explode(forms).alias("_form"))
+    return keyed.join(keyed.withColumnRenamed("word", "near"), "_form").select("word", "near").distinct()
 
 
-def _blocked(records: DataFrame) -> DataFrame:
-    keys = records.select("artist_key", "title_key").distinct()
-    return keys.join(_words(keys, "artist_key", "aw", "a_rare"), "artist_key").join(
-        _words(keys, "title_key", "tw", "t_rare"), "title_key"
+def key_words(records: DataFrame, column: str) -> DataFrame:
+    """(column, word, place): the words of every distinct key, numbered from the one that fewest keys hold."""
+    words = records.select(column).distinct().select(
+        column, F.explode(F.array_distinct(F.split(column, " "))).alias("word")
     )
+    uses = words.groupBy("word").agg(F.count(F.lit(1)).alias("_uses"))
+    order = Window.partitionBy(column).orderBy("_uses", "word")
+    return words.join(uses, "word").select(column, "word", F.row_number().over(order).alias("place"))
+
+
+def _sides(rare: Column, own: str) -> Column:
+    """Which of the two keys must hold its rare words for them to share these."""
+    return F.explode(F.when(rare, F.array(F.lit("mine"), F.lit("other"))).otherwise(F.array(F.lit(own)))).alias("side")
 
 
-def candidate_pairs(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Distinct key pairs worth comparing.
+def matching_words(tracks: DataFrame, catalog: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``(column, own, word, place)`` of the distinct values of ``column`` in the tracks and in the catalog.
 
-    Two songs are compared when, for the artist and for the title alike, the least used word of
-    either side occurs in the other. Words that many titles share never form a block of their own,
-    and any pair where one side's words contain the other's is found.
+    ``word`` is a word of the value, for the tracks also any near word (``own`` is then the word as written).
     """
-    # Which side must hold the rare word, for the artist and the title: one join answers all four.
-    pick = lambda cases: F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in cases.items()])))
-    artist, title, always = F.col("a_rare"), F.col("t_rare"), F.lit(True)
-    mine = _blocked(tracks).select(
-        "artist_key", "title_key", "aw", "tw",
-        pick({"mm": artist & title, "mo": artist, "om": title, "oo": always}).alias("_sides"),
-    )
-    other = _blocked(catalog).select(
-        F.col("artist_key").alias("other_artist_key"), F.col("title_key").alias("other_title_key"), "aw", "tw",
-        pick({"mm": always, "mo": title, "om": artist, "oo": artist & title}).alias("_sides"),
-    )
-    columns = ["artist_key", "title_key", "other_artist_key", "other_title_key"]
-    return mine.join(other, ["aw", "tw", "_sides"]).select(*columns).distinct()
+    mine, other = key_words(tracks, column), key_words(catalog, column)
+    near = near_words(mine.select("word").union(other.select("word")))
+    mine = mine.join(near, "word").select(column, F.col("word").alias("own"), F.col("near").alias("word"), "place")
+    return mine, other.select(F.col(column).alias(f"other_{column}"), F.col("word").alias("own"), "word", "place")
 
 
-def score_matches(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Best catalog row per track with its score and verdict.
+def _by_word(words: DataFrame, own: str) -> DataFrame:
+    """Keys ``(word, side)``: two values share one if the least used word of either is near a word of the other.
 
-    Names are scored once per distinct pair of keys, and rows enter as distinct (keys, duration)
-    only, so copies of a track or of a catalog row never multiply.
+    Words that many values hold never join on their own, and slips in the least used word of both are survived.
+    """
+    return words.select(words.columns[0], "word", _sides(F.col("place") == 1, {"mine": "other", "other": "mine"}[own])).distinct()
+
+
+def _by_two_words(words: DataFrame, own: str) -> DataFrame:
+    """Keys ``(word, word2, side)``: the two least used words of either value are near two words of the other."""
+    key = words.columns[0]
+    second = words.select(key, F.col("own").alias("_own2"), F.col("word").alias("_word2"), F.col("place").alias("_place2"))
+    return words.join(second, key).filter(F.col("own") < F.col("_own2")).select(
+        key, F.least("word", "_word2").alias("word"), F.greatest("word", "_word2").alias("word2"),
+        _sides((F.col("place") <= 2) & (F.col("_place2") <= 2), {"mine": "other", "other": "mine"}[own]),
+    ).distinct()
+
+
+def match_keys(tracks: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every way in which a track (first table) and a catalog row (second) may meet: equal ``MATCH_KEYS``.
+
+    ``both``: artist and title match in a least used word, up to slips. ``words``: the title does in its two least used
+    words. ``title``, ``artist``: only that one does, and the durations are within the tolerance, without which no
+    such pair reaches the score for a manual check. Columns are the keys and ``_d`` on the one side, ``other_artist_key``,
+    ``other_title_key``, ``_od`` and ``lyric_id`` on the other.
     """
-    wt, wa, wd = K.MATCH_WEIGHTS
     keys = ["artist_key", "title_key"]
-    duration = F.coalesce("duration_sec", F.lit(-1)).alias("_d")
-    pairs = candidate_pairs(tracks, catalog).withColumn(
-        "_names",
-        wt * token_set_ratio(F.col("title_key"), F.col("other_title_key"))
-        + wa * similarity(F.col("artist_key"), F.col("other_artist_key")),
-    )
-    forms = tracks.select(*keys, duration).distinct()
+    forms = tracks.select(*keys, F.coalesce("duration_sec", F.lit(-1)).alias("_d")).distinct()
     rows = catalog.groupBy(
         F.col("artist_key").alias("other_artist_key"), F.col("title_key").alias("other_title_key"),
         F.coalesce("duration_sec", F.lit(-1)).alias("_od"),
     ).agg(F.min("lyric_id").alias("lyric_id"))
+    artists, titles = (dict(zip(("mine", "other"), matching_words(tracks, catalog, c))) for c in keys)
+    around = F.explode(F.sequence(F.col("_d") - K.DURATION_TOLERANCE_SEC, F.col("_d") + K.DURATION_TOLERANCE_SEC))
+
+    def meeting(own: str, records: DataFrame, timed: DataFrame, at: Column) -> DataFrame:
+        artist, title = _by_word(artists[own], own), _by_word(titles[own], own)
+        word, side, none, at = F.col("word"), F.col("side"), F.lit(""), at.cast("string")
+
+        def keyed(rows: DataFrame, kind: str, *values: Column) -> DataFrame:
+            return rows.select(*records.columns, F.lit(kind).alias("kind"), *(v.alias(n) for v, n in zip(values, MATCH_KEYS[1:])))
+
+        a, t = artist.columns[0], title.columns[0]
+        both = records.join(artist.withColumnsRenamed({"word": "aw", "side": "as"}), a).join(title, t)
+        return (
+            keyed(both, "both", F.col("aw"), F.col("as"), word, side)
+            .union(keyed(records.join(_by_two_words(titles[own], own), t), "words", word, side, F.col("word2"), none))
+            .union(keyed(timed.join(title, t), "title", word, side, at, none))
+            .union(keyed(timed.join(artist, a), "artist", word, side, at, none))
+        )
+
+    timed = forms.filter("_d >= 0").select("*", around.alias("_at")).filter("_at >= 0")
+    return meeting("mine", forms, timed, F.col("_at")), meeting("other", rows, rows.filter("_od >= 0"), F.col("_od"))
+
+
+MATCH_KEYS = ["kind", "k1", "s1", "k2", "s2"]
+
+
+def match_buckets(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(kind, buckets, pairs, largest): how many comparisons each kind of key makes, and its largest key."""
+    mine, other = match_keys(tracks, catalog)
+    count = lambda t, name: t.groupBy(*MATCH_KEYS).agg(F.count(F.lit(1)).alias(name))
+    sized = count(mine, "_m").join(count(other, "_o"), MATCH_KEYS).withColumn("_pairs", F.col("_m") * F.col("_o"))
+    return sized.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("buckets"), F.sum("_pairs").alias("pairs"), F.max("_pairs").alias("largest"))
+
+
+def score_matches(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Best catalog row per track with its score and verdict; no row and no score where none reaches a manual check.
+
+    Tracks enter as distinct (keys, duration) and catalog rows as distinct (keys, duration) with their smallest id, so
+    copies never multiply. Pairs that meet by several keys are not made distinct: the best one is the same.
+    Two songs meet as ``match_keys`` says. A pair is lost only if neither the artists nor the titles share a least used
+    word up to slips, or if only one of them does, the durations are far apart or unknown, and a second word differs.
+    """
+    wt, wa, wd = K.MATCH_WEIGHTS
+    keys = ["artist_key", "title_key"]
     near = (F.col("_d") >= 0) & (F.col("_od") >= 0) & (F.abs(F.col("_d") - F.col("_od")) <= K.DURATION_TOLERANCE_SEC)
+    artist = similarity(F.col("artist_key"), F.col("other_artist_key"))
+    title = token_set_ratio(F.col("title_key"), F.col("other_title_key"))
+    mine, other = match_keys(tracks, catalog)
     best = F.max_by(F.struct("lyric_id", "score"), F.struct("score", -F.col("lyric_id")))
     scored = (
-        forms.join(pairs, keys)
-        .join(rows, ["other_artist_key", "other_title_key"])
-        .withColumn("score", F.round(F.col("_names") + F.when(near, wd).otherwise(0.0), 6))
+        mine.join(other, MATCH_KEYS)
+        .withColumn("_rest", wa * artist + F.when(near, wd).otherwise(0.0))
+        .filter(F.col("_rest") + wt >= K.MATCH_MANUAL - 1e-6)  # before the dearer title is looked at
+        .withColumn("score", F.round(wt * title + F.col("_rest"), 6))
+        .filter(F.col("score") >= K.MATCH_MANUAL)
         .groupBy(*keys, "_d").agg(best.alias("_b"))
     )
-    return tracks.select("track_id", *keys, duration).join(scored, [*keys, "_d"]).select(
-        "track_id", "_b.lyric_id", "_b.score", match_verdict(F.col("_b.score")).alias("verdict")
+    duration = F.coalesce("duration_sec", F.lit(-1)).alias("_d")
+    return tracks.select("track_id", *keys, duration).join(scored, [*keys, "_d"], "left").select(
+        "track_id", "_b.lyric_id", "_b.score", F.coalesce(match_verdict(F.col("_b.score")), F.lit("reject")).alias("verdict")
     )
 
 

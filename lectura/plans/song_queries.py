@@ -68,8 +68,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 CTES["tracks"] = f"""
     SELECT track_id, artist, title, album, duration_sec, {_artist_sql('artist')} AS artist_key, strip_accents({_title_sql('title')}) AS title_key
-    FROM (SELECT p_partkey AS track_id, p_brand AS artist, upper(split_part(p_name, ' ', 1)[1]) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(split_part(p_name, ' ', 2)[1]) || substr(split_part(p_name, ' ', 2), 2)
-                 || CASE p_type WHEN 'SMALL' THEN ' (Live)' WHEN 'ECONOMY' THEN ' - Remastered' ELSE '' END AS title, p_type AS album, p_size + 180 AS duration_sec FROM part)"""
+    FROM (SELECT p_partkey AS track_id, CASE WHEN p_partkey % 9 IN (4, 7) THEN replace(p_brand, 'ran', 'rn') ELSE p_brand END AS artist,
+                 CASE p_partkey % 9 WHEN 2 THEN name[:-2] WHEN 4 THEN name || 'x' WHEN 6 THEN name[:-3] || 'o' || name[-1] ELSE name END
+                 || CASE p_type WHEN 'SMALL' THEN ' (Live)' WHEN 'ECONOMY' THEN ' - Remastered' ELSE '' END AS title, p_type AS album, p_size + 180 AS duration_sec
+          FROM (SELECT *, upper(split_part(p_name, ' ', 1)[1]) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(split_part(p_name, ' ', 2)[1]) || substr(split_part(p_name, ' ', 2), 2) AS name FROM part))"""
 CTES["catalog"] = f"""
     SELECT lyric_id, artist, title, album, duration_sec, instrumental, {_artist_sql('artist')} AS artist_key, strip_accents({_title_sql('title')}) AS title_key
     FROM (SELECT p_partkey AS lyric_id, upper(p_brand) AS artist, p_name || CASE WHEN p_retailprice % 3 >= 2 THEN ' blues' ELSE '' END AS title, p_type AS album,
@@ -84,21 +86,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 _SIM = lambda a, b: f"CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1.0::DOUBLE ELSE 1 - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b})) END"
 
 
-def _block_sql(source: str) -> str:
-    """Words of both keys with a flag for the least used one."""
-    return f"""
-      SELECT k.artist_key, k.title_key, a.word AS aw, a.rare AS ar, t.word AS tw, t.rare AS tr FROM (SELECT DISTINCT artist_key, title_key FROM {source}) k
-      JOIN (SELECT key, word, row_number() OVER (PARTITION BY key ORDER BY uses, word) = 1 AS rare FROM (SELECT key, word, count(*) OVER (PARTITION BY word) AS uses
-            FROM (SELECT DISTINCT artist_key AS key, unnest(string_split(artist_key, ' ')) AS word FROM {source}))) a ON a.key = k.artist_key
-      JOIN (SELECT key, word, row_number() OVER (PARTITION BY key ORDER BY uses, word) = 1 AS rare FROM (SELECT key, word, count(*) OVER (PARTITION BY word) AS uses
-            FROM (SELECT DISTINCT title_key AS key, unnest(string_split(title_key, ' ')) AS word FROM {source}))) t ON t.key = k.title_key"""
-
-
 def _scored_sql(tracks: str) -> str:
     j = lambda x: f"coalesce(list_aggregate(list_sort({x}), 'string_agg', ' '), '')"
     return f"""
-      WITH mine AS ({_block_sql(tracks)}), other AS ({_block_sql('catalog')}),
-      pr AS (SELECT DISTINCT m.artist_key, m.title_key, o.artist_key AS oa, o.title_key AS ot FROM mine m JOIN other o ON m.aw = o.aw AND m.tw = o.tw WHERE (m.ar OR o.ar) AND (m.tr OR o.tr)),
+      WITH pr AS (SELECT m.artist_key, m.title_key, o.artist_key AS oa, o.title_key AS ot
+                  FROM (SELECT DISTINCT artist_key, title_key FROM {tracks}) m, (SELECT DISTINCT artist_key, title_key FROM catalog) o),
       sp AS (SELECT *, {j("list_filter(string_split(title_key, ' '), lambda x: list_contains(string_split(ot, ' '), x))")} AS sh,
              {j("list_filter(string_split(title_key, ' '), lambda x: NOT list_contains(string_split(ot, ' '), x))")} AS l, {j("list_filter(string_split(ot, ' '), lambda x: NOT list_contains(string_split(title_key, ' '), x))")} AS r FROM pr),
       fs AS (SELECT *, trim(sh || ' ' || l) AS f1, trim(sh || ' ' || r) AS f2 FROM sp),
@@ -106,15 +98,18 @@ def _scored_sql(tracks: str) -> str:
       sc AS (SELECT t.track_id, c.lyric_id, round(names + CASE WHEN abs(t.duration_sec - c.duration_sec) <= 3 THEN 0.15 ELSE 0.0 END, 6) AS score
              FROM {tracks} t JOIN nm USING (artist_key, title_key) JOIN catalog c ON c.artist_key = oa AND c.title_key = ot)
       SELECT track_id, arg_max(lyric_id, (score, -lyric_id)) AS lyric_id, max(score) AS score,
-             CASE WHEN max(score) >= 0.85 THEN 'accept' WHEN max(score) >= 0.7 THEN 'manual' ELSE 'reject' END AS verdict FROM sc GROUP BY ALL"""
+             CASE WHEN max(score) >= 0.85 THEN 'accept' ELSE 'manual' END AS verdict FROM sc WHERE score >= 0.7 GROUP BY ALL"""
 
 
 CTES["scored"] = _scored_sql("tracks")
 
 
-@query("x5_score_matches", "SELECT * FROM scored")
+@query("x5_score_matches", """
+    SELECT t.track_id, coalesce(s.lyric_id, -1) AS lyric_id, coalesce(s.score, 0.0)::DOUBLE AS score, coalesce(s.verdict, 'reject') AS verdict
+    FROM tracks t LEFT JOIN scored s USING (track_id)""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return X.score_matches(S.tracks(spark, sf), S.catalog(spark, sf))
+    """The SQL compares all pairs."""
+    return X.score_matches(S.tracks(spark, sf), S.catalog(spark, sf)).fillna({"lyric_id": -1, "score": 0.0})
 
 
 CTES["open_tracks"] = """

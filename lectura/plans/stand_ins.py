@@ -305,13 +305,17 @@ def stop_words(spark: SparkSession) -> DataFrame:
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as tracks, spelt as players report them."""
+    """Parts as tracks, spelt as players report them: with qualifiers, and some with a slip in the title or the artist."""
     from lectura.operators.songs import with_match_keys
 
-    part = table(spark, sf_dir, "part")
+    part, slip = table(spark, sf_dir, "part"), F.col("p_partkey") % 9
+    name, brand = F.initcap("p_name"), F.col("p_brand")
+    name = F.when(slip == 2, F.substring(name, F.lit(1), F.length(name) - 1)).when(slip == 4, F.concat(name, F.lit("x"))).when(
+        slip == 6, F.concat(F.substring(name, F.lit(1), F.length(name) - 2), F.lit("o"), F.substring(name, -1, 1))).otherwise(name)
+    brand = F.when(slip.isin(4, 7), F.replace(brand, F.lit("ran"), F.lit("rn"))).otherwise(brand)
     return with_match_keys(part.select(
-        F.col("p_partkey").alias("track_id"), F.col("p_brand").alias("artist"),
-        F.concat(F.initcap("p_name"), F.when(F.col("p_type") == "SMALL", " (Live)").when(F.col("p_type") == "ECONOMY", " - Remastered").otherwise("")).alias("title"),
+        F.col("p_partkey").alias("track_id"), brand.alias("artist"),
+        F.concat(name, F.when(F.col("p_type") == "SMALL", " (Live)").when(F.col("p_type") == "ECONOMY", " - Remastered").otherwise("")).alias("title"),
         F.col("p_type").alias("album"), (F.col("p_size") + 180).alias("duration_sec"),
     ))
 
