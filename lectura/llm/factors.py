@@ -13,6 +13,8 @@ duplicate spans.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,8 @@ from .tokens import Remembered
 
 WINDOW = 20  # words; fixed value of the contract
 GRAM = 6
-WORDS_KEPT = 200_000  # hashes of words that a worker remembers
+WORDS_KEPT = 100_000  # hashes of words that a worker remembers
+BUNCH = 1 << 16  # words looked at together
 
 _draw = np.random.default_rng(12)
 _odd = lambda *n: _draw.integers(0, 2**64, n, dtype=np.uint64) | np.uint64(1)
@@ -59,26 +62,46 @@ def least_at(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def pieces(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor, piece, start, windows): hash of the anchor, hash of all words of the piece, its first word and how many
-    windows start in it. Every window of the text starts in exactly one piece."""
+def together(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The texts' words in bunches of about BUNCH: number of the first text, hashes one after the other, words per text.
+
+    Arrays of many short texts cost little more than those of one, and stay in the processor's cache."""
+    words: list[bytes] = []
+    lengths: list[int] = []
+    for k, text in enumerate(texts):
+        own = text.split()
+        words += own
+        lengths.append(len(own))
+        if len(words) >= BUNCH or k == len(texts) - 1:
+            yield k + 1 - len(lengths), word_hashes(words), np.array(lengths)
+            words, lengths = [], []
+
+
+def pieces(hashes: np.ndarray, lengths: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(text, anchor, piece, start, windows) of the texts with these lengths in a row: hash of the anchor, hash of all words
+    of the piece, its first word in the text and how many windows start in it. Every window starts in exactly one piece."""
     n = len(hashes)
     if n < window:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none
+        return none, none, none, none, none
+    owner = np.repeat(np.arange(len(lengths)), lengths)
     grams = np.zeros(n - gram + 1, dtype=np.uint64)
     for k in range(gram):
         grams += hashes[k:n - gram + 1 + k] * GRAM_TURN[k]
     grams = mixed(grams)
     at = least_at(grams, window - gram + 1)
-    start = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    count = np.diff(np.append(start, len(at)))
+    inside = owner[:len(at)] == owner[window - 1:]
+    fresh = inside.copy()
+    fresh[1:] &= (at[1:] != at[:-1]) | ~inside[:-1]
+    start, ends = np.flatnonzero(fresh), np.append(np.flatnonzero(fresh | ~inside), len(at))
+    count = ends[np.searchsorted(ends, start, "right")] - start
     length = count + window - 1
     whole = (at[start] - start).astype(np.uint64) * PIECE_TURN[-1] + count.astype(np.uint64) * PIECE_TURN[-2]
-    for k in range(int(length.max())):
-        own = np.flatnonzero(length > k)
+    for k in range(int(length.max(initial=0))):
+        own = slice(None) if k < window else np.flatnonzero(length > k)
         whole[own] += hashes[start[own] + k] * PIECE_TURN[k]
-    return grams[at[start]].view(np.int64), mixed(whole).view(np.int64), start, count
+    text = owner[start]
+    return text, grams[at[start]].view(np.int64), mixed(whole).view(np.int64), start - (np.cumsum(lengths) - lengths)[text], count
 
 
 def window_hashes(hashes: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -91,18 +114,20 @@ def window_hashes(hashes: np.ndarray, starts: np.ndarray, window: int = WINDOW)
     return mixed(out).view(np.int64)
 
 
-def parsed(found: list[tuple], window: int = WINDOW) -> list[tuple]:
-    """Factors (start, length, reference document, reference start) of one document from the places of its pieces and
-    windows, (start, windows, reference document, reference start): greedily, each goes on as long as the reference does."""
-    factors: list[list] = []
-    for start, windows, doc, at in sorted(found, key=lambda f: f[0]):
-        if factors:
-            last = factors[-1]
-            if last[2] == doc and at - start == last[3] - last[0] and start <= last[0] + last[1]:
-                last[1] = max(last[1], start + windows - last[0])
-                continue
-        factors.append([start, windows, doc, at])
-    return [(s, w + window - 1, d, a) for s, w, d, a in factors]
+def parsed(starts: list[int], windows: list[int], refs: list[int], places: list[int], window: int = WINDOW) -> list[tuple]:
+    """Factors (start, length, number of a part that it begins with) of one document, from where its parts, pieces and
+    windows, stood first: greedily, each factor goes on as long as the reference does."""
+    factors: list[tuple] = []
+    begin = end = ref = shift = part = None
+    for k in sorted(range(len(starts)), key=starts.__getitem__):
+        at = starts[k]
+        if begin is not None and refs[k] == ref and places[k] - at == shift and at <= end:
+            end = max(end, at + windows[k])
+            continue
+        if begin is not None:
+            factors.append((begin, end - begin + window - 1, part))
+        begin, end, ref, shift, part = at, at + windows[k], refs[k], places[k] - at, k
+    return factors if begin is None else [*factors, (begin, end - begin + window - 1, part)]
 
 
 def document_key(docs: DataFrame) -> Column:
@@ -117,29 +142,39 @@ def duplicate_parts(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, start, windows, ref.doc, ref.start): parts of the documents `texts` (doc, text as bytes) of which all windows
     start earlier too, and where. Together they hold every such window, each of them once."""
     def cut(texts: list[bytes]) -> dict:
-        made = [pieces(word_hashes(t.split()), window) for t in texts]
-        at = np.repeat(np.arange(len(made)), [len(m[0]) for m in made])
-        return {"at": at} | {name: _joined([m[k] for m in made]) for k, name in enumerate(("anchor", "piece", "start", "windows"))}
-
-    def explode(texts: list[bytes], runs: list[list[dict]]) -> dict:
-        starts = [np.concatenate([np.arange(r["start"], r["start"] + r["windows"]) for r in own]) for own in runs]
-        made = [window_hashes(word_hashes(t.split()), s, window) for t, s in zip(texts, starts)]
-        at = np.repeat(np.arange(len(made)), [len(s) for s in starts])
-        return {"at": at, "start": _joined(starts), "h1": _joined([m[0] for m in made]), "h2": _joined([m[1] for m in made])}
+        made = []
+        for first, hashes, lengths in together(texts):
+            text, *rest = pieces(hashes, lengths, window)
+            made.append((text + first, *rest))
+        return {name: _joined([m[k] for m in made]) for k, name in enumerate(("at", "anchor", "piece", "start", "windows"))}
+
+    def explode(texts: list[bytes], starts: list[list[int]], windows: list[list[int]]) -> dict:
+        made = []
+        for first, hashes, lengths in together(texts):
+            own = range(first, first + len(lengths))
+            begin, count = (np.concatenate([np.array(x[k], dtype=np.int64) for k in own]) for x in (starts, windows))
+            text = np.repeat(np.repeat(np.arange(len(lengths)), [len(starts[k]) for k in own]), count)
+            nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+            start = np.repeat(begin, count) + nth
+            made.append((text + first, start, *window_hashes(hashes, start + (np.cumsum(lengths) - lengths)[text], window)))
+        return {name: _joined([m[k] for m in made]) for k, name in enumerate(("at", "start", "h1", "h2"))}
 
     each = map_rows(texts, cut, "anchor long, piece long, start int, windows int", ["text"], ["doc"])
-    shared = each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Sides that are aggregated by the key of a join are written first: then both sides come from plain exchanges, and
+    # adaptive execution can split a key that very many documents hold.
+    shared = stored(each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared-anchors")
     held = stored(each.join(shared, "anchor", "left_semi"), "shared-pieces")
     place = F.struct("doc", "start")
     first = stored(held.groupBy("anchor", "piece", "windows").agg(F.min(place).alias("ref")), "reference")
     whole = held.join(first, ["anchor", "piece", "windows"]).where(place != F.col("ref")).select("doc", "start", "windows", "ref")
 
-    several = first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    several = stored(first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "several-pieces")
     ends = first.join(several, "anchor", "left_semi").select("ref.doc", F.struct("ref.start", "windows").alias("run"))
-    ends = ends.groupBy("doc").agg(F.collect_list("run").alias("runs"))  # of one document, so bounded by its text
-    single = stored(map_rows(texts.join(ends, "doc"), explode, "start int, h1 long, h2 long", ["text", "runs"], ["doc"]), "windows")
+    ends = ends.groupBy("doc").agg(F.collect_list("run").alias("run"))  # of one document, so bounded by its text
+    ends = texts.join(ends, "doc").select("doc", "text", F.col("run.start").alias("starts"), F.col("run.windows").alias("windows"))
+    single = stored(map_rows(ends, explode, "start int, h1 long, h2 long", ["text", "starts", "windows"], ["doc"]), "windows")
     least = single.groupBy("h1", "h2").agg(F.min(place).alias("ref"), F.count("*").alias("n")).where("n > 1").drop("n")
-    parts = single.join(least, ["h1", "h2"]).where(place != F.col("ref")).select("doc", "start", F.lit(1).alias("windows"), "ref")
+    parts = single.join(stored(least, "shared-windows"), ["h1", "h2"]).where(place != F.col("ref")).select("doc", "start", F.lit(1).alias("windows"), "ref")
     return whole.unionByName(parts)
 
 
@@ -162,25 +197,29 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     texts = docs.select("doc_id", document_key(docs).alias("doc"), whole_text(docs).cast("binary").alias("text"))
     parts = duplicate_parts(texts.select("doc", "text"), window)
-    found = parts.groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "ref")).alias("found")).withColumnRenamed("doc", "_doc")
+    found = parts.groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "ref")).alias("found")).select(
+        F.col("doc").alias("_doc"), F.col("found.start").alias("starts"), F.col("found.windows").alias("windows"),
+        F.transform("found", lambda f: F.xxhash64(f["ref"]["doc"])).alias("refs"),
+        F.col("found.ref.start").alias("places"), F.col("found.ref.doc.doc_id").alias("ref_ids"))
     kind = f"array<struct<start:int,length:int,ref_doc_id:{docs.schema['doc_id'].dataType.simpleString()},ref_start:int>>"
 
-    def remove(texts: list[bytes], found: list[list[dict] | None]) -> dict:
+    def remove(texts: list[bytes], *columns: list[list | None]) -> dict:
         out: dict = {"n_words": [], "n_removed": [], "kept": [], "factors": []}
-        for text, own in zip(texts, found):
+        for text, starts, windows, refs, places, ids in zip(texts, *columns):
             words = text.split()
-            spans = parsed([(f["start"], f["windows"], f["ref"]["doc"], f["ref"]["start"]) for f in own or ()], window)
+            spans = parsed(starts, windows, refs, places, window) if starts else []
             stays, at = [], 0
-            for start, length, _, _ in spans:
+            for start, length, _ in spans:
                 stays += words[at:start]
                 at = max(at, start + length)
             stays += words[at:]
             out["n_words"].append(len(words))
             out["n_removed"].append(len(words) - len(stays))
             out["kept"].append(b" ".join(stays))
-            out["factors"].append([{"start": s, "length": n, "ref_doc_id": d["doc_id"], "ref_start": a} for s, n, d, a in spans])
+            out["factors"].append([{"start": s, "length": n, "ref_doc_id": ids[k], "ref_start": places[k]} for s, n, k in spans])
         return out
 
     both = texts.join(found, texts["doc"] == found["_doc"], "left")
-    made = map_rows(both, remove, f"n_words long, n_removed long, kept binary, factors {kind}", ["text", "found"], ["doc_id"])
+    made = map_rows(both, remove, f"n_words long, n_removed long, kept binary, factors {kind}",
+                    ["text", "starts", "windows", "refs", "places", "ref_ids"], ["doc_id"])
     return made.withColumn("kept", F.col("kept").cast("string"))

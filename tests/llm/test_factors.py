@@ -102,14 +102,20 @@ def test_pieces_hold_every_window_once_and_equal_windows_share_anchors():
     rnd = random.Random(1)
     for n in (19, 20, 21, 34, 35, 300):
         hashes = word_hashes([b"%d" % rnd.randrange(5) for _ in range(n)])
-        anchor, _, start, windows = pieces(hashes)
+        _, anchor, _, start, windows = pieces(hashes, np.array([n]))
         assert np.concatenate([np.arange(s, s + w) for s, w in zip(start, windows)] or [[]]).tolist() == list(range(max(0, n - 19)))
         by = {}
         for k, a in enumerate(np.repeat(anchor, windows)):
             assert by.setdefault(hashes[k:k + 20].tobytes(), a) == a
+    lengths = [40, 0, 19, 20, 3, 100]
+    texts = [word_hashes([b"%d" % rnd.randrange(9) for _ in range(n)]) for n in lengths]
+    together = list(zip(*pieces(np.concatenate(texts), np.array(lengths))))
+    alone = [(k, *p) for k, t in enumerate(texts) for p in list(zip(*pieces(t, np.array([len(t)]))))]
+    assert together == [(k, *p[1:]) for k, *p in alone]
     values = np.array([3, 1, 1, 2, 0, 5, 0])
     assert least_at(values, 3).tolist() == [1, 1, 4, 4, 4] and least_at(values, 1).tolist() == list(range(7))
 
 
 def test_factors_follow_the_reference():
-    assert parsed([(5, 3, "a", 15), (0, 5, "a", 10), (8, 2, "b", 18), (12, 1, "b", 22)], 20) == [(0, 27, "a", 10), (8, 21, "b", 18), (12, 20, "b", 22)]
+    parts = [(5, 3, 1, 15), (0, 5, 1, 10), (8, 2, 2, 18), (12, 1, 2, 22)]
+    assert parsed(*zip(*parts), 20) == [(0, 27, 1), (8, 21, 2), (12, 20, 3)]
