@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from lectura.operators.known import reader_state
 from lectura.operators.teach import (
     DEFAULTS, OPEN_CHAPTER, TeachOptions, classify_vocabulary, is_teachable, sessions_remaining,
 )
+from lectura.session import ship, stored
 
 
 def share(covered: Column, total: Column) -> Column:
@@ -58,25 +61,17 @@ def listed_study(
 
     ``listed(user_id, book_id, chapter_index, token_count, propn_tokens)`` · ``counts(book_id,
     chapter_index, lemma, pos, n)``. Sums are made once per chapter, as a reader who knows nothing sees
-    them, and then corrected by the words that each reader knows or studies. No table of readers times
-    vocabulary is ever made.
+    them, and then corrected by the words that each reader knows or studies (``reader_sums``).
     """
     entries = lexicon.select("book_id", "lemma", "pos", is_teachable(opts).alias("_teachable"))
     chapter = ["book_id", "chapter_index"]
-    words = counts.join(entries, ["book_id", "lemma", "pos"]).groupBy(*chapter, lemma_id(F.col("lemma")).alias("lemma_id")).agg(
+    words = stored(counts.join(entries, ["book_id", "lemma", "pos"]).groupBy(*chapter, lemma_id(F.col("lemma")).alias("lemma_id")).agg(
         F.sum("n").alias("n"), F.max("_teachable").alias("_ok"), F.count_if("_teachable").alias("_cards"), F.count_if(~F.col("_teachable")).alias("_gloss"),
-    )
+    ), "chapter-words")
     base = words.groupBy(*chapter).agg(
         F.sum(F.when(F.col("_ok"), F.col("n")).otherwise(0)).alias("_after"), F.sum("_cards").alias("_cards"), F.sum("_gloss").alias("_gloss"),
     )
-    books = listed.select("user_id", "book_id").distinct()
-    own = reader_state(known, carded).join(books, "user_id").join(words, ["book_id", "lemma_id"])
-    knows, ok = F.col("is_known"), F.col("_ok")
-    fixes = own.groupBy(*OPEN_CHAPTER).agg(
-        F.sum(F.when(knows, F.col("n")).otherwise(0)).alias("_known"),
-        F.sum(F.when(knows & ~ok, F.col("n")).when(~knows & ok, -F.col("n")).otherwise(0)).alias("_after_fix"),
-        F.sum("_cards").alias("_cards_fix"), F.sum(F.when(knows, F.col("_gloss")).otherwise(0)).alias("_gloss_fix"),
-    )
+    fixes = reader_sums(listed.select("user_id", "book_id").distinct(), words, reader_state(known, carded))
     zero = F.lit(0).cast("long")
     value = lambda c: F.coalesce(c, zero)
     return listed.join(base, chapter, "left").join(fixes, list(OPEN_CHAPTER), "left").select(
@@ -86,6 +81,67 @@ def listed_study(
     )
 
 
+READERS_TOGETHER, CHAPTERS_TOGETHER, LEMMAS_TOGETHER = 512, 256, 512
+
+
+def reader_sums(readers: DataFrame, words: DataFrame, state: DataFrame) -> DataFrame:
+    """Per (reader, chapter) of ``readers(user_id, book_id)``: what the reader's own words add to the chapter's sums.
+
+    ``words(book_id, chapter_index, lemma_id, n, _ok, _cards, _gloss)`` · ``state(user_id, lemma_id, is_known, is_carded)``.
+    A matrix of readers and words times a matrix of words and chapters, in blocks: no table has a row per reader,
+    chapter and word. Joins make at most a row per reader, opened book and known word; a task holds the words that
+    ``READERS_TOGETHER`` readers know and how often they occur in ``CHAPTERS_TOGETHER`` chapters, so neither a popular book
+    nor a frequent word decides what a task holds.
+    """
+    spark = ship(words.sparkSession)
+    spans = words.groupBy("book_id").agg(F.count_distinct("chapter_index").alias("_c")).join(
+        readers.groupBy("book_id").agg(F.count(F.lit(1)).alias("_r")), "book_id"
+    ).select(
+        "book_id", F.ceil(F.col("_c") / CHAPTERS_TOGETHER).cast("int").alias("_chapter_blocks"),
+        F.ceil(F.col("_r") / READERS_TOGETHER).cast("int").alias("_reader_blocks"),
+    )
+    block = lambda column, blocks: F.pmod(F.xxhash64(column), F.col(blocks)).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    known = stored(state.join(readers, "user_id").join(
+        words.select("book_id", "lemma_id").distinct(), ["book_id", "lemma_id"], "left_semi"), "reader-words")
+    used = words.join(known.select("book_id", "lemma_id").distinct(), ["book_id", "lemma_id"], "left_semi")
+    left = known.join(spans, "book_id").select(
+        "book_id", block("user_id", "_reader_blocks").alias("_rb"), each("_chapter_blocks").alias("_cb"), "user_id", "lemma_id", "is_known")
+    right = used.join(spans, "book_id").select(
+        "book_id", each("_reader_blocks").alias("_rb"), block("chapter_index", "_chapter_blocks").alias("_cb"),
+        "chapter_index", "lemma_id", "n", "_ok", "_cards", "_gloss")
+    types = {f.name: f.dataType.simpleString() for f in (*readers.schema, *words.schema)}
+    schema = ", ".join(f"{c} {types[c]}" for c in OPEN_CHAPTER) + ", _known long, _after_fix long, _cards_fix long, _gloss_fix long"
+    block_keys = ["book_id", "_rb", "_cb"]
+    return left.groupBy(*block_keys).cogroup(right.groupBy(*block_keys)).applyInPandas(block_sums, schema)
+
+
+def block_sums(key: tuple, known: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    """``reader_sums`` of one block. All sums stay whole numbers below 2^53, so double precision is exact."""
+    users, user_of = np.unique(known["user_id"].to_numpy(), return_inverse=True)
+    chapters, chapter_of = np.unique(words["chapter_index"].to_numpy(), return_inverse=True)
+    lemmas = pd.Index(known["lemma_id"].unique())
+    of_known, of_words = lemmas.get_indexer(known["lemma_id"]), lemmas.get_indexer(words["lemma_id"])
+    is_known, ok = known["is_known"].to_numpy(dtype=bool), words["_ok"].to_numpy(dtype=bool)
+    n, cards, gloss = (words[c].to_numpy(dtype=np.float64) for c in ("n", "_cards", "_gloss"))
+    c = len(chapters)
+    sums = np.zeros((len(users), 4 * c))
+    for first in range(0, len(lemmas), LEMMAS_TOGETHER):
+        mine = (of_known >= first) & (of_known < first + LEMMAS_TOGETHER)
+        theirs = (of_words >= first) & (of_words < first + LEMMAS_TOGETHER)
+        for knows, values in ((True, (n, n * ~ok, cards, gloss)), (False, (None, -n * ok, cards, None))):
+            own = mine & (is_known == knows)
+            readers, use = np.zeros((len(users), LEMMAS_TOGETHER)), np.zeros((LEMMAS_TOGETHER, 4 * c))
+            readers[user_of[own], of_known[own] - first] = 1
+            for k, value in enumerate(values):
+                if value is not None:
+                    use[of_words[theirs] - first, k * c + chapter_of[theirs]] = value[theirs]
+            sums += readers @ use
+    out = {"user_id": np.repeat(users, c), "book_id": key[0], "chapter_index": np.tile(chapters, len(users))}
+    names = ("_known", "_after_fix", "_cards_fix", "_gloss_fix")
+    return pd.DataFrame(out | {name: sums[:, k * c:(k + 1) * c].ravel().astype(np.int64) for k, name in enumerate(names)})
+
+
 def coverage(open_chapters: DataFrame, vocab: DataFrame, lexicon: DataFrame, known: DataFrame) -> DataFrame:
     """Share of word tokens each reader covers in each open chapter."""
     entries = lexicon.select("book_id", "key", lemma_id(F.col("lemma")).alias("lemma_id"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lectura import constants as K
 from lectura.operators import tokens as T
 from lectura.operators import vocab as V
-from lectura.session import literal_table, stored
+from lectura.session import literal_table, spread, stored
 
 RANKED_LEMMAS = 100
 GRADE_OF = {"error": "again", "view": "hard", "click": "good", "purchase": "easy"}
@@ -40,7 +40,7 @@ def forms(spark: SparkSession) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +254,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_extract(url, r"^https?://[^/]+/([a-z]+)/([0-9]+)", 1)
     number = F.regexp_extract(url, r"^https?://[^/]+/([a-z]+)/([0-9]+)", 2)
     secure, mobile = F.startswith(url, F.lit("https:")), F.contains(url, F.lit("://m."))
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages")).select(
         F.regexp_extract(url, "^https?://([^/]+)", 1).alias("book_id"), F.col("page_id").alias("doc_ord"),
         F.concat(path, F.lit("-"), number, F.lit(".xhtml")).alias("doc_name"),
         F.when(mobile, "application/x-dtbncx+xml").when(secure, "application/xhtml+xml").otherwise("text/html").alias("media_type"),

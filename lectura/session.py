@@ -41,6 +41,15 @@ def local_session(cores: str = "8", app: str = "lectura", **conf: str) -> SparkS
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out the rows of a table that has fewer files than there are cores, which one core each would read.
+
+    Tables of many files stay as they are: their files are dealt out by the scan, and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder all executors can reach.
 

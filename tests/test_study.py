@@ -132,3 +132,30 @@ def test_the_corpus_meets_no_dictionary_in_a_shuffle(spark):
         joins = [line for line in plan.splitlines() if "Join" in line]
         assert any("BroadcastHashJoin" in j for j in joins)
         assert not any("SortMergeJoin" in j and ("word#" in j or "[s#" in j) for j in joins)
+
+
+def test_sums_of_readers_in_small_blocks(spark, monkeypatch):
+    import random
+
+    from lectura.operators import coverage as G
+
+    for name, value in (("READERS_TOGETHER", 3), ("CHAPTERS_TOGETHER", 2), ("LEMMAS_TOGETHER", 4)):
+        monkeypatch.setattr(G, name, value)
+    rnd = random.Random(4)
+    words = [(f"b{b}", c, f"w{k}", rnd.randrange(1, 9), rnd.random() < 0.5, rnd.randrange(3), rnd.randrange(2))
+             for b in range(3) for c in range(7) for k in range(30) if rnd.random() < 0.4]
+    state = [(u, f"w{k}", rnd.random() < 0.6, rnd.random() < 0.8) for u in range(11) for k in range(40) if rnd.random() < 0.3]
+    readers = [(u, f"b{b}") for u in range(13) for b in range(4) if rnd.random() < 0.7]
+    got = G.reader_sums(
+        spark.createDataFrame(readers, "user_id long, book_id string"),
+        spark.createDataFrame(words, "book_id string, chapter_index long, lemma_id string, n long, _ok boolean, _cards long, _gloss long"),
+        spark.createDataFrame(state, "user_id long, lemma_id string, is_known boolean, is_carded boolean")).collect()
+    want = {}
+    for user, book in readers:
+        for b, chapter, lemma, n, ok, cards, gloss in words:
+            for u, w, known, _ in state:
+                if (u, b, w) == (user, book, lemma):
+                    add = (n, 0 if ok else n, cards, gloss) if known else (0, -n if ok else 0, cards, 0)
+                    want[user, b, chapter] = tuple(x + y for x, y in zip(want.get((user, b, chapter), (0,) * 4), add))
+    sums = {(r["user_id"], r["book_id"], r["chapter_index"]): (r["_known"], r["_after_fix"], r["_cards_fix"], r["_gloss_fix"]) for r in got}
+    assert len(sums) == len(got) and {k: v for k, v in sums.items() if any(v)} == {k: v for k, v in want.items() if any(v)}
