@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lectura import constants as K
 from lectura.functions import text as T
 from lectura.operators.tokens import token_array
+from lectura.session import stored
 
 
 def with_track_key(plays: DataFrame) -> DataFrame:
@@ -128,10 +129,10 @@ def matching_words(tracks: DataFrame, catalog: DataFrame, column: str) -> tuple[
 
     ``word`` is a word of the value, for the tracks also any near word (``own`` is then the word as written).
     """
-    mine, other = key_words(tracks, column), key_words(catalog, column)
+    mine, other = stored(key_words(tracks, column), "track-words"), stored(key_words(catalog, column), "catalog-words")
     near = near_words(mine.select("word").union(other.select("word")))
     mine = mine.join(near, "word").select(column, F.col("word").alias("own"), F.col("near").alias("word"), "place")
-    return mine, other.select(F.col(column).alias(f"other_{column}"), F.col("word").alias("own"), "word", "place")
+    return stored(mine, "near-track-words"), other.select(column, F.col("word").alias("own"), "word", "place")
 
 
 def _by_word(words: DataFrame, own: str) -> DataFrame:
@@ -152,51 +153,56 @@ def _by_two_words(words: DataFrame, own: str) -> DataFrame:
     ).distinct()
 
 
-def match_keys(tracks: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every way in which a track (first table) and a catalog row (second) may meet: equal ``MATCH_KEYS``.
+MATCH_KEYS = ["kind", "k1", "s1", "k2", "s2"]
+
+
+def numbered_names(records: DataFrame) -> DataFrame:
+    """(id, artist_key, title_key): the distinct names, with a number each."""
+    names = records.select("artist_key", "title_key").distinct()
+    return stored(names.select(F.monotonically_increasing_id().alias("id"), "*"), "names")
+
+
+def timed_rows(records: DataFrame, names: DataFrame, *more: Column) -> DataFrame:
+    """(id, d): the distinct durations under each name, -1 where unknown, and ``more`` aggregates."""
+    rows = records.join(names, ["artist_key", "title_key"]).groupBy("id", F.coalesce("duration_sec", F.lit(-1)).alias("d"))
+    return stored(rows.agg(*more) if more else rows.count().drop("count"), "durations")
+
+
+def match_keys(mine: DataFrame, other: DataFrame, my_times: DataFrame, other_times: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every way in which two names, ``mine`` of the tracks and ``other`` of the catalog, may meet: equal ``MATCH_KEYS``.
 
     ``both``: artist and title match in a least used word, up to slips. ``words``: the title does in its two least used
-    words. ``title``, ``artist``: only that one does, and the durations are within the tolerance, without which no
-    such pair reaches the score for a manual check. Columns are the keys and ``_d`` on the one side, ``other_artist_key``,
-    ``other_title_key``, ``_od`` and ``lyric_id`` on the other.
+    words. ``title``, ``artist``: only that one does, and two durations are within the tolerance, without which no
+    such pair reaches the score for a manual check. Rows are ``(id, *MATCH_KEYS)``, distinct.
     """
-    keys = ["artist_key", "title_key"]
-    forms = tracks.select(*keys, F.coalesce("duration_sec", F.lit(-1)).alias("_d")).distinct()
-    rows = catalog.groupBy(
-        F.col("artist_key").alias("other_artist_key"), F.col("title_key").alias("other_title_key"),
-        F.coalesce("duration_sec", F.lit(-1)).alias("_od"),
-    ).agg(F.min("lyric_id").alias("lyric_id"))
-    artists, titles = (dict(zip(("mine", "other"), matching_words(tracks, catalog, c))) for c in keys)
-    around = F.explode(F.sequence(F.col("_d") - K.DURATION_TOLERANCE_SEC, F.col("_d") + K.DURATION_TOLERANCE_SEC))
-
-    def meeting(own: str, records: DataFrame, timed: DataFrame, at: Column) -> DataFrame:
-        artist, title = _by_word(artists[own], own), _by_word(titles[own], own)
-        word, side, none, at = F.col("word"), F.col("side"), F.lit(""), at.cast("string")
-
-        def keyed(rows: DataFrame, kind: str, *values: Column) -> DataFrame:
-            return rows.select(*records.columns, F.lit(kind).alias("kind"), *(v.alias(n) for v, n in zip(values, MATCH_KEYS[1:])))
-
-        a, t = artist.columns[0], title.columns[0]
-        both = records.join(artist.withColumnsRenamed({"word": "aw", "side": "as"}), a).join(title, t)
+    words = {c: dict(zip(("mine", "other"), matching_words(mine, other, c))) for c in ("artist_key", "title_key")}
+    around = F.explode(F.sequence(F.col("d") - K.DURATION_TOLERANCE_SEC, F.col("d") + K.DURATION_TOLERANCE_SEC))
+    times = {"mine": my_times.filter("d >= 0").select("id", around.alias("d")).filter("d >= 0").distinct(), "other": other_times.filter("d >= 0").select("id", "d")}
+    word, side, none, at = F.col("word"), F.col("side"), F.lit(""), F.col("d").cast("string")
+
+    def keyed(rows: DataFrame, kind: str, *values: Column) -> DataFrame:
+        return rows.select("id", F.lit(kind).alias("kind"), *(v.alias(n) for v, n in zip(values, MATCH_KEYS[1:])))
+
+    def meeting(own: str, names: DataFrame) -> DataFrame:
+        artist, title = (_by_word(words[c][own], own) for c in ("artist_key", "title_key"))
+        both = names.join(artist.withColumnsRenamed({"word": "aw", "side": "as"}), "artist_key").join(title, "title_key")
+        two = names.join(_by_two_words(words["title_key"][own], own), "title_key")
         return (
             keyed(both, "both", F.col("aw"), F.col("as"), word, side)
-            .union(keyed(records.join(_by_two_words(titles[own], own), t), "words", word, side, F.col("word2"), none))
-            .union(keyed(timed.join(title, t), "title", word, side, at, none))
-            .union(keyed(timed.join(artist, a), "artist", word, side, at, none))
+            .union(keyed(two, "words", word, side, F.col("word2"), none))
+            .union(keyed(names.join(title, "title_key").join(times[own], "id"), "title", word, side, at, none))
+            .union(keyed(names.join(artist, "artist_key").join(times[own], "id"), "artist", word, side, at, none))
         )
 
-    timed = forms.filter("_d >= 0").select("*", around.alias("_at")).filter("_at >= 0")
-    return meeting("mine", forms, timed, F.col("_at")), meeting("other", rows, rows.filter("_od >= 0"), F.col("_od"))
-
-
-MATCH_KEYS = ["kind", "k1", "s1", "k2", "s2"]
+    return stored(meeting("mine", mine), "track-keys"), stored(meeting("other", other), "catalog-keys")
 
 
 def match_buckets(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(kind, buckets, pairs, largest): how many comparisons each kind of key makes, and its largest key."""
-    mine, other = match_keys(tracks, catalog)
-    count = lambda t, name: t.groupBy(*MATCH_KEYS).agg(F.count(F.lit(1)).alias(name))
-    sized = count(mine, "_m").join(count(other, "_o"), MATCH_KEYS).withColumn("_pairs", F.col("_m") * F.col("_o"))
+    """(kind, buckets, pairs, largest): how many names each kind of key brings together, and its largest key."""
+    mine, other = numbered_names(tracks), numbered_names(catalog)
+    keys = match_keys(mine, other, timed_rows(tracks, mine), timed_rows(catalog, other))
+    count = lambda t, name: t.groupBy(*MATCH_KEYS).agg(F.count(F.lit(1)).alias(name))
+    sized = count(keys[0], "_m").join(count(keys[1], "_o"), MATCH_KEYS).withColumn("_pairs", F.col("_m") * F.col("_o"))
     return sized.groupBy("kind").agg(
         F.count(F.lit(1)).alias("buckets"), F.sum("_pairs").alias("pairs"), F.max("_pairs").alias("largest"))
 
@@ -204,28 +210,33 @@ def match_buckets(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
 def score_matches(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
     """Best catalog row per track with its score and verdict; no row and no score where none reaches a manual check.
 
-    Tracks enter as distinct (keys, duration) and catalog rows as distinct (keys, duration) with their smallest id, so
-    copies never multiply. Pairs that meet by several keys are not made distinct: the best one is the same.
-    Two songs meet as ``match_keys`` says. A pair is lost only if neither the artists nor the titles share a least used
-    word up to slips, or if only one of them does, the durations are far apart or unknown, and a second word differs.
+    Names are numbered, paired as ``match_keys`` says and scored once per distinct pair; only pairs that can still be the
+    best of a name, whatever the durations, meet the rows, so that copies of a track or of a catalog row never
+    multiply. A pair is lost only if neither the artists nor the titles share a least used word up to slips, or if only
+    one of them does, the durations are far apart or unknown, and a second word differs.
     """
     wt, wa, wd = K.MATCH_WEIGHTS
-    keys = ["artist_key", "title_key"]
-    near = (F.col("_d") >= 0) & (F.col("_od") >= 0) & (F.abs(F.col("_d") - F.col("_od")) <= K.DURATION_TOLERANCE_SEC)
-    artist = similarity(F.col("artist_key"), F.col("other_artist_key"))
-    title = token_set_ratio(F.col("title_key"), F.col("other_title_key"))
-    mine, other = match_keys(tracks, catalog)
+    mine, other = numbered_names(tracks), numbered_names(catalog)
+    forms, rows = timed_rows(tracks, mine), timed_rows(catalog, other, F.min("lyric_id").alias("lyric_id"))
+    left, right = match_keys(mine, other, forms, rows)
+    pairs = left.join(right.withColumnRenamed("id", "oid"), MATCH_KEYS).select("id", "oid").distinct()
+    names = wt * token_set_ratio(F.col("title_key"), F.col("_ot")) + wa * similarity(F.col("artist_key"), F.col("_oa"))
+    scored = stored(
+        pairs.join(mine, "id")
+        .join(other.select(F.col("id").alias("oid"), F.col("artist_key").alias("_oa"), F.col("title_key").alias("_ot")), "oid")
+        .select("id", "oid", names.alias("names")).filter(F.col("names") >= K.MATCH_MANUAL - wd - 1e-6), "scored-names")
+    top = scored.groupBy("id").agg(F.max("names").alias("_top"))
+    hopeful = scored.join(top, "id").filter(F.col("names") + wd >= F.col("_top") - 1e-6).drop("_top")
+    near = (F.col("d") >= 0) & (F.col("_od") >= 0) & (F.abs(F.col("d") - F.col("_od")) <= K.DURATION_TOLERANCE_SEC)
     best = F.max_by(F.struct("lyric_id", "score"), F.struct("score", -F.col("lyric_id")))
-    scored = (
-        mine.join(other, MATCH_KEYS)
-        .withColumn("_rest", wa * artist + F.when(near, wd).otherwise(0.0))
-        .filter(F.col("_rest") + wt >= K.MATCH_MANUAL - 1e-6)  # before the dearer title is looked at
-        .withColumn("score", F.round(wt * title + F.col("_rest"), 6))
+    chosen = (
+        hopeful.join(forms, "id").join(rows.select(F.col("id").alias("oid"), F.col("d").alias("_od"), "lyric_id"), "oid")
+        .withColumn("score", F.round(F.col("names") + F.when(near, wd).otherwise(0.0), 6))
         .filter(F.col("score") >= K.MATCH_MANUAL)
-        .groupBy(*keys, "_d").agg(best.alias("_b"))
+        .groupBy("id", "d").agg(best.alias("_b"))
     )
-    duration = F.coalesce("duration_sec", F.lit(-1)).alias("_d")
-    return tracks.select("track_id", *keys, duration).join(scored, [*keys, "_d"], "left").select(
+    keyed = tracks.select("track_id", "artist_key", "title_key", F.coalesce("duration_sec", F.lit(-1)).alias("d"))
+    return keyed.join(mine, ["artist_key", "title_key"]).join(chosen, ["id", "d"], "left").select(
         "track_id", "_b.lyric_id", "_b.score", F.coalesce(match_verdict(F.col("_b.score")), F.lit("reject")).alias("verdict")
     )
 

@@ -309,10 +309,11 @@ _DURATION = K.DURATION_TOLERANCE_SEC
 
 @query("x16_match_buckets", f"""
     WITH aw AS ({_keyed_sql(False, 'artist_key')}), tw AS ({_keyed_sql(False, 'title_key')}), tt AS ({_keyed_sql(True, 'title_key')}),
-    r AS (SELECT 'mine' AS own, artist_key, title_key, duration_sec AS d FROM tracks GROUP BY ALL UNION ALL SELECT 'other', artist_key, title_key, duration_sec FROM catalog GROUP BY ALL),
-    spans AS (SELECT own, artist_key, title_key, unnest(CASE own WHEN 'mine' THEN range(d - {_DURATION}, d + {_DURATION + 1}) ELSE [d::BIGINT] END) AS d FROM r),
-    k AS (SELECT 'both' AS kind, r.own, a.k1, a.s1, t.k1 AS k2, t.s1 AS s2 FROM r JOIN aw a ON a.own = r.own AND a.key = artist_key JOIN tw t ON t.own = r.own AND t.key = title_key
-          UNION ALL SELECT 'words', r.own, k1, s1, k2, '' FROM r JOIN tt ON tt.own = r.own AND tt.key = title_key
+    r AS (SELECT DISTINCT 'mine' AS own, artist_key, title_key, duration_sec AS d FROM tracks UNION ALL SELECT DISTINCT 'other', artist_key, title_key, duration_sec FROM catalog),
+    names AS (SELECT DISTINCT own, artist_key, title_key FROM r),
+    spans AS (SELECT DISTINCT own, artist_key, title_key, unnest(CASE own WHEN 'mine' THEN range(d - {_DURATION}, d + {_DURATION + 1}) ELSE [d::BIGINT] END) AS d FROM r),
+    k AS (SELECT 'both' AS kind, r.own, a.k1, a.s1, t.k1 AS k2, t.s1 AS s2 FROM names r JOIN aw a ON a.own = r.own AND a.key = artist_key JOIN tw t ON t.own = r.own AND t.key = title_key
+          UNION ALL SELECT 'words', r.own, k1, s1, k2, '' FROM names r JOIN tt ON tt.own = r.own AND tt.key = title_key
           UNION ALL SELECT 'title', spans.own, k1, s1, d::VARCHAR, '' FROM spans JOIN tw ON tw.own = spans.own AND tw.key = title_key
           UNION ALL SELECT 'artist', spans.own, k1, s1, d::VARCHAR, '' FROM spans JOIN aw ON aw.own = spans.own AND aw.key = artist_key),
     b AS (SELECT kind, count(*) FILTER (own = 'mine') * count(*) FILTER (own = 'other') AS pairs FROM k GROUP BY kind, k1, s1, k2, s2)

@@ -103,8 +103,9 @@ def test_no_product_in_the_plan_and_buckets(spark):
     a, b = X.with_match_keys(spark.createDataFrame(tracks, TRACKS)), X.with_match_keys(spark.createDataFrame(catalog, CATALOG))
     plan = X.score_matches(a, b)._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
-    mine, other = X.match_keys(a, b)
+    names = X.numbered_names(a), X.numbered_names(b)
+    mine, other = X.match_keys(*names, X.timed_rows(a, names[0]), X.timed_rows(b, names[1]))
     rows = {r["kind"]: r for r in X.match_buckets(a, b).collect()}
     assert set(rows) == {"both", "words", "title", "artist"}
-    joined = mine.join(other, X.MATCH_KEYS).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()
+    joined = mine.join(other.withColumnRenamed("id", "oid"), X.MATCH_KEYS).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()
     assert {r["kind"]: r["n"] for r in joined} == {k: r["pairs"] for k, r in rows.items()}
