@@ -62,7 +62,8 @@ MATCH_ACCEPT = 0.85
 MATCH_MANUAL = 0.70
 MATCH_WEIGHTS = (0.5, 0.35, 0.15)
 DURATION_TOLERANCE_SEC = 3
-SLIP_LETTERS = (4, 6)  # letters from which on a word is found with one slip, and with two
+DURATION_SPAN_SEC = 64
+SLIP_LETTERS = (3, 6)  # letters from which on a word is found with one slip, and with two
 
 VARIETIES = (
     "general", "es-MX", "es-AR", "es-ES", "es-CO", "es-CL", "es-PE", "es-VE", "es-PR", "es-DO",

@@ -98,9 +98,9 @@ def near_words(words: DataFrame) -> DataFrame:
 
     A slip is a letter too many, missing, wrong, or swapped with its neighbour: words are near if they, or what is left
     of them without some letters, are equal. ``SLIP_LETTERS`` says from how many letters on a word may lose one, and two;
-    shorter words only match themselves.
+    shorter words only match themselves, and a digit is never a slip.
     """
-    at = lambda w: F.sequence(F.lit(1), F.length(w))
+    at = lambda w: F.filter(F.sequence(F.lit(1), F.length(w)), lambda k: ~F.substring(w, k, F.lit(1)).between("0", "9"))
     shorter = lambda w: F.transform(at(w), lambda k: F.concat(F.substring(w, F.lit(1), k - 1), F.substring(w, k + 1, F.length(w))))
     one = shorter(F.col("word"))
     slips = [F.when(F.length("word") >= n, f).otherwise(F.array().cast("array<string>")) for n, f in zip(K.SLIP_LETTERS, (one, F.flatten(F.transform(one, shorter))))]
@@ -135,12 +135,12 @@ def matching_words(tracks: DataFrame, catalog: DataFrame, column: str) -> tuple[
     return stored(mine, "near-track-words"), other.select(column, F.col("word").alias("own"), "word", "place")
 
 
-def _by_word(words: DataFrame, own: str) -> DataFrame:
-    """Keys ``(word, side)``: two values share one if the least used word of either is near a word of the other.
+def _by_word(words: DataFrame, own: str, places: int = 1) -> DataFrame:
+    """Keys ``(word, side)``: two values share one if one of the ``places`` least used words of either is near a word of the other.
 
     Words that many values hold never join on their own, and slips in the least used word of both are survived.
     """
-    return words.select(words.columns[0], "word", _sides(F.col("place") == 1, {"mine": "other", "other": "mine"}[own])).distinct()
+    return words.select(words.columns[0], "word", _sides(F.col("place") <= places, {"mine": "other", "other": "mine"}[own])).distinct()
 
 
 def _by_two_words(words: DataFrame, own: str) -> DataFrame:
@@ -172,12 +172,14 @@ def match_keys(mine: DataFrame, other: DataFrame, my_times: DataFrame, other_tim
     """Every way in which two names, ``mine`` of the tracks and ``other`` of the catalog, may meet: equal ``MATCH_KEYS``.
 
     ``both``: artist and title match in a least used word, up to slips. ``words``: the title does in its two least used
-    words. ``title``, ``artist``: only that one does, and two durations are within the tolerance, without which no
-    such pair reaches the score for a manual check. Rows are ``(id, *MATCH_KEYS)``, distinct.
+    words. ``title`` (in one of its two), ``artist``: only that one does, and two durations lie in the same span or near it, since no such
+    pair reaches the score for a manual check without near durations. Rows are ``(id, *MATCH_KEYS)``, distinct.
     """
     words = {c: dict(zip(("mine", "other"), matching_words(mine, other, c))) for c in ("artist_key", "title_key")}
-    around = F.explode(F.sequence(F.col("d") - K.DURATION_TOLERANCE_SEC, F.col("d") + K.DURATION_TOLERANCE_SEC))
-    times = {"mine": my_times.filter("d >= 0").select("id", around.alias("d")).filter("d >= 0").distinct(), "other": other_times.filter("d >= 0").select("id", "d")}
+    # Spans of durations and not durations: names with many recordings would meet at every one of them.
+    span = lambda shift: F.floor((F.col("d") + shift) / K.DURATION_SPAN_SEC)
+    spans = F.explode(F.array_distinct(F.array(span(-K.DURATION_TOLERANCE_SEC), span(K.DURATION_TOLERANCE_SEC))))
+    times = {"mine": my_times.filter("d >= 0").select("id", spans.alias("d")).distinct(), "other": other_times.filter("d >= 0").select("id", span(0).alias("d")).distinct()}
     word, side, none, at = F.col("word"), F.col("side"), F.lit(""), F.col("d").cast("string")
 
     def keyed(rows: DataFrame, kind: str, *values: Column) -> DataFrame:
@@ -190,7 +192,7 @@ def match_keys(mine: DataFrame, other: DataFrame, my_times: DataFrame, other_tim
         return (
             keyed(both, "both", F.col("aw"), F.col("as"), word, side)
             .union(keyed(two, "words", word, side, F.col("word2"), none))
-            .union(keyed(names.join(title, "title_key").join(times[own], "id"), "title", word, side, at, none))
+            .union(keyed(names.join(_by_word(words["title_key"][own], own, 2), "title_key").join(times[own], "id"), "title", word, side, at, none))
             .union(keyed(names.join(artist, "artist_key").join(times[own], "id"), "artist", word, side, at, none))
         )
 

@@ -284,7 +284,7 @@ def _near_sql(column: str) -> str:
     word = lambda source: f"""
       SELECT key, word, row_number() OVER (PARTITION BY key ORDER BY uses, word) AS place FROM (SELECT key, word, count(*) OVER (PARTITION BY word) AS uses
       FROM (SELECT DISTINCT {column} AS key, unnest(string_split({column}, ' ')) AS word FROM {source}))"""
-    less = lambda w: f"list_transform(range(1, length({w}) + 1), lambda i: {w}[:i - 1] || {w}[i + 1:])"
+    less = lambda w: f"list_transform(list_filter(range(1, length({w}) + 1), lambda i: NOT {w}[i] BETWEEN '0' AND '9'), lambda i: {w}[:i - 1] || {w}[i + 1:])"
     one, two = K.SLIP_LETTERS
     return f"""
       m AS ({word('tracks')}), o AS ({word('catalog')}),
@@ -294,13 +294,13 @@ def _near_sql(column: str) -> str:
       near AS (SELECT DISTINCT a.word, b.word AS near FROM forms a JOIN forms b USING (w))"""
 
 
-def _keyed_sql(two: bool, column: str) -> str:
+def _keyed_sql(two: bool, column: str, places: int = 1) -> str:
     """(own, key, k1, s1[, k2]) of both sides."""
     side = lambda own, rare: f"unnest(CASE WHEN {rare} THEN ['mine', 'other'] ELSE ['{'other' if own == 'mine' else 'mine'}'] END)"
     rows = {"mine": "(SELECT key, m.word AS own_word, near AS word, place FROM m JOIN near USING (word))", "other": "(SELECT key, word AS own_word, word, place FROM o)"}
     pair = lambda own: f"""SELECT DISTINCT '{own}' AS own, a.key, least(a.word, b.word) AS k1, {side(own, 'a.place <= 2 AND b.place <= 2')} AS s1, greatest(a.word, b.word) AS k2
       FROM {rows[own]} a JOIN {rows[own]} b ON a.key = b.key AND a.own_word < b.own_word"""
-    single = lambda own: f"SELECT DISTINCT '{own}' AS own, key, word AS k1, {side(own, 'place = 1')} AS s1 FROM {rows[own]}"
+    single = lambda own: f"SELECT DISTINCT '{own}' AS own, key, word AS k1, {side(own, f'place <= {places}')} AS s1 FROM {rows[own]}"
     return f"WITH {_near_sql(column)} " + " UNION ALL ".join((pair if two else single)(own) for own in ("mine", "other"))
 
 
@@ -308,13 +308,13 @@ _DURATION = K.DURATION_TOLERANCE_SEC
 
 
 @query("x16_match_buckets", f"""
-    WITH aw AS ({_keyed_sql(False, 'artist_key')}), tw AS ({_keyed_sql(False, 'title_key')}), tt AS ({_keyed_sql(True, 'title_key')}),
+    WITH aw AS ({_keyed_sql(False, 'artist_key')}), tw AS ({_keyed_sql(False, 'title_key')}), ti AS ({_keyed_sql(False, 'title_key', 2)}), tt AS ({_keyed_sql(True, 'title_key')}),
     r AS (SELECT DISTINCT 'mine' AS own, artist_key, title_key, duration_sec AS d FROM tracks UNION ALL SELECT DISTINCT 'other', artist_key, title_key, duration_sec FROM catalog),
     names AS (SELECT DISTINCT own, artist_key, title_key FROM r),
-    spans AS (SELECT DISTINCT own, artist_key, title_key, unnest(CASE own WHEN 'mine' THEN range(d - {_DURATION}, d + {_DURATION + 1}) ELSE [d::BIGINT] END) AS d FROM r),
+    spans AS (SELECT DISTINCT own, artist_key, title_key, unnest(CASE own WHEN 'mine' THEN [(d - {_DURATION}) // {K.DURATION_SPAN_SEC}, (d + {_DURATION}) // {K.DURATION_SPAN_SEC}] ELSE [d // {K.DURATION_SPAN_SEC}] END) AS d FROM r),
     k AS (SELECT 'both' AS kind, r.own, a.k1, a.s1, t.k1 AS k2, t.s1 AS s2 FROM names r JOIN aw a ON a.own = r.own AND a.key = artist_key JOIN tw t ON t.own = r.own AND t.key = title_key
           UNION ALL SELECT 'words', r.own, k1, s1, k2, '' FROM names r JOIN tt ON tt.own = r.own AND tt.key = title_key
-          UNION ALL SELECT 'title', spans.own, k1, s1, d::VARCHAR, '' FROM spans JOIN tw ON tw.own = spans.own AND tw.key = title_key
+          UNION ALL SELECT 'title', spans.own, k1, s1, d::VARCHAR, '' FROM spans JOIN ti ON ti.own = spans.own AND ti.key = title_key
           UNION ALL SELECT 'artist', spans.own, k1, s1, d::VARCHAR, '' FROM spans JOIN aw ON aw.own = spans.own AND aw.key = artist_key),
     b AS (SELECT kind, count(*) FILTER (own = 'mine') * count(*) FILTER (own = 'other') AS pairs FROM k GROUP BY kind, k1, s1, k2, s2)
     SELECT kind, count(*) AS buckets, sum(pairs)::BIGINT AS pairs, max(pairs)::BIGINT AS largest FROM b WHERE pairs > 0 GROUP BY ALL""")
