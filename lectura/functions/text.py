@@ -57,6 +57,20 @@ def _nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
 
+# Characters that compatibility composition leaves as they are, whatever stands beside them.
+PLAIN_CHARACTERS = r"\x00-\x9f\xa1-\xa7\xa9\xab-\xae\xb0\xb1\xb6\xb7\xbb\xbf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e‘’“”«»–—"
+
+
+@F.pandas_udf(StringType())
+def _nfkc(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+
+
+def compatible(text: Column) -> Column:
+    """NFKC; only texts with a character that it may change make an Arrow round trip."""
+    return F.coalesce(_nfkc(F.when(F.regexp_like(text, F.lit(f"[^{PLAIN_CHARACTERS}]")), text)), text)
+
+
 def compose_latin(text: Column) -> Column:
     """NFC for Latin letters with the common combining marks, without leaving the JVM.
 
@@ -90,6 +104,19 @@ def normalize_text(text: Column, full_nfc: bool = False) -> Column:
     return collapse_space(F.replace(composed, F.lit(SOFT_HYPHEN), F.lit("")))
 
 
+def sentences(text: Column) -> Column:
+    """The sentences of a paragraph, trimmed and in order; a text without words may be one too.
+
+    Points of abbreviations, initials and decimals end no sentence, nor does an ellipsis before a small letter.
+    """
+    kept = text
+    for _ in range(2):  # initials in a row share the blank between them
+        kept = F.regexp_replace(kept, K.SENTENCE_POINT, "$1$2\u0002")
+    parts = F.split(F.regexp_replace(kept, K.SENTENCE_END, "$1\u0001$2"), "\u0001")
+    trimmed = F.transform(parts, lambda s: collapse_space(F.replace(s, F.lit("\u0002"), F.lit("."))))
+    return F.filter(trimmed, lambda s: s != "")
+
+
 def accent_fold(text: Column) -> Column:
     return F.translate(text, ACCENTED, PLAIN)
 
@@ -216,7 +243,7 @@ def make_book_id(author: Column, title: Column) -> Column:
 def normalize_title(text: Column) -> Column:
     """Display form of a song title used for matching: qualifiers cut, accents kept."""
     stop = "|".join(K.TITLE_STOP_TERMS)
-    dashed = F.regexp_replace(F.lower(collapse_space(compose_latin(text))), "[‐-―−]", "-")
+    dashed = F.regexp_replace(F.lower(collapse_space(compatible(text))), "[‐-―−]", "-")
     title = dashed
     for _ in range(2):
         title = F.regexp_replace(title, rf"\s*[(\[](?:{stop})[)\]]\s*$", "")
@@ -231,7 +258,7 @@ def title_key(text: Column) -> Column:
 
 
 def normalize_artist(text: Column) -> Column:
-    dashed = F.regexp_replace(F.lower(collapse_space(compose_latin(text))), "[‐-―−]", "-")
+    dashed = F.regexp_replace(F.lower(collapse_space(compatible(text))), "[‐-―−]", "-")
     return collapse_space(F.regexp_replace(dashed, r"(\S)\s+[(\[]?(?:feat\.|ft\.)\s*.*$", "$1"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectura import constants as K
+from lectura.functions.text import sentences
 
 PARAGRAPH = ("book_id", "chapter_index", "paragraph_index")
 
@@ -45,6 +46,20 @@ def words(paragraphs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def sentence_words(paragraphs: DataFrame) -> DataFrame:
+    """Word tokens of every sentence: ``sentence_index``, ``sentence``, ``word_index`` in it, ``s`` and ``first_word``.
+
+    ``first_word`` marks the first word of the paragraph, as in ``words``.
+    """
+    keep = [c for c in paragraphs.columns if c != "text"]
+    split = paragraphs.select(*keep, sentences(F.col("text")).alias("_all"))
+    each = split.select("*", F.posexplode("_all").alias("sentence_index", "sentence")).withColumn(
+        "_opens", ~F.exists(F.slice("_all", F.lit(1), F.col("sentence_index")), lambda s: F.regexp_like(s, F.lit(r"\p{L}")))
+    )
+    found = words(each.select(*keep, "sentence_index", "sentence", "_opens", F.col("sentence").alias("text")))
+    return found.withColumn("first_word", F.col("first_word") & F.col("_opens")).drop("_opens")
+
+
 def annotate(tokens: DataFrame, forms: DataFrame) -> DataFrame:
     """Lemma and part of speech by a form dictionary ``forms(form, lemma, pos)``.
 

@@ -114,6 +114,17 @@ def with_zipf(lexicon: DataFrame, freq: DataFrame | None = None) -> DataFrame:
     )
 
 
+def keyed_sentences(annotated: DataFrame, debuts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(book_id, key, chapter_index, paragraph_index, sentence_index, sentence): sentences that hold a key, in the
+    paragraph of its chapter where it first stands. ``annotated`` has the words of sentences, with ``l`` and ``p``."""
+    keys = lexicon.select("book_id", F.col("lemma").alias("l"), F.col("pos").alias("p"), "key")
+    place = ["book_id", "chapter_index", "paragraph_index"]
+    held = annotated.select(*place, "sentence_index", "sentence", "l", "p").distinct().join(keys, ["book_id", "l", "p"])
+    return held.join(debuts.select(*place, "key"), [*place, "key"], "left_semi").select(
+        "book_id", "key", "chapter_index", "paragraph_index", "sentence_index", "sentence"
+    )
+
+
 def example_sentences(sentences: DataFrame, taught: DataFrame) -> DataFrame:
     """First sentence in book order for every taught key.
 

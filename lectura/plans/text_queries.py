@@ -337,22 +337,36 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return V.with_zipf(V.lexicon_counts(S.counts(spark, sf))).select("book_id", "lemma", "pos", "zipf")
 
 
-@query("v5_example_sentences", f"""
-    WITH first AS (SELECT book_id, l AS lemma, p AS pos, min((chapter_index, paragraph_index)) AS at FROM ann GROUP BY ALL)
-    SELECT f.book_id, x.key, f.at[1] AS chapter_index, r.text AS es
-    FROM first f JOIN reasoned x USING (book_id, lemma, pos) JOIN paras r ON r.chapter_index = f.at[1] AND r.paragraph_index = f.at[2]
-    WHERE x.reason IS NOT NULL""")
+_POINT, _END = (p.replace("'", "''") for p in (K.SENTENCE_POINT, K.SENTENCE_END))
+_SPACES = "'" + K.SENTENCE_SPACE + "', ' ', 'g'"
+# The words of every sentence, numbered through the paragraph, so that its first word is known.
+CTES["sentence_words"] = rf"""
+    SELECT book_id, chapter_index, paragraph_index, si, sentence, s, row_number() OVER (PARTITION BY chapter_index, paragraph_index ORDER BY si, wi) AS nr
+    FROM (SELECT *, unnest(regexp_extract_all(sentence, '\p{{L}}[\p{{L}}\p{{M}}]*')) AS s, generate_subscripts(regexp_extract_all(sentence, '\p{{L}}[\p{{L}}\p{{M}}]*'), 1) AS wi
+          FROM (SELECT book_id, chapter_index, paragraph_index, unnest(a) AS sentence, generate_subscripts(a, 1) - 1 AS si FROM (
+            SELECT *, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '{_POINT}', '\1\2' || chr(2), 'g'), '{_POINT}', '\1\2' || chr(2), 'g'),
+                     '{_END}', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(regexp_replace(replace(x, chr(2), '.'), {_SPACES}))), lambda x: x <> '') AS a FROM paras)))"""
+
+
+@query("v5_example_sentences", r"""
+    WITH w AS (SELECT s.*, lower(s) AS l, coalesce(f.pos, CASE WHEN regexp_matches(s, '^\p{Lu}') AND nr > 1 THEN 'PROPN' ELSE 'NOUN' END) AS p
+               FROM sentence_words s LEFT JOIN forms f ON lower(s) = f.form),
+    first AS (SELECT book_id, l AS lemma, p AS pos, arg_min(sentence, (chapter_index, paragraph_index, nr)) AS es, min(chapter_index) AS chapter_index FROM w GROUP BY ALL)
+    SELECT f.book_id, x.key, f.chapter_index, f.es FROM first f JOIN reasoned x USING (book_id, lemma, pos) WHERE x.reason IS NOT NULL""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     from lectura.operators.teach import is_teachable
 
     counted = S.counts(spark, sf)
     lexicon = S.lexicon(counted)
     taught = lexicon.filter(is_teachable()).select("book_id", "key")
-    debuts = V.debuts(counted, lexicon).withColumnRenamed("debut", "paragraph_index")
-    sentences = debuts.join(S.paragraphs(spark, sf), ["book_id", "chapter_index", "paragraph_index"]).select(
-        "book_id", "key", "chapter_index", "paragraph_index", F.lit(0).alias("sentence_index"), F.col("text").alias("sentence")
-    )
-    return V.example_sentences(sentences, taught)
+    place = ["book_id", "chapter_index", "paragraph_index"]
+    debuts = V.debuts(counted, lexicon).withColumnRenamed("debut", "paragraph_index").join(taught, ["book_id", "key"], "left_semi")
+    first = debuts.groupBy("book_id", "key").agg(F.min(F.struct("chapter_index", "paragraph_index")).alias("_at")).select(
+        "book_id", "key", "_at.chapter_index", "_at.paragraph_index")
+    first = stored(first, "first-places")
+    paragraphs = S.paragraphs(spark, sf).join(first.select(*place).distinct(), place, "left_semi")
+    annotated = T.annotate(T.sentence_words(paragraphs), S.forms(spark))
+    return V.example_sentences(stored(V.keyed_sentences(annotated, first, lexicon), "sentences"), taught)
 
 
 @query("v6_attach_glosses", "SELECT book_id, lemma, pos, de, en, region_note, mexicanism FROM lex")
