@@ -6,6 +6,7 @@ reader has open; the same plan answers one chapter or all chapters of all reader
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from lectura import constants as K
 from lectura.functions.text import lemma_id, let
 from lectura.operators.known import reader_state
+from lectura.operators.srs import FACE_TYPE, new_cards
 
 OPEN_CHAPTER = ("user_id", "book_id", "chapter_index")
 
@@ -278,6 +280,22 @@ def gloss_view(keys: DataFrame, lexicon: DataFrame, opts: TeachOptions = DEFAULT
     )
 
 
+def add_cards(
+    requests: DataFrame, lexicon: DataFrame, cards: DataFrame, now: Column, order: Sequence[str], opts: TeachOptions = DEFAULTS
+) -> DataFrame:
+    """The card table ``(user_id, lemma_id, created_at, fsrs, face)`` after ``requests(user_id, book_id, key, …)``.
+
+    Offerable words get a new card that is due now, with the face copied from the entry asked for; of several
+    requests for one word the last by the columns ``order`` wins. Refused and carded words change nothing.
+    """
+    face = F.struct("pos", "de", "en", "example", "region_note", "mexicanism").cast(FACE_TYPE)
+    wanted = gloss_view(requests, lexicon, opts).filter("cardable").groupBy("user_id", "lemma_id").agg(
+        F.max_by(face, F.struct(*order)).alias("face")
+    )
+    fresh = new_cards(wanted.join(cards.select("user_id", "lemma_id").distinct(), ["user_id", "lemma_id"], "left_anti"), now)
+    return cards.select(*fresh.columns).unionByName(fresh)
+
+
 def addable_cards(
     requests: DataFrame, lexicon: DataFrame, cards: DataFrame, opts: TeachOptions = DEFAULTS
 ) -> DataFrame:

@@ -349,6 +349,23 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return C.addable_cards(study.open_vocab.select("user_id", "book_id", "key").distinct(), study.lexicon, study.cards)
 
 
+@query("c16_added_cards", f"""
+    WITH r AS (SELECT o.user_id, x.lemma_id, book_id, key, de, en FROM (SELECT DISTINCT o.user_id, v.book_id, v.key FROM opened o JOIN vocab v USING (book_id, chapter_index)) o
+               JOIN reasoned x USING (book_id, key) WHERE pos NOT IN {CLOSED})
+    SELECT user_id, lemma_id, created_at, due, state, coalesce(de, '') AS de, coalesce(en, '') AS en, false AS added FROM cardsw
+    UNION ALL SELECT user_id, lemma_id, {TIME}, {TIME}, 0, arg_max(coalesce(de, ''), (book_id, key)), arg_max(coalesce(en, ''), (book_id, key)), true
+    FROM r WHERE NOT EXISTS (SELECT 1 FROM cardsw c WHERE c.user_id = r.user_id AND c.lemma_id = r.lemma_id) GROUP BY user_id, lemma_id""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Every reader asks for every word of the opened chapters."""
+    study = Study(spark, sf)
+    requests = study.open_vocab.select("user_id", "book_id", "key").distinct()
+    cards = C.add_cards(requests, study.lexicon, study.cards, S.now(), ["book_id", "key"])
+    text = lambda f: F.coalesce(F.col(f"face.{f}"), F.lit("")).alias(f)
+    old = study.cards.select("user_id", "lemma_id", F.lit(False).alias("_added"))
+    return cards.join(old, ["user_id", "lemma_id"], "left").select(
+        "user_id", "lemma_id", "created_at", "fsrs.due", "fsrs.state", text("de"), text("en"), F.coalesce("_added", F.lit(True)).alias("added"))
+
+
 # --- coverage ----------------------------------------------------------------------------------
 
 _SHARE = "round(coalesce({0}::DOUBLE / nullif({1}, 0), 1.0), 6)"
