@@ -28,13 +28,13 @@ SCHEMA_VERSION = 1
 # One token: a word, a run of digits, a run of white space, or one other character.
 WHITESPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 # Where a sentence ends: closing marks, white space, and a capital or a number that may be quoted. A point behind one of
-# these, or behind a single capital, ends none.
+# these, or behind a single letter, ends none.
 SENTENCE_ABBREVIATIONS = (
     "Sr Sra Srta Dr Dra Prof Ud Uds Lic Ing Gral Mr Mrs Ms St Jr vs etc Núm núm pág págs Vol vol cap Cap Fig fig ed Ed Hr Frau Nr bzw ca M Mme Mlle"
 )
 SENTENCE_SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]+"
 SENTENCE_END = r"([.!?…]+[»”’\"')\]]*)" + SENTENCE_SPACE + r"([¿¡«“‘\"'(\[—-]*[\p{Lu}\p{N}])"
-SENTENCE_POINT = r"(^|[^\p{L}\p{M}])(" + "|".join(SENTENCE_ABBREVIATIONS.split()) + r"|\p{Lu})\."
+SENTENCE_POINT = r"(^|[^\p{L}\p{M}])(" + "|".join(SENTENCE_ABBREVIATIONS.split()) + r"|\p{L})\."
 TOKEN_PATTERN = r"(?s)\p{L}[\p{L}\p{M}]*|\p{N}+|" + WHITESPACE + r"+|."
 
 NON_PROSE_TAGS = ("script", "style", "head", "title", "sup")

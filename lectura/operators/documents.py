@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lectura import constants as K
 from lectura.functions import text as T
 from lectura.operators.ranking import number_ranges, ordered_rank
+from lectura.session import stored
 
 
 def html_to_paragraphs(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -135,7 +136,8 @@ def assemble_chapters(sections: DataFrame, titles: DataFrame, keep_boilerplate:
     a generated number. Sections without prose take no number.
     """
     # The texts become rows at once: a filter on the array would evaluate the markup rules twice.
-    prose = html_to_paragraphs(sections)
+    # Several plans read them, so they are stored: the markup is parsed once.
+    prose = stored(html_to_paragraphs(sections), "prose")
     numbered = ordered_rank(
         prose.filter(F.col("paragraph_index") == 0).select("book_id", "doc_ord", "section_ord"),
         ["book_id"], ["doc_ord", "section_ord"], number_ranges("doc_ord"), "chapter_index",
