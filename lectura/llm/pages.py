@@ -13,6 +13,7 @@ import hashlib
 import html as entities
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -47,10 +48,18 @@ NOT_TEXT_NAMES = frozenset(
 HEADERS = frozenset({"header"})
 MAIN = frozenset({"article", "main"})
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+DEEPEST = 64  # levels of a path; what lies deeper has the path of its ancestor at that level
+LONGEST_LABEL = 80  # characters of one level; longer ones end in a hash
+FAILED_QUOTES = 32  # tags with an unclosed quote, after which a page's quotes hold no more brackets
+
+TAG_START = re.compile(r"</?[a-zA-Z]|<[!?]")
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+QUOTE_OR_END = re.compile(r"""[>"']""")
+NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+CLASS = re.compile(r"""(?:^|[\s"'])class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 INVISIBLE = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+SAYS_OF_OTHERS = re.compile(r"(?:has|no|with|without|is)[-_]", re.I)  # a wrapper's name that speaks of another part
+TEXT_ELEMENTS = frozenset("h1 h2 h3 h4 h5 h6 p".split())  # of which an id names a section
 NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -60,6 +69,8 @@ class Open:
     path: str
     dropped: bool
     main: bool
+    by_name: bool = False  # dropped for a name only, here or further out
+    depth: int = 0
 
 
 @dataclass(slots=True)
@@ -75,13 +86,70 @@ class Page:
     paths: Counter = field(default_factory=Counter)
 
 
-def _names(attributes: str) -> set[str]:
-    return {w.lower() for m in NAMED.finditer(attributes) for w in NAME_WORDS.findall(m[1] or m[2] or m[3] or "")}
+def _names(attributes: str, name: str, inside: bool) -> set[str]:
+    """The words of class, id and role that tell what an element is. Inside an article an id tells it only as a whole."""
+    found: set[str] = set()
+    for m in NAMED.finditer(attributes):
+        for one in (m[2] or m[3] or m[4] or "").split():
+            words = {w.lower() for w in NAME_WORDS.findall(one)}
+            is_id = m[1].lower() == "id"
+            if SAYS_OF_OTHERS.match(one) or is_id and (name in TEXT_ELEMENTS or inside and not words <= NOT_TEXT_NAMES):
+                continue
+            found |= words
+    return found
+
+
+def tags(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(begin, end, name, closing, attributes) of each tag in order; the name is empty for comments and declarations.
+
+    A bracket in quotes ends no tag; a tag with an unclosed quote ends at its first bracket; without a bracket behind it
+    `<` is text. Time is linear: no part is searched again once it is known to hold no bracket, and quotes that are
+    never closed are only tried FAILED_QUOTES times.
+    """
+    at, failed = 0, 0
+    while (m := TAG_START.search(source, at)) is not None:
+        begin = m.start()
+        if source.startswith("<!--", begin):
+            end = source.find("-->", begin + 4)
+            at = len(source) if end < 0 else end + 3
+            yield begin, at, "", False, ""
+            continue
+        first = source.find(">", begin)
+        if first < 0:
+            return
+        if source[begin + 1] in "!?":
+            at = first + 1
+            yield begin, at, "", False, ""
+            continue
+        closing = source[begin + 1] == "/"
+        named = TAG_NAME.match(source, begin + 1 + closing)
+        end, own = named.end(), source[named.end():first]
+        if "'" not in own and own.count('"') % 2 == 0:
+            at = first + 1
+            yield begin, at, named[0].lower(), closing, own
+            continue
+        while failed < FAILED_QUOTES:
+            q = QUOTE_OR_END.search(source, end)
+            if q is None or (end := q.start() if q[0] == ">" else source.find(q[0], q.end())) < 0:
+                failed, end = failed + 1, first
+                break
+            if q[0] == ">":
+                break
+            end += 1
+        else:
+            end = first
+        at = end + 1
+        yield begin, at, named[0].lower(), closing, source[named.end():end]
+
+
+def _label(name: str, first: re.Match | None) -> str:
+    label = name + (f".{(first[1] or first[2] or first[3] or '').strip().split(' ')[0]}" if first else "")
+    return label if len(label) <= LONGEST_LABEL else f"{label[:LONGEST_LABEL - 17]}~{key(label) & (1 << 64) - 1:016x}"
 
 
 def parse(source: str) -> Page:
     """Blocks and element paths of a page. Never fails: what is not markup is text, what is not closed ends with its parent."""
-    page, stack, text = Page(), [Open("", "", False, False)], []
+    page, stack, text, open_names = Page(), [Open("", "", False, False)], [], Counter()
 
     def flush() -> None:
         if text:
@@ -91,24 +159,29 @@ def parse(source: str) -> Page:
             text.clear()
 
     def close(names: tuple[str, ...], scope: frozenset[str] = frozenset()) -> None:
+        if not any(open_names[n] for n in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name in names:
                 if any(o.name in BLOCKS for o in stack[k:]):
                     flush()
+                for o in stack[k:]:
+                    open_names[o.name] -= 1
                 del stack[k:]
                 return
             if stack[k].name in scope:
                 return
 
-    at = 0
-    while (m := TAG.search(source, at)) is not None:
-        if m.start() > at:
-            text.append(source[at:m.start()])
-        at = m.end()
-        if m[2] is None:
+    at, seen_main = 0, False
+    for begin, end, name, closing, attributes in tags(source):
+        if begin < at:  # inside of what a raw element holds
+            continue
+        if begin > at:
+            text.append(source[at:begin])
+        at = end
+        if not name:
             continue
-        name, attributes = m[2].lower(), m[3] or ""
-        if m[1]:
+        if closing:
             close((name,))
             continue
         if name in BLOCKS:
@@ -119,19 +192,26 @@ def parse(source: str) -> Page:
         if name == "br":
             text.append("\n")
         top = stack[-1]
-        first = CLASS.search(attributes) if attributes else None
-        label = f"{top.path}/{name}" + (f".{(first[1] or first[2] or first[3] or '').strip().split(' ')[0]}" if first else "")
+        label = top.path
+        if top.depth < DEEPEST:
+            label = f"{top.path}/{_label(name, CLASS.search(attributes) if attributes else None)}"
         page.paths[label] += 1
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>|\Z", re.I).search(source, at)
-            at = end.end()
+            at = re.compile(rf"</{re.escape(name)}\s*>|\Z", re.I).search(source, at).end()
             continue
         if name in VOID or attributes.endswith("/") and name not in BLOCKS:
             continue
-        names = _names(attributes) if attributes else set()
-        dropped = top.dropped or name in NOT_TEXT or bool(names & NOT_TEXT_NAMES) or (name in HEADERS or bool(names & HEADERS)) and not top.main
-        dropped = dropped and name not in ("html", "body") or bool(attributes and INVISIBLE.search(attributes))
-        stack.append(Open(name, label, dropped, not dropped and (top.main or name in MAIN or "main" in names)))
+        names = _names(attributes, name, top.main) if attributes else set()
+        hidden = bool(attributes and INVISIBLE.search(attributes))
+        by_kind = name in NOT_TEXT or name in HEADERS and not top.main
+        by_name = bool(names & NOT_TEXT_NAMES) or bool(names & HEADERS) and not top.main
+        dropped = (top.dropped or by_kind or by_name) and name not in ("html", "body") or hidden
+        named_only = not by_kind and not hidden and (top.by_name if top.dropped else by_name)
+        if name in MAIN and not seen_main and not hidden:
+            # A page's first article stands, whatever the names of the wrappers around it.
+            dropped, seen_main = dropped and not (top.by_name and not by_name), seen_main or not top.dropped or top.by_name
+        stack.append(Open(name, label, dropped, not dropped and (top.main or name in MAIN or "main" in names), dropped and named_only, top.depth + 1))
+        open_names[name] += 1
     text.append(source[at:])
     flush()
     return page

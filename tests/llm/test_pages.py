@@ -58,3 +58,32 @@ def test_copies_of_one_page_make_no_template_and_empty_table(spark):
     got = extract(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(got) == 40 and all("Read our other stories today" in r["text"] for r in got)
     assert extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def text_of(html):
+    return [b.text for b in parse(html).blocks]
+
+
+def test_names_do_not_take_the_article_away():
+    assert text_of('<div class="content has-sidebar"><article><p>Good</p></article></div>') == ["Good"]
+    assert text_of('<div id="page" class="no-menu"><article><p>Good</p></article></div>') == ["Good"]
+    assert text_of('<div class="page-sidebar"><main><p>Good</p></main></div>') == ["Good"]
+    assert text_of('<article><h2 id="social-impact">S</h2><section id="related-work"><p data-id="share">T</p></section><div id="comments">C</div></article>') == ["S", "T"]
+    assert text_of('<aside><article>no</article></aside><article>yes</article><div class="related"><article>rel</article></div>') == ["yes"]
+    assert text_of('<div class="related"><p>x</p></div><nav>m</nav><p>y</p>') == ["y"]
+
+
+def test_malformed_pages_take_linear_time_and_space():
+    import time
+
+    for html in ("<a " * 350_000, "<div>" * 200_000, '<a "' * 250_000, """<a "<b '>""" * 100_000, '<p title="x>' * 80_000,
+                 "<b>" * 100_000 + "</i>" * 100_000, '<div class="' + "x" * 200_000 + '">' + "<p>y" * 2000, "<!--" * 200_000):
+        start = time.time()
+        page = parse(html)
+        assert time.time() - start < 20 and sum(map(len, page.paths)) < 20_000
+
+
+def test_brackets_in_quotes():
+    assert text_of('<p title="a > b">x</p>') == ["x"] and text_of("<p title='a > \" b'>x</p>") == ["x"]
+    assert text_of('<p title="a >x</p>y') == ["xy"] or text_of('<p title="a >x</p>y') == ["x", "y"]
+    assert text_of("1 < 2 <3 x> a<b") == ["1 < 2 <3 x> a<b"]
