@@ -60,17 +60,17 @@ def test_copies_of_one_page_make_no_template_and_empty_table(spark):
     assert extract(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def text_of(html):
+def blocks_of(html):
     return [b.text for b in parse(html).blocks]
 
 
 def test_names_do_not_take_the_article_away():
-    assert text_of('<div class="content has-sidebar"><article><p>Good</p></article></div>') == ["Good"]
-    assert text_of('<div id="page" class="no-menu"><article><p>Good</p></article></div>') == ["Good"]
-    assert text_of('<div class="page-sidebar"><main><p>Good</p></main></div>') == ["Good"]
-    assert text_of('<article><h2 id="social-impact">S</h2><section id="related-work"><p data-id="share">T</p></section><div id="comments">C</div></article>') == ["S", "T"]
-    assert text_of('<aside><article>no</article></aside><article>yes</article><div class="related"><article>rel</article></div>') == ["yes"]
-    assert text_of('<div class="related"><p>x</p></div><nav>m</nav><p>y</p>') == ["y"]
+    assert blocks_of('<div class="content has-sidebar"><article><p>Good</p></article></div>') == ["Good"]
+    assert blocks_of('<div id="page" class="no-menu"><article><p>Good</p></article></div>') == ["Good"]
+    assert blocks_of('<div class="page-sidebar"><main><p>Good</p></main></div>') == ["Good"]
+    assert blocks_of('<article><h2 id="social-impact">S</h2><section id="related-work"><p data-id="share">T</p></section><div id="comments">C</div></article>') == ["S", "T"]
+    assert blocks_of('<aside><article>no</article></aside><article>yes</article><div class="related"><article>rel</article></div>') == ["yes"]
+    assert blocks_of('<div class="related"><p>x</p></div><nav>m</nav><p>y</p>') == ["y"]
 
 
 def test_malformed_pages_take_linear_time_and_space():
@@ -84,6 +84,6 @@ def test_malformed_pages_take_linear_time_and_space():
 
 
 def test_brackets_in_quotes():
-    assert text_of('<p title="a > b">x</p>') == ["x"] and text_of("<p title='a > \" b'>x</p>") == ["x"]
-    assert text_of('<p title="a >x</p>y') == ["xy"] or text_of('<p title="a >x</p>y') == ["x", "y"]
-    assert text_of("1 < 2 <3 x> a<b") == ["1 < 2 <3 x> a<b"]
+    assert blocks_of('<p title="a > b">x</p>') == ["x"] and blocks_of("<p title='a > \" b'>x</p>") == ["x"]
+    assert blocks_of('<p title="a >x</p>y') == ["xy"] or blocks_of('<p title="a >x</p>y') == ["x", "y"]
+    assert blocks_of("1 < 2 <3 x> a<b") == ["1 < 2 <3 x> a<b"]
