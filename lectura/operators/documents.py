@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lectura import constants as K
 from lectura.functions import text as T
-from lectura.operators.ranking import number_ranges, ordered_rank
+from lectura.operators.ranking import ordered_rank
 from lectura.session import stored
 
 
@@ -140,7 +140,7 @@ def assemble_chapters(sections: DataFrame, titles: DataFrame, keep_boilerplate:
     prose = stored(html_to_paragraphs(sections), "prose")
     numbered = ordered_rank(
         prose.filter(F.col("paragraph_index") == 0).select("book_id", "doc_ord", "section_ord"),
-        ["book_id"], ["doc_ord", "section_ord"], number_ranges("doc_ord"), "chapter_index",
+        ["book_id"], ["doc_ord", "section_ord"], "chapter_index",
     )
     by_section = titles.select("book_id", F.col("target").alias("_st"), F.col("title").alias("_section_title"))
     by_document = titles.select("book_id", F.col("target").alias("doc_name"), F.col("title").alias("_doc_title"))

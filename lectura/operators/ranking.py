@@ -4,45 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectura.session import stored
 
-def text_ranges(column: str) -> tuple[Column, Column]:
-    """Nested ranges of a string order: its first two and its first five characters."""
-    return F.substring(column, 1, 2), F.substring(column, 1, 5)
 
+def in_ranges(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df``, stored, with ``_range``: the number of its range in the order of ``group`` and ``order``.
 
-def number_ranges(column: str) -> tuple[Column, Column]:
-    """Nested ranges of a numeric order: runs of about a million and about a thousand values."""
-    return F.floor(F.col(column) / 2**20), F.floor(F.col(column) / 2**10)
+    Bounds come from a sample of the rows themselves, so ranges are about equally large whatever the values share, and
+    a group larger than a range has several. They are stored, as another sample might draw other bounds.
+    """
+    return stored(df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
-def ordered_rank(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], ranges: tuple[Column, Column], name: str
-) -> DataFrame:
+def ordered_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Add ``name``: the 0-based position of each row in its group, ascending by ``order``.
 
-    ``order`` must be a total order within a group and ``ranges`` two nested coarse versions of
-    it. A plain window would put a whole group into one task. Here rows are numbered inside the
-    fine ranges and shifted by the counts of the ranges before them: first among the fine ranges
-    of one coarse range, then among the coarse ranges of the group.
+    ``order`` must be a total order within a group. A plain window would put a whole group into one task. Here rows
+    are numbered inside ranges of bounded size and shifted by the counts of the group's ranges before them.
     """
-    wide, narrow = [*group, "_r1"], [*group, "_r1", "_r2"]
-    ranged = df.withColumns({"_r1": ranges[0], "_r2": ranges[1]})
-
-    def before(keys: Sequence[str], by: str) -> Column:
-        window = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum("_n").over(window), F.lit(0))
-
-    fine = ranged.groupBy(*narrow).agg(F.count(F.lit(1)).alias("_n"))
-    coarse = fine.groupBy(*wide).agg(F.sum("_n").alias("_n"))
-    offsets = fine.select(*narrow, before(wide, "_r2").alias("_fine")).join(
-        coarse.select(*wide, before(group, "_r1").alias("_coarse")), wide
+    place = [*group, "_range"]
+    ranged = in_ranges(df, group, order)
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy(*place).agg(F.count(F.lit(1)).alias("_n")).select(
+        *place, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     )
-    inside = F.row_number().over(Window.partitionBy(*narrow).orderBy(*order))
+    inside = F.row_number().over(Window.partitionBy(*place).orderBy(*order))
     return (
-        ranged.join(offsets, narrow)
-        .withColumn(name, (F.col("_coarse") + F.col("_fine") + inside - 1).cast("long"))
-        .drop("_r1", "_r2", "_coarse", "_fine")
+        ranged.join(offsets, place)
+        .withColumn(name, (F.col("_before") + inside - 1).cast("long"))
+        .drop("_range", "_before")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectura.operators.ranking import ordered_rank, text_ranges
+from lectura.operators.ranking import ordered_rank
 
 CHAPTER = ("book_id", "chapter_index")
 
@@ -56,7 +56,7 @@ def lexicon_counts(counts: DataFrame) -> DataFrame:
 def build_lexicon(counts: DataFrame) -> DataFrame:
     """The lexicon with book-scoped keys ``m0000…`` in (lemma, pos) order."""
     ranked = ordered_rank(
-        lexicon_counts(counts), ["book_id"], ["lemma", "pos"], text_ranges("lemma"), "_rank"
+        lexicon_counts(counts), ["book_id"], ["lemma", "pos"], "_rank"
     )
     return ranked.withColumn(
         "key", F.concat(F.lit("m"), F.lpad(F.col("_rank").cast("string"), _width(F.col("_rank")), "0"))

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from lectura.operators import coverage as G
 from lectura.operators import teach as C
-from lectura.operators.ranking import ordered_rank, text_ranges
+from lectura.operators.ranking import in_ranges, ordered_rank
 
 LEX = "book_id string, key string, lemma string, pos string, book_count long, zipf double, mexicanism boolean"
 
@@ -94,12 +94,22 @@ def test_coverage(spark):
 def test_rank_matches_a_plain_window(spark):
     words = [("b%d" % (i % 2), "w%05d" % (i * 7919 % 5000)) for i in range(3000)] + [("b0", "zz"), ("b0", "z"), ("b0", "")]
     df = spark.createDataFrame(words, "book_id string, lemma string").distinct()
-    got = {(r.book_id, r.lemma): r.n for r in ordered_rank(df, ["book_id"], ["lemma"], text_ranges("lemma"), "n").collect()}
+    got = {(r.book_id, r.lemma): r.n for r in ordered_rank(df, ["book_id"], ["lemma"], "n").collect()}
     for book in ("b0", "b1"):
         ordered = sorted(l for b, l in set(words) if b == book)
         assert [got[(book, l)] for l in ordered] == list(range(len(ordered)))
 
 
+def test_ranges_follow_the_rows_and_not_their_prefix(spark):
+    """A million lemmas that share their first characters, in one book, beside a small book."""
+    same = spark.range(1_000_000).select(F.lit("b").alias("book_id"), F.concat(F.lit("prefix"), F.lpad("id", 7, "0")).alias("lemma"), "id")
+    df = same.union(spark.range(5).select(F.lit("a"), F.concat(F.lit("x"), "id"), "id"))
+    sizes = [r["count"] for r in in_ranges(df, ["book_id"], ["lemma"]).groupBy("_range").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    ranked = ordered_rank(df, ["book_id"], ["lemma"], "n")
+    assert ranked.filter("n <> id").count() == 0 and ranked.count() == 1_000_005
+
+
 def test_whole_books_match_the_plain_classification(spark):
     """Per-chapter sums corrected by each reader's words equal the table of readers times vocabulary."""
     entries = [("m1", "Casa", "NOUN", 5), ("m2", "sol", "NOUN", 9), ("m3", "raro", "NOUN", 1), ("m4", "de", "ADP", 90), ("m5", "visto", "VERB", 7), ("m6", "visto", "NOUN", 1)]
