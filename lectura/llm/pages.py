@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,9 +51,11 @@ MAIN = frozenset({"article", "main"})
 
 DEEPEST = 64  # levels of a path; what lies deeper has the path of its ancestor at that level
 LONGEST_LABEL = 80  # characters of one level; longer ones end in a hash
+LONGEST_KEPT = 400  # characters of attributes whose facts are remembered
 FAILED_QUOTES = 32  # tags with an unclosed quote, after which a page's quotes hold no more brackets
 
-TAG_START = re.compile(r"</?[a-zA-Z]|<[!?]")
+# A tag as nearly all are, without other brackets or single quotes, or else just the place where one may begin.
+TAG_START = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/<>]*)([^<>"']*(?:"[^"<>]*"[^<>"']*)*)>|(?=/?[a-zA-Z]|[!?]))""")
 TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 QUOTE_OR_END = re.compile(r"""[>"']""")
 NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -109,6 +112,10 @@ def tags(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
     at, failed = 0, 0
     while (m := TAG_START.search(source, at)) is not None:
         begin = m.start()
+        if m[2]:
+            at = m.end()
+            yield begin, at, m[2].lower(), bool(m[1]), m[3]
+            continue
         if source.startswith("<!--", begin):
             end = source.find("-->", begin + 4)
             at = len(source) if end < 0 else end + 3
@@ -123,11 +130,7 @@ def tags(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
             continue
         closing = source[begin + 1] == "/"
         named = TAG_NAME.match(source, begin + 1 + closing)
-        end, own = named.end(), source[named.end():first]
-        if "'" not in own and own.count('"') % 2 == 0:
-            at = first + 1
-            yield begin, at, named[0].lower(), closing, own
-            continue
+        end = named.end()
         while failed < FAILED_QUOTES:
             q = QUOTE_OR_END.search(source, end)
             if q is None or (end := q.start() if q[0] == ">" else source.find(q[0], q.end())) < 0:
@@ -142,6 +145,14 @@ def tags(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
         yield begin, at, named[0].lower(), closing, source[named.end():end]
 
 
+@lru_cache(4096)
+def _facts(name: str, attributes: str, inside: bool) -> tuple[str, frozenset[str], bool]:
+    """Label, names, and whether the element is hidden; the same few are met again and again."""
+    if not attributes:
+        return _label(name, None), frozenset(), False
+    return _label(name, CLASS.search(attributes)), frozenset(_names(attributes, name, inside)), bool(INVISIBLE.search(attributes))
+
+
 def _label(name: str, first: re.Match | None) -> str:
     label = name + (f".{(first[1] or first[2] or first[3] or '').strip().split(' ')[0]}" if first else "")
     return label if len(label) <= LONGEST_LABEL else f"{label[:LONGEST_LABEL - 17]}~{key(label) & (1 << 64) - 1:016x}"
@@ -149,7 +160,7 @@ def _label(name: str, first: re.Match | None) -> str:
 
 def parse(source: str) -> Page:
     """Blocks and element paths of a page. Never fails: what is not markup is text, what is not closed ends with its parent."""
-    page, stack, text, open_names = Page(), [Open("", "", False, False)], [], Counter()
+    page, stack, text, open_names = Page(), [Open("", "", False, False)], [], {}
 
     def flush() -> None:
         if text:
@@ -159,7 +170,10 @@ def parse(source: str) -> Page:
             text.clear()
 
     def close(names: tuple[str, ...], scope: frozenset[str] = frozenset()) -> None:
-        if not any(open_names[n] for n in names):
+        for n in names:
+            if open_names.get(n):
+                break
+        else:
             return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name in names:
@@ -192,17 +206,15 @@ def parse(source: str) -> Page:
         if name == "br":
             text.append("\n")
         top = stack[-1]
-        label = top.path
-        if top.depth < DEEPEST:
-            label = f"{top.path}/{_label(name, CLASS.search(attributes) if attributes else None)}"
+        facts = _facts if len(attributes) < LONGEST_KEPT else _facts.__wrapped__
+        label, names, hidden = facts(name, attributes, top.main)
+        label = f"{top.path}/{label}" if top.depth < DEEPEST else top.path
         page.paths[label] += 1
         if name in RAW:
             at = re.compile(rf"</{re.escape(name)}\s*>|\Z", re.I).search(source, at).end()
             continue
         if name in VOID or attributes.endswith("/") and name not in BLOCKS:
             continue
-        names = _names(attributes, name, top.main) if attributes else set()
-        hidden = bool(attributes and INVISIBLE.search(attributes))
         by_kind = name in NOT_TEXT or name in HEADERS and not top.main
         by_name = bool(names & NOT_TEXT_NAMES) or bool(names & HEADERS) and not top.main
         dropped = (top.dropped or by_kind or by_name) and name not in ("html", "body") or hidden
@@ -211,7 +223,7 @@ def parse(source: str) -> Page:
             # A page's first article stands, whatever the names of the wrappers around it.
             dropped, seen_main = dropped and not (top.by_name and not by_name), seen_main or not top.dropped or top.by_name
         stack.append(Open(name, label, dropped, not dropped and (top.main or name in MAIN or "main" in names), dropped and named_only, top.depth + 1))
-        open_names[name] += 1
+        open_names[name] = open_names.get(name, 0) + 1
     text.append(source[at:])
     flush()
     return page
