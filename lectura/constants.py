@@ -93,14 +93,6 @@ CLOSED_CLASS_FORMS = {
     "PART": "not no nicht",
 }
 
-# Stop words that tell the candidate languages apart.
-LANGUAGE_STOP_WORDS = {
-    "es": "el los las y que en del por con para una su",
-    "en": "the of and to is that with was this for are it",
-    "de": "der die das und ist nicht mit den von ein zu sich",
-    "fr": "le les et des est dans qui une sur avec du pas",
-    "pt": "os as não uma com do da em para mais ao pelo",
-    "ca": "els i amb les una per dels és però als aquest més",
-    "gl": "os unha non da coa polo é máis na cos pola ao",
-    "it": "il gli di che è non per una con del sono alla",
-}
+# How far a text's trigrams are believed to tell its language.
+LANGUAGE_PRIOR = 10
+LANGUAGE_SHARPNESS = 2.5

@@ -89,36 +89,30 @@ def stratified_sample(
 ) -> DataFrame:
     """Per book: a third most used, a third regional, the rest drawn; the same on every run.
 
-    Draws rank by a hash of seed and key. All three lists are cut per partition before the
-    shuffle, so no book is gathered whole.
+    Draws rank by a hash of seed and key. Every word stands in up to three lists of its book, which one window cuts,
+    and Spark before its shuffle; so the classes are read once and no book is gathered whole. The first drawn words
+    of a book hold enough that the other two lists have not taken.
     """
     third = size // 3
+    columns = ["book_id", "key", "lemma", "pos", "book_count", "mexicanism"]
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("key")))
-    rows = taught(classes).withColumn("_draw", draw).select(
-        "book_id", "key", "lemma", "pos", "book_count", "mexicanism", "_draw"
+    place = lambda name, count, drawn: F.struct(F.lit(name).alias("list"), count.cast("long").alias("count"), drawn.alias("drawn"))
+    lists = F.array(
+        place("drawn", F.lit(0), F.col("_draw")), place("top", -F.col("book_count"), F.lit("")),
+        F.when(F.col("mexicanism"), place("regional", F.lit(0), F.col("_draw"))))
+    order = Window.partitionBy("book_id", "_at.list").orderBy("_at.count", "_at.drawn", "key")
+    first = (
+        taught(classes).withColumn("_draw", draw).select(*columns, "_draw", F.explode(F.array_compact(lists)).alias("_at"))
+        .withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= size + 2 * third)
+        .filter((F.col("_at.list") == "drawn") | (F.col("_rn") <= third))
     )
+    words = first.groupBy(*columns, "_draw").agg(F.count_if(F.col("_at.list") != "drawn").alias("_chosen"))
     book = Window.partitionBy("book_id")
-
-    def first(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
-        ranked = df.withColumn("_rn", F.row_number().over(book.orderBy(*order)))
-        return ranked.filter(F.col("_rn") <= n)
-
-    top = first(rows, [F.desc("book_count"), F.col("key")], third).drop("_rn")
-    regional = first(rows.filter("mexicanism"), [F.col("_draw"), F.col("key")], third).drop("_rn")
-    chosen = top.union(regional)
-    taken = chosen.groupBy("book_id").agg(F.count(F.lit(1)).alias("_taken"))
-    rest = (
-        first(
-            rows.join(chosen.select("book_id", "key").distinct(), ["book_id", "key"], "left_anti")
-            .select(*rows.columns),
-            [F.col("_draw"), F.col("key")], size,
-        )
-        .join(taken, "book_id")
-        .filter(F.col("_rn") <= size - F.col("_taken"))
-        .drop("_rn", "_taken")
+    return (
+        words.withColumn("_taken", F.sum("_chosen").over(book))
+        .withColumn("_rn", F.row_number().over(book.orderBy(F.col("_chosen") > 0, "_draw", "key")))
+        .filter((F.col("_chosen") > 0) | (F.col("_rn") <= size - F.col("_taken"))).select(*columns)
     )
-    columns = ["book_id", "key", "lemma", "pos", "book_count", "mexicanism"]
-    return chosen.unionByName(rest).select(*columns).distinct()
 
 
 def zipf_zero(lexicon: DataFrame, sample: int = K.ZIPF_SAMPLE) -> DataFrame:

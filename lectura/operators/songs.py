@@ -6,6 +6,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -298,34 +301,79 @@ def due_for_lookup(tracks: DataFrame, cache: DataFrame, now: Column) -> DataFram
     return tracks.join(settled, ["artist_key", "title_key"], "left_anti")
 
 
-def language_scores(docs: DataFrame, stop_words: DataFrame) -> DataFrame:
-    """Share of each language among the stop-word hits of a text.
+@dataclass(frozen=True)
+class LanguageModel:
+    """``trigrams(trigram, gains)``: per language, what a trigram adds over one never seen, in millionths of a nat."""
 
-    ``docs(doc_id, text)`` · ``stop_words(language, word)``. Counts per document and word come
-    first, so the join sees each word of a text once.
-    """
-    counts = (
-        docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}[\p{L}\p{M}]*"), F.lit(0))).alias("word"))
-        .groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    )
-    hits = counts.join(stop_words, "word").groupBy("doc_id", "language").agg(F.sum("n").alias("hits"))
-    totals = hits.groupBy("doc_id").agg(F.sum("hits").alias("total"))
-    return hits.join(totals, "doc_id").select(
-        "doc_id", "language", F.round(F.col("hits") / F.col("total"), 6).alias("confidence")
-    )
+    languages: list[str]
+    unseen: list[int]
+    trigrams: DataFrame
+
+
+def _word_counts(texts: DataFrame, *keys: str) -> DataFrame:
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}[\p{L}\p{M}]*"), F.lit(0))
+    return texts.select(*keys, F.explode(words).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def language_gate(docs: DataFrame, stop_words: DataFrame, target: str = "es", min_conf: float = 0.80) -> DataFrame:
-    """Accept confident texts of the target language; a doubtful one goes to review.
+def _trigrams(word: Column) -> Column:
+    padded = F.concat(F.lit(" "), word, F.lit(" "))
+    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(padded, i, F.lit(3)))
+
+
+def learn_languages(texts: DataFrame) -> LanguageModel:
+    """Character trigrams of the languages, from ``texts(lang, text)``; rows without language or text teach nothing.
+
+    Words are counted before they are cut, so a frequent word is cut once per language. Weights are whole numbers, and
+    their sums do not depend on the order of the rows. Only the total of each language comes to the driver.
+    """
+    counted = _word_counts(texts.filter("lang IS NOT NULL"), "lang")
+    seen = stored(
+        counted.select("lang", F.explode(_trigrams(F.col("word"))).alias("trigram"), "n")
+        .groupBy("lang", "trigram").agg(F.sum("n").alias("n")), "trigrams")
+    different = seen.select("trigram").distinct().count()
+    totals = {r["lang"]: r["n"] for r in seen.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    languages = sorted(totals)
+    gain = lambda lang: F.max(F.when(F.col("lang") == lang, F.round(F.log1p("n") * 1e6).cast("long")))
+    gains = F.array(*[F.coalesce(gain(lang), F.lit(0).cast("long")) for lang in languages]).cast("array<long>")
+    unseen = [-round(1e6 * math.log(totals[lang] + different)) for lang in languages]
+    return LanguageModel(languages, unseen, seen.groupBy("trigram").agg(gains.alias("gains")))
+
+
+def language_scores(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """(doc_id, language, confidence) of every text of ``docs(doc_id, text)`` that has a letter.
+
+    A language's evidence is its mean log-likelihood per trigram, as if ``LANGUAGE_PRIOR`` trigrams of no evidence
+    were read first, so short texts stay doubtful; and so do mixed ones, whose parts speak against each other. The
+    confidence is the chance of the best language, among all of them, at ``LANGUAGE_SHARPNESS`` times the evidence.
+    Every different word is scored once, and each text joins its counted words; of equal languages the last stands.
+    """
+    if not model.languages:
+        return docs.select("doc_id", F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("confidence")).limit(0)
+    counts = stored(_word_counts(docs, "doc_id"), "words-of-texts")
+    places = range(len(model.languages))
+    scored = (
+        counts.select("word").distinct().select("word", F.explode(_trigrams(F.col("word"))).alias("trigram"))
+        .join(model.trigrams, "trigram").groupBy("word")
+        .agg(*[F.sum(F.col("gains")[k]).alias(f"_g{k}") for k in places])
+    )
+    summed = counts.join(scored, "word", "left").groupBy("doc_id").agg(
+        F.sum(F.col("n") * F.length("word")).alias("_n"),
+        *[F.sum(F.col("n") * F.coalesce(f"_g{k}", F.lit(0))).alias(f"_s{k}") for k in places])
+    sharp = K.LANGUAGE_SHARPNESS / 1e6
+    evidence = lambda k: (F.col(f"_s{k}") + F.col("_n") * model.unseen[k]) / (F.col("_n") + K.LANGUAGE_PRIOR) * sharp
+    each = F.array(*[F.struct(evidence(k).alias("e"), F.lit(model.languages[k]).alias("language")) for k in places])
+    held = summed.select("doc_id", each.alias("_each")).withColumn("_best", F.array_max("_each"))
+    others = F.aggregate("_each", F.lit(0.0), lambda total, x: total + F.exp(x["e"] - F.col("_best.e")))
+    return held.select("doc_id", "_best.language", F.round(1 / others, 6).alias("confidence"))
+
+
+def language_gate(docs: DataFrame, model: LanguageModel, target: str = "es", min_conf: float = 0.80) -> DataFrame:
+    """Accept confident texts of the target language; a doubtful one, or one without letters, goes to review.
 
     Another language with enough confidence is rejected.
     """
-    scores = language_scores(docs, stop_words)
-    best = scores.groupBy("doc_id").agg(
-        F.max_by(F.struct("language", "confidence"), F.struct("confidence", "language")).alias("_b")
-    )
     sure = F.col("confidence") >= min_conf
-    return docs.select("doc_id").join(best.select("doc_id", "_b.*"), "doc_id", "left").select(
+    return docs.select("doc_id").join(language_scores(docs, model), "doc_id", "left").select(
         "doc_id", "language", "confidence",
         F.when(sure & (F.col("language") == target), "accept").when(sure, "reject").otherwise("review").alias("route"),
     )

@@ -153,19 +153,29 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return X.due_for_lookup(tracks, cache, S.now()).select("track_id")
 
 
-_STOPWORDS = values(sorted({(g, w) for g, ws in K.LANGUAGE_STOP_WORDS.items() for w in ws.split()}))
-CTES["langs"] = rf"""
-    WITH c AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{{L}}[\p{{L}}\p{{M}}]*')) AS w FROM documents) GROUP BY ALL),
-    h AS (SELECT doc_id, language, sum(n) AS hits FROM c JOIN ({_STOPWORDS}) s(language, word) ON s.word = c.w GROUP BY ALL),
-    q AS (SELECT doc_id, language, round(hits / sum(hits) OVER (PARTITION BY doc_id), 6) AS confidence FROM h)
-    SELECT doc_id, arg_max(language, (confidence, language)) AS language, max(confidence) AS confidence FROM q GROUP BY ALL"""
+CTES["langwords"] = r"SELECT doc_id, lang, w, count(*) AS n FROM (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\p{L}[\p{L}\p{M}]*')) AS w FROM documents) GROUP BY ALL"
+CTES["langtri"] = """
+    SELECT lang, substr(' ' || w || ' ', i, 3) AS t, sum(n)::BIGINT AS c
+    FROM (SELECT lang, w, n, unnest(generate_series(1, length(w))) AS i FROM (SELECT lang, w, sum(n) AS n FROM langwords WHERE lang IS NOT NULL GROUP BY ALL)) GROUP BY ALL"""
+CTES["langs"] = f"""
+    WITH tot AS (SELECT lang, -round(1e6 * ln(sum(c) + (SELECT count(DISTINCT t) FROM langtri)))::BIGINT AS unseen FROM langtri GROUP BY lang),
+    g AS (SELECT w, lang, sum(round(ln(c + 1) * 1e6)::BIGINT) AS gain FROM (
+      SELECT w, substr(' ' || w || ' ', i, 3) AS t FROM (SELECT w, unnest(generate_series(1, length(w))) AS i FROM (SELECT DISTINCT w FROM langwords))) JOIN langtri USING (t) GROUP BY ALL),
+    s AS (SELECT doc_id, g.lang, sum(n * gain) AS gains FROM langwords l JOIN g USING (w) GROUP BY ALL),
+    d AS (SELECT doc_id, sum(n * length(w)) AS n FROM langwords GROUP BY doc_id),
+    e AS (SELECT doc_id, tot.lang AS language, (coalesce(gains, 0) + n * unseen)::DOUBLE / (n + {K.LANGUAGE_PRIOR}) * {K.LANGUAGE_SHARPNESS / 1e6!r} AS e
+          FROM d CROSS JOIN tot LEFT JOIN s USING (doc_id, lang))
+    SELECT doc_id, arg_max(language, (e, language)) AS language, round(1 / sum(exp(e - top)), 6) AS confidence
+    FROM (SELECT *, max(e) OVER (PARTITION BY doc_id) AS top FROM e) GROUP BY doc_id"""
 
 
 @query("x8_language_gate", """
     SELECT d.doc_id, l.language, l.confidence, CASE WHEN l.confidence >= 0.8 AND l.language = 'es' THEN 'accept' WHEN l.confidence >= 0.8 THEN 'reject' ELSE 'review' END AS route
     FROM documents d LEFT JOIN langs l USING (doc_id)""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return X.language_gate(S.documents(spark, sf).select("doc_id", "text"), S.stop_words(spark))
+    """The model learns from the languages that the documents state."""
+    docs = S.documents(spark, sf)
+    return X.language_gate(docs.select("doc_id", "text"), X.learn_languages(docs.select("lang", "text")))
 
 
 @query("x9_to_stanzas", r"""

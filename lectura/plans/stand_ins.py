@@ -299,11 +299,6 @@ def lyric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).filter(F.trim("text") != "")
 
 
-def stop_words(spark: SparkSession) -> DataFrame:
-    rows = [(lang, w) for lang, ws in K.LANGUAGE_STOP_WORDS.items() for w in ws.split()]
-    return literal_table(spark, sorted(set(rows)), "language, word")
-
-
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as tracks, spelt as players report them: with qualifiers, and some with a slip in the title or the artist."""
     from lectura.operators.songs import with_match_keys

@@ -133,15 +133,12 @@ def test_whole_books_match_the_plain_classification(spark):
 
 
 def test_the_corpus_meets_no_dictionary_in_a_shuffle(spark):
-    from lectura.operators.songs import language_scores
     from lectura.plans import stand_ins as S
 
-    docs = spark.range(1000).selectExpr("id AS doc_id", "'el sol de la casa' AS text")
-    for df in (language_scores(docs, S.stop_words(spark)), S.counts_once(spark, "/root/testdata/sf0.001")):
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        joins = [line for line in plan.splitlines() if "Join" in line]
-        assert any("BroadcastHashJoin" in j for j in joins)
-        assert not any("SortMergeJoin" in j and ("word#" in j or "[s#" in j) for j in joins)
+    plan = S.counts_once(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert any("BroadcastHashJoin" in j for j in joins)
+    assert not any("SortMergeJoin" in j and ("word#" in j or "[s#" in j) for j in joins)
 
 
 def test_sums_of_readers_in_small_blocks(spark, monkeypatch):
@@ -169,3 +166,27 @@ def test_sums_of_readers_in_small_blocks(spark, monkeypatch):
                     want[user, b, chapter] = tuple(x + y for x, y in zip(want.get((user, b, chapter), (0,) * 4), add))
     sums = {(r["user_id"], r["book_id"], r["chapter_index"]): (r["_known"], r["_after_fix"], r["_cards_fix"], r["_gloss_fix"]) for r in got}
     assert len(sums) == len(got) and {k: v for k, v in sums.items() if any(v)} == {k: v for k, v in want.items() if any(v)}
+
+
+def test_stratified_sample_in_one_pass_against_three_lists(spark):
+    import hashlib
+    import random
+
+    from lectura.operators.report import stratified_sample
+
+    rnd = random.Random(6)
+    rows = [(f"b{b}", f"m{k:04}", f"w{k}", "NOUN", rnd.randint(1, 5), rnd.random() < share, rnd.choice(("TEACH", "TEACH", "GLOSS_ONLY")))
+            for b, (n, share) in enumerate([(300, 0.2), (300, 0.0), (25, 0.5), (4, 1.0), (1, 0.0), (300, 1.0)]) for k in range(n)]
+    names = ["book_id", "key", "lemma", "pos", "book_count", "mexicanism"]
+    df = spark.createDataFrame(rows, "book_id string, key string, lemma string, pos string, book_count long, mexicanism boolean, class string")
+    want = []
+    for book in sorted({r[0] for r in rows}):
+        mine = [r for r in rows if r[0] == book and r[-1] == "TEACH"]
+        drawn = sorted(mine, key=lambda r: (hashlib.md5(f"42:{r[1]}".encode()).hexdigest(), r[1]))
+        chosen = sorted(mine, key=lambda r: (-r[4], r[1]))[:10] + [r for r in drawn if r[5]][:10]
+        rest = [r for r in drawn if r not in chosen][: 30 - len(chosen)]
+        want += {r[:6] for r in chosen + rest}
+    got = stratified_sample(df.repartition(7), 30, 42)
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.count("Scan ExistingRDD") == 1
