@@ -310,7 +310,8 @@ class LanguageModel:
     trigrams: DataFrame
 
 
-def _word_counts(texts: DataFrame, *keys: str) -> DataFrame:
+def count_words(texts: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, word, n) of ``texts(text, ...)``: words in lower case."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}[\p{L}\p{M}]*"), F.lit(0))
     return texts.select(*keys, F.explode(words).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
 
@@ -320,13 +321,13 @@ def _trigrams(word: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(padded, i, F.lit(3)))
 
 
-def learn_languages(texts: DataFrame) -> LanguageModel:
-    """Character trigrams of the languages, from ``texts(lang, text)``; rows without language or text teach nothing.
+def learn_languages(counts: DataFrame) -> LanguageModel:
+    """Character trigrams of the languages, from ``counts(lang, word, n)``; words without a language teach nothing.
 
-    Words are counted before they are cut, so a frequent word is cut once per language. Weights are whole numbers, and
+    Counts are summed up before words are cut, so a frequent word is cut once per language. Weights are whole numbers, and
     their sums do not depend on the order of the rows. Only the total of each language comes to the driver.
     """
-    counted = _word_counts(texts.filter("lang IS NOT NULL"), "lang")
+    counted = counts.filter("lang IS NOT NULL").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     seen = stored(
         counted.select("lang", F.explode(_trigrams(F.col("word"))).alias("trigram"), "n")
         .groupBy("lang", "trigram").agg(F.sum("n").alias("n")), "trigrams")
@@ -339,8 +340,8 @@ def learn_languages(texts: DataFrame) -> LanguageModel:
     return LanguageModel(languages, unseen, seen.groupBy("trigram").agg(gains.alias("gains")))
 
 
-def language_scores(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """(doc_id, language, confidence) of every text of ``docs(doc_id, text)`` that has a letter.
+def language_scores(counts: DataFrame, model: LanguageModel) -> DataFrame:
+    """(doc_id, language, confidence) of every text of ``counts(doc_id, word, n)``, a table read twice.
 
     A language's evidence is its mean log-likelihood per trigram, as if ``LANGUAGE_PRIOR`` trigrams of no evidence
     were read first, so short texts stay doubtful; and so do mixed ones, whose parts speak against each other. The
@@ -348,8 +349,7 @@ def language_scores(docs: DataFrame, model: LanguageModel) -> DataFrame:
     Every different word is scored once, and each text joins its counted words; of equal languages the last stands.
     """
     if not model.languages:
-        return docs.select("doc_id", F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("confidence")).limit(0)
-    counts = stored(_word_counts(docs, "doc_id"), "words-of-texts")
+        return counts.select("doc_id", F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("confidence")).filter("false")
     places = range(len(model.languages))
     scored = (
         counts.select("word").distinct().select("word", F.explode(_trigrams(F.col("word"))).alias("trigram"))
@@ -367,13 +367,13 @@ def language_scores(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return held.select("doc_id", "_best.language", F.round(1 / others, 6).alias("confidence"))
 
 
-def language_gate(docs: DataFrame, model: LanguageModel, target: str = "es", min_conf: float = 0.80) -> DataFrame:
+def language_gate(docs: DataFrame, scores: DataFrame, target: str = "es", min_conf: float = 0.80) -> DataFrame:
     """Accept confident texts of the target language; a doubtful one, or one without letters, goes to review.
 
-    Another language with enough confidence is rejected.
+    Another language with enough confidence is rejected. ``scores`` are those of ``language_scores``.
     """
     sure = F.col("confidence") >= min_conf
-    return docs.select("doc_id").join(language_scores(docs, model), "doc_id", "left").select(
+    return docs.select("doc_id").join(scores, "doc_id", "left").select(
         "doc_id", "language", "confidence",
         F.when(sure & (F.col("language") == target), "accept").when(sure, "reject").otherwise("review").alias("route"),
     )

@@ -12,7 +12,7 @@ from lectura.operators import vocab as V
 from lectura.plans import stand_ins as S
 from lectura.plans.ctes import TIME, values
 from lectura.plans.registry import CTES, query
-from lectura.session import literal_table
+from lectura.session import literal_table, stored
 
 _SP = r"[\t-\r\x1c-\x20\x85\p{Z}]+"
 _STOP = "|".join(K.TITLE_STOP_TERMS)
@@ -174,8 +174,8 @@ CTES["langs"] = f"""
     FROM documents d LEFT JOIN langs l USING (doc_id)""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """The model learns from the languages that the documents state."""
-    docs = S.documents(spark, sf)
-    return X.language_gate(docs.select("doc_id", "text"), X.learn_languages(docs.select("lang", "text")))
+    counts = stored(X.count_words(S.documents(spark, sf), "doc_id", "lang"), "words-of-texts")
+    return X.language_gate(S.table(spark, sf, "documents"), X.language_scores(counts, X.learn_languages(counts)))
 
 
 @query("x9_to_stanzas", r"""

@@ -118,22 +118,24 @@ def test_languages_are_told_by_trigrams(spark):
 
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text").filter("text IS NOT NULL")
     untold = spark.createDataFrame([(1, None, "no language"), (2, "xx", None), (3, "xx", "")], "doc_id long, lang string, text string")
-    model = X.learn_languages(docs.filter("doc_id % 2 = 0").union(untold).select("lang", "text"))
+    model = X.learn_languages(X.count_words(docs.filter("doc_id % 2 = 0").union(untold), "lang"))
     assert model.languages == ["de", "en", "es", "fr"]
     held = docs.filter("doc_id % 2 = 1")
-    scores = X.language_scores(held, model).join(held, "doc_id").select((F.col("language") == F.col("lang")).alias("ok"), "confidence").collect()
+    scores = X.language_scores(X.count_words(held, "doc_id"), model).join(held, "doc_id").select((F.col("language") == F.col("lang")).alias("ok"), "confidence").collect()
     assert len(scores) == held.count() and sum(r.ok for r in scores) >= 0.99 * len(scores)
     assert sum(r.ok and r.confidence >= 0.8 for r in scores) >= 0.98 * len(scores)
 
     words = {r.lang: r.text.split()[:40] for r in held.filter("size(split(text, ' ')) > 60").collect()}
     spanish, english = " ".join(words["es"]), " ".join(words["en"])
     rows = [(1, spanish), (2, english), (3, None), (4, "1234 !?"), (5, ""), (6, "xq"), (7, spanish.upper()), (1, spanish)]
-    got = X.language_gate(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    mine = spark.createDataFrame(rows, "doc_id long, text string")
+    got = X.language_gate(mine, X.language_scores(X.count_words(mine, "doc_id"), model)).collect()
     routes = {r.doc_id: (r.language, r.route) for r in got}
     assert len(got) == len(rows) and routes[1] == routes[7] == ("es", "accept") and routes[2] == ("en", "reject")
     assert [routes[k] for k in (3, 4, 5)] == [(None, "review")] * 3 and routes[6][1] == "review"
-    nothing = X.learn_languages(untold.filter("lang IS NULL").select("lang", "text"))
-    assert {r.route for r in X.language_gate(docs.limit(3).select("doc_id", "text"), nothing).collect()} == {"review"}
+    nothing = X.learn_languages(X.count_words(untold.filter("lang IS NULL"), "lang"))
+    scores = X.language_scores(X.count_words(docs, "doc_id"), nothing)
+    assert {r.route for r in X.language_gate(docs.limit(3), scores).collect()} == {"review"}
 
 
 def test_language_weights_are_those_of_a_plain_model(spark):
@@ -144,7 +146,7 @@ def test_language_weights_are_those_of_a_plain_model(spark):
     from lectura.operators import songs as X
 
     texts = [("a", "Abba baba, abba."), ("b", "coco abc"), ("b", "abc"), ("c", "ñandú")]
-    model = X.learn_languages(spark.createDataFrame(texts, "lang string, text string"))
+    model = X.learn_languages(X.count_words(spark.createDataFrame(texts, "lang string, text string"), "lang"))
     cut = lambda text: [f" {w} "[i:i + 3] for w in "".join(c if c.isalpha() else " " for c in text.lower()).split() for i in range(len(w))]
     seen = {lang: Counter(t for x, text in texts if x == lang for t in cut(text)) for lang in "abc"}
     different = len(set().union(*seen.values()))
@@ -155,5 +157,5 @@ def test_language_weights_are_those_of_a_plain_model(spark):
         evidence[lang] = K.LANGUAGE_SHARPNESS * total / (len(cut(new)) + K.LANGUAGE_PRIOR)
     top = max(evidence, key=lambda k: (evidence[k], k))
     want = 1 / sum(math.exp(e - evidence[top]) for e in evidence.values())
-    got = X.language_scores(spark.createDataFrame([(1, new)], "doc_id long, text string"), model).first()
+    got = X.language_scores(X.count_words(spark.createDataFrame([(1, new)], "doc_id long, text string"), "doc_id"), model).first()
     assert got.language == top and abs(got.confidence - want) < 1e-5
