@@ -12,6 +12,7 @@ from lectura.operators import known as N
 from lectura.operators import logs as L
 from lectura.operators import sessions as E
 from lectura.operators import srs as D
+from lectura.operators import teach as C
 from lectura.operators import vocab as V
 from lectura.plans import stand_ins as S
 from lectura.plans.ctes import ACTION_OF, GRADE_OF, TIME, case
@@ -182,7 +183,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     WHERE c.due <= {TIME} GROUP BY ALL""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     study = Study(spark, sf)
-    return D.due_by_chapter(study.cards, study.open_vocab, study.lexicon, S.now())
+    due = study.cards.filter(F.col("fsrs.due") <= S.now()).select("user_id", "lemma_id")
+    rows = C.classify_opened(study.words_of(due), study.open, due, due.filter("false")).filter("is_known")
+    return rows.groupBy("user_id", "book_id", "chapter_index").agg(F.count_distinct("lemma_id").alias("due"))
 
 
 @query("d11_card_view", """
