@@ -171,7 +171,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     shelf = Shelf(spark, sf)
     found = D.reading_statistics(
-        N.known_provenance(shelf.cards, shelf.marks), shelf.cards, G.book_coverage(shelf.study),
+        N.known_provenance(shelf.cards, shelf.marks), shelf.cards, shelf.books(),
         L.latest_positions(S.positions(spark, sf)),
     )
     week = F.transform("by_week", lambda w: F.concat_ws(" ", w["week_start"].cast("string"), w["n"].cast("string")))

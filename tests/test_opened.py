@@ -100,3 +100,26 @@ def test_counts_and_ranks_shuffle_no_words(spark):
         assert "Exchange hashpartitioning" not in plan and "Window" not in plan
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_shelves_match_the_plain_joins(spark, tables, monkeypatch):
+    for name, value in (("READERS_TOGETHER", 2), ("CHAPTERS_TOGETHER", 2), ("LEMMAS_TOGETHER", 7)):
+        monkeypatch.setattr(G, name, value)
+    counts, opened, known, carded = tables
+    lexicon = entries_of(counts).drop("places")
+    readers = opened.select("user_id", "book_id").distinct()
+    chapters = counts.select("book_id", "chapter_index").distinct().union(spark.createDataFrame([("b1", 77)], "book_id string, chapter_index long"))
+    chapters = chapters.withColumn("title", F.concat(F.lit("T"), "chapter_index"))
+    places = opened.withColumn("fraction", F.when(F.col("chapter_index") != 2, F.col("chapter_index") / 8))
+    listed = readers.join(chapters.drop("title"), "book_id").join(V.chapter_totals(counts), ["book_id", "chapter_index"], "left").fillna(0)
+    plain = G.listed_study(listed, counts, lexicon, known, carded)
+    found = G.shelf_study(readers, chapters, counts, lexicon, known, carded, places)
+    assert rows(found, *plain.columns) == rows(plain, *plain.columns) and found.count() == listed.count()
+    full = G.chapter_list(plain, chapters, places)
+    assert rows(G.list_of(found), *full.columns) == rows(full, *full.columns)
+    held = counts.groupBy("book_id", "lemma", "pos").agg(F.count(F.lit(1)).alias("chapters"))
+    books = G.book_coverage(plain)
+    got = G.book_share(G.book_sums(readers, counts, lexicon.join(held, ["book_id", "lemma", "pos"]), known, carded))
+    assert rows(got, *books.columns) == rows(books, *books.columns)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("FlatMapCoGroupsInArrow") < plan.index("Exchange"), "no row of the finished table is shuffled"
