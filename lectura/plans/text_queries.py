@@ -243,20 +243,20 @@ CTES["shaped"] = """
     FROM anntoks a LEFT JOIN lexk x ON a.book_id = x.book_id AND a.l = x.lemma AND a.p = x.pos"""
 
 
-def _shaped(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    lexicon = stored(V.build_lexicon(S.counts(spark, sf)), "lexicon")
-    return T.shape_tokens(S.full_tokens(spark, sf), lexicon), lexicon
+def _shaped(spark: SparkSession, sf: str) -> DataFrame:
+    vocab = V.in_chapters(V.entries(S.counts(spark, sf)))
+    return T.shape_texts(S.paragraphs(spark, sf), vocab, S.forms(spark))
 
 
 @query("t3_shape_tokens", "SELECT * REPLACE (coalesce(ws, false) AS ws) FROM shaped")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _shaped(spark, sf)[0].withColumn("ws", F.coalesce("ws", F.lit(False)))
+    return _shaped(spark, sf).withColumn("ws", F.coalesce("ws", F.lit(False)))
 
 
 @query("t4_is_tappable", """
     SELECT book_id, chapter_index, count(*) FILTER (t IS NOT NULL) AS tappable, count(*) AS tokens FROM shaped GROUP BY ALL""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return _shaped(spark, sf)[0].groupBy("book_id", "chapter_index").agg(
+    return _shaped(spark, sf).groupBy("book_id", "chapter_index").agg(
         F.count_if(T.is_tappable()).alias("tappable"), F.count(F.lit(1)).alias("tokens")
     )
 
@@ -278,11 +278,11 @@ CTES["lists"] = f"""
 def _(spark: SparkSession, sf: str) -> DataFrame:
     from lectura.operators.teach import is_teachable
 
-    lexicon = S.lexicon(S.counts(spark, sf))
-    gloss_only = lexicon.filter(~is_teachable() & ~F.col("pos").isin(*K.CLOSED_CLASS_POS)).select(
-        "book_id", F.col("first_chapter").alias("chapter_index"), "key"
-    )
-    return T.merge_runs(T.shape_tokens(S.full_tokens(spark, sf), lexicon), gloss_only, lexicon)
+    entries, _ = S.shelf(S.counts(spark, sf))
+    listed = ~is_teachable() & ~F.col("pos").isin(*K.CLOSED_CLASS_POS)
+    vocab = V.in_chapters(entries.select("book_id", "lemma", "pos", "key", "first_chapter", "de", listed.alias("_listed"), "places")).withColumn(
+        "marked", F.col("_listed") & (F.col("first_chapter") == F.col("chapter_index")))
+    return T.runs_of(T.shape_texts(S.paragraphs(spark, sf), vocab, S.forms(spark), ("marked", "de")))
 
 
 @query("t6_chapter_keys", """
@@ -291,10 +291,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     from lectura.operators.teach import assign_to_chapters, classify_all
 
-    lexicon = S.lexicon(S.counts(spark, sf))
+    entries, _ = S.shelf(S.counts(spark, sf))
+    lexicon = entries.drop("places")
     nothing = lexicon.select(F.col("lemma").alias("lemma_id")).filter("false")
     baked = assign_to_chapters(classify_all(lexicon, nothing))
-    return T.chapter_keys(T.shape_tokens(S.full_tokens(spark, sf), lexicon), baked)
+    return T.chapter_keys(T.shape_texts(S.paragraphs(spark, sf), V.in_chapters(entries), S.forms(spark)), baked)
 
 
 @query("t7_lexicon_slice", """
@@ -302,10 +303,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     SELECT book_id, key, lemma, pos FROM lexk JOIN k USING (book_id, key)""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     counted = S.counts(spark, sf)
-    lexicon = stored(V.build_lexicon(counted), "lexicon")
-    opened = S.readings(spark, sf).select("book_id", "chapter_index").distinct()
-    keys = V.chapter_vocabulary(counted, lexicon).join(opened, ["book_id", "chapter_index"], "left_semi")
-    return T.lexicon_slice(lexicon, keys).select("book_id", "key", "lemma", "pos")
+    opened = stored(S.readings(spark, sf).select("book_id", "chapter_index").distinct(), "opened")
+    keys = V.in_chapters(V.entries(counted)).join(opened, ["book_id", "chapter_index"], "left_semi")
+    return keys.select("book_id", "key", "lemma", "pos").distinct()
 
 
 # --- vocabulary --------------------------------------------------------------------------------
@@ -317,7 +317,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     counted = S.counts(spark, sf)
     totals = V.chapter_totals(counted)
-    return V.chapter_vocabulary(counted, V.build_lexicon(counted)).union(
+    return V.in_chapters(V.entries(counted)).select("book_id", "chapter_index", "key", "n").union(
         totals.select("book_id", "chapter_index", F.lit("(names)"), "propn_tokens")
     ).union(totals.select("book_id", "chapter_index", F.lit("(words)"), "token_count"))
 

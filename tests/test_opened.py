@@ -123,3 +123,29 @@ def test_shelves_match_the_plain_joins(spark, tables, monkeypatch):
     assert rows(got, *books.columns) == rows(books, *books.columns)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.index("FlatMapCoGroupsInArrow") < plan.index("Exchange"), "no row of the finished table is shuffled"
+
+
+def test_texts_meet_their_keys_by_chapter(spark):
+    """Shapes and runs equal the joins of all tokens with the lexicon, and no token is shuffled."""
+    from lectura.operators import tokens as T
+    from lectura.session import literal_table
+
+    texts = [("b", 0, 0, "  El sol, la luna; El Sol 12 Ana."), ("b", 0, 2, "¿Qué? sol"), ("b", 1, 0, "Ana ve la Luna y el mar"), ("c", 0, 0, "sol sol"), ("c", 4, 0, "12 ;")]
+    paragraphs = spark.createDataFrame(texts, "book_id string, chapter_index long, paragraph_index int, text string")
+    forms = literal_table(spark, [("el", "el", "DET"), ("la", "el", "DET")], "form, lemma, pos")
+    entries = V.entries(V.count_forms(T.words(paragraphs), forms)).withColumn("de", F.concat(F.lit("de:"), "lemma"))
+    lexicon = entries.drop("places")
+    plain = T.shape_tokens(T.annotate(T.mark_first_words(T.tokenize(paragraphs)), forms), lexicon)
+    vocab = V.in_chapters(entries).withColumn("marked", (F.col("lemma") != "el") & (F.col("first_chapter") == F.col("chapter_index")))
+    found = T.shape_texts(paragraphs, vocab, forms, ("marked", "de"))
+    assert rows(found, *plain.columns) == rows(plain, *plain.columns) and plain.filter("t IS NOT NULL").count() > 8
+    listed = vocab.filter("marked").select("book_id", "chapter_index", "key")
+    runs = T.merge_runs(plain, listed, lexicon)
+    assert rows(T.runs_of(found), *runs.columns) == rows(runs, *runs.columns)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = T.runs_of(T.shape_texts(paragraphs, vocab, forms, ("marked", "de")))._jdf.queryExecution().executedPlan().toString()
+        assert not any("Exchange" in line and ("token_index" in line or "run_index" in line) for line in plan.splitlines())
+        assert plan.count("REPARTITION_BY_COL") == 1 and plan.count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
