@@ -72,6 +72,54 @@ def test_opened_words_match_the_plain_joins(spark, tables):
     assert rows(G.covered_share(open_, found), *share.columns) == rows(share, *share.columns)
 
 
+def plain_of(tables):
+    counts, opened, known, carded = tables
+    return C.classify_opened(words_of(counts), opened, known, carded, empty=True), words_of(counts), (opened, known, carded)
+
+
+def test_sets_of_opened_chapters_match_their_rows(spark, tables):
+    """Arrays per chapter give what the rows per reader give; nobody knows what a reader without any state is shown."""
+    counts = tables[0]
+    full, words, state = plain_of(tables)
+    found = full.filter("key IS NOT NULL")
+    live = C.order_teach_set(found)
+    assert rows(C.select_opened(words, *state), *live.columns) == rows(live, *live.columns) and live.filter("user_id = 3").count() > 50
+    for fixed in (F.col("first_chapter") == F.col("chapter_index"), F.lit(None).cast("boolean")):
+        drift = C.drift_of(found, F.col("teachable") & fixed)
+        assert rows(C.drift_of_opened(words, *state, F.col("teachable") & fixed), *drift.columns) == rows(drift, *drift.columns)
+    chapters = counts.select("book_id", "chapter_index").distinct().withColumn("paragraph_count", F.lit(7))
+    first_only = F.when(F.col("debut") == 0, 0)
+    for cap in (2, 18):
+        cut = C.segments_of(full, chapters, cap)
+        assert rows(C.opened_segments(words, *state, chapters, cap, empty=True), *cut.columns) == rows(cut, *cut.columns)
+        cut = C.segments_of(found.filter("part = 'teach'").withColumn("debut", first_only), chapters, cap)
+        assert rows(C.opened_segments(words.withColumn("debut", first_only), *state, chapters, cap), *cut.columns) == rows(cut, *cut.columns)
+
+
+def test_last_offered_entry_of_every_lemma(spark, tables, monkeypatch):
+    monkeypatch.setattr(C, "CHAPTERS_TOGETHER", 2)
+    full, words, state = plain_of(tables)
+    want = full.filter("key IS NOT NULL AND NOT is_carded").groupBy("user_id", "lemma_id").agg(F.max(F.struct("book_id", "key", "pos")).alias("_r"))
+    got = C.last_offered(words, state[0], state[2], ("pos",))
+    columns = ["user_id", "lemma_id", "book_id", "key", "pos"]
+    assert rows(got, *columns) == rows(want.select("user_id", "lemma_id", "_r.*"), *columns) and got.count() > 100
+
+
+def test_rows_of_readers_are_not_sorted(spark, tables):
+    """A reader's words come out of the chapters' arrays: above the join with the readers nothing sorts, shuffles or gathers them."""
+    counts = tables[0]
+    _, words, state = plain_of(tables)
+    chapters = counts.select("book_id", "chapter_index", F.lit(7).alias("paragraph_count")).distinct()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (C.select_opened(words, *state), C.drift_of_opened(words, *state, F.col("teachable")), C.opened_segments(words, *state, chapters)):
+            above = df._jdf.queryExecution().executedPlan().toString().split("user_id#", 1)[0]
+            assert "Join" in df._jdf.queryExecution().executedPlan().toString()
+            assert not any(f"{step} " in above for step in ("Sort", "Exchange", "Window", "ObjectHashAggregate"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_words_are_shuffled_by_chapter_only(spark, tables):
     """Readers meet the words where the chapters lie: nothing above that join deals out rows of readers and words."""
     counts, opened, known, carded = tables
