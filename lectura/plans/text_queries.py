@@ -245,7 +245,7 @@ CTES["shaped"] = """
 
 def _shaped(spark: SparkSession, sf: str) -> DataFrame:
     vocab = V.in_chapters(V.entries(S.counts(spark, sf)))
-    return T.shape_texts(S.paragraphs(spark, sf), vocab, S.forms(spark))
+    return T.shape_texts(S.paragraphs(spark, sf), vocab, S.forms(spark), parts=S.parts(spark, sf))
 
 
 @query("t3_shape_tokens", "SELECT * REPLACE (coalesce(ws, false) AS ws) FROM shaped")
@@ -282,7 +282,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     listed = ~is_teachable() & ~F.col("pos").isin(*K.CLOSED_CLASS_POS)
     vocab = V.in_chapters(entries.select("book_id", "lemma", "pos", "key", "first_chapter", "de", listed.alias("_listed"), "places")).withColumn(
         "marked", F.col("_listed") & (F.col("first_chapter") == F.col("chapter_index")))
-    return T.runs_of(T.shape_texts(S.paragraphs(spark, sf), vocab, S.forms(spark), ("marked", "de")))
+    return T.runs_of(T.shape_texts(S.paragraphs(spark, sf), vocab, S.forms(spark), ("marked", "de"), S.parts(spark, sf)))
 
 
 @query("t6_chapter_keys", """
@@ -295,7 +295,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     lexicon = entries.drop("places")
     nothing = lexicon.select(F.col("lemma").alias("lemma_id")).filter("false")
     baked = assign_to_chapters(classify_all(lexicon, nothing))
-    return T.chapter_keys(T.shape_texts(S.paragraphs(spark, sf), V.in_chapters(entries), S.forms(spark)), baked)
+    return T.chapter_keys(T.shape_texts(S.paragraphs(spark, sf), V.in_chapters(entries), S.forms(spark), parts=S.parts(spark, sf)), baked)
 
 
 @query("t7_lexicon_slice", """

@@ -150,6 +150,39 @@ def test_counts_and_ranks_shuffle_no_words(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_ceilings_and_sweeps_of_places_match_the_plain_joins(spark, tables):
+    counts, _, known, _ = tables
+    lexicon = entries_of(counts).drop("places")
+    vocab, totals = V.chapter_vocabulary(counts, lexicon), V.chapter_totals(counts)
+    ceiling, left = G.coverage_ceiling(totals, vocab, lexicon)
+    words = V.in_chapters(V.places(counts).withColumns({"zipf": F.lit(0.0), "mexicanism": F.lit(False)}))
+    for parts in (None, 5):
+        assert rows(G.ceiling_of(totals, words, parts), *ceiling.columns) == rows(ceiling, *ceiling.columns)
+    assert rows(G.left_over_of(lexicon), *left.columns) == rows(left, *left.columns) and left.count() > 3
+    plain = G.token_partition(vocab, totals)
+    assert rows(G.token_partition(words, totals), *plain.columns) == rows(plain, *plain.columns)
+    classes = C.classify_all(lexicon, known)
+    over = C.over_cap(C.assign_to_chapters(classes), 3)
+    assert rows(C.cards_over_cap(classes, 3), *over.columns) == rows(over, *over.columns) and over.count() > 2
+
+
+def test_large_tables_are_dealt_to_tasks_of_bounded_size(spark, tables, monkeypatch):
+    """Parts are named by the size of what they become, which adaptive execution then does not join."""
+    from lectura import session
+
+    texts = spark.range(40).select(F.col("id").alias("book_id"), F.repeat(F.lit("x"), F.lit(100)).alias("text"))
+    assert session.parts_of_texts(texts) is None and session.parts_of_rows(texts) is None
+    assert session.parts_of_texts(texts.limit(0)) is None
+    monkeypatch.setattr(session, "CHARACTERS_TOGETHER", 100)
+    monkeypatch.setattr(session, "ROWS_TOGETHER", 4)
+    assert session.parts_of_texts(texts) == 40 and session.parts_of_rows(texts) == 10
+    assert session.deal(texts, ["book_id"], 40).rdd.getNumPartitions() == 40
+    monkeypatch.setattr(session, "ROWS_TOGETHER", 20)
+    counts = tables[0]
+    lexicon, found = V.build_lexicon(counts), V.entries(counts)
+    assert found.count() == lexicon.count() and rows(found, *lexicon.columns) == rows(lexicon, *lexicon.columns)
+
+
 def test_shelves_match_the_plain_joins(spark, tables, monkeypatch):
     for name, value in (("READERS_TOGETHER", 2), ("CHAPTERS_TOGETHER", 2), ("LEMMAS_TOGETHER", 7)):
         monkeypatch.setattr(G, name, value)
