@@ -49,6 +49,15 @@ def fingerprint(text: str, width: int = SHINGLE) -> int:
     return int(np.packbits(set_bits * 2 > len(last), bitorder="little").view("<u8")[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, unsigned: those set in over half of the hashes."""
+    set_bits, block = np.zeros(64, dtype=np.int64), 1 << 16
+    for k in range(0, len(hashes), block):
+        part = np.ascontiguousarray(hashes[k:k + block], dtype="<u8")
+        set_bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(set_bits * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` and the fingerprint of every row, as a signed 64-bit number, stored."""
     def of_texts(texts: list[str]) -> dict:

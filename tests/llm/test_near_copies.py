@@ -73,3 +73,18 @@ def test_chains_are_followed():
     sets = [shingles(" ".join(words[k * 60:k * 60 + 600])) for k in range(10)]
     links = list(set_links(sets, np.zeros((10, 1), dtype=np.int64)))
     assert len(links) == 9 and band_keys(sets[0]).shape == (near_copies.BANDS,)
+
+
+def test_the_trie_links_without_any_band(spark):
+    """The stage's candidates come from the trie of fingerprints too: texts that share no band are still compared and linked."""
+    import numpy as np
+    rnd = random.Random(5)
+    words = [f"w{rnd.randrange(5000)}" for _ in range(3000)]
+    rows = [(1, " ".join(words), "s"), (2, " ".join(words[:-1]), "s"), (3, " ".join(reversed(words)), "s")]
+    hashes = [shingles(t) for _, t, _ in rows]
+    prints = np.array([near_copies.majority(h) for h in hashes], dtype=np.uint64)
+    assert np.bitwise_count(prints[0] ^ prints[1]) <= 2 < np.bitwise_count(prints[0] ^ prints[2])
+    nodes = spark.createDataFrame([(k, int(p.view(np.int64))) for k, p in enumerate(prints)], "node long, fingerprint long")
+    assert [tuple(r) for r in near_copies.trie_edges(nodes).collect()] == [(1, 0)]
+    apart = np.arange(3 * near_copies.BANDS).reshape(3, -1)
+    assert list(set_links(hashes, apart)) == [] and list(set_links(hashes, apart, prints)) == [(0, 1)]
