@@ -356,17 +356,9 @@ CTES["sentence_words"] = rf"""
 def _(spark: SparkSession, sf: str) -> DataFrame:
     from lectura.operators.teach import is_teachable
 
-    counted = S.counts(spark, sf)
-    lexicon = S.lexicon(counted)
-    taught = lexicon.filter(is_teachable()).select("book_id", "key")
-    place = ["book_id", "chapter_index", "paragraph_index"]
-    debuts = V.debuts(counted, lexicon).withColumnRenamed("debut", "paragraph_index").join(taught, ["book_id", "key"], "left_semi")
-    first = debuts.groupBy("book_id", "key").agg(F.min(F.struct("chapter_index", "paragraph_index")).alias("_at")).select(
-        "book_id", "key", "_at.chapter_index", "_at.paragraph_index")
-    first = stored(first, "first-places")
-    paragraphs = S.paragraphs(spark, sf).join(first.select(*place).distinct(), place, "left_semi")
-    annotated = T.annotate(T.sentence_words(paragraphs), S.forms(spark))
-    return V.example_sentences(stored(V.keyed_sentences(annotated, first, lexicon), "sentences"), taught)
+    entries, _ = S.shelf(S.counts(spark, sf))
+    taught = stored(V.first_places(entries.filter(is_teachable())), "first-places")
+    return V.first_sentences(S.chapter_paragraphs(spark, sf), taught, S.forms(spark))
 
 
 @query("v6_attach_glosses", "SELECT book_id, lemma, pos, de, en, region_note, mexicanism FROM lex")

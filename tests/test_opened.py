@@ -230,3 +230,21 @@ def test_texts_meet_their_keys_by_chapter(spark):
         assert plan.count("REPARTITION_BY_COL") == 1 and plan.count("Exchange hashpartitioning") == 1
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_example_sentences_by_place(spark):
+    """First sentences equal those found among all sentences of every word, and no shuffled row of a word holds its sentence."""
+    from lectura.operators import tokens as T
+    from lectura.session import literal_table
+
+    texts = [("b", 0, 0, "El sol sale. La luna no. Ana ve el sol."), ("b", 0, 2, "Otra vez la luna. Y el mar azul."), ("b", 3, 0, "El mar. Ana ve la Luna."), ("c", 1, 0, "Sol. Mar y sol.")]
+    paragraphs = spark.createDataFrame(texts, "book_id string, chapter_index long, paragraph_index int, text string")
+    forms = literal_table(spark, [("el", "el", "DET"), ("la", "el", "DET")], "form, lemma, pos")
+    counts = V.count_forms(T.words(paragraphs), forms).localCheckpoint()
+    entries = V.entries(counts)
+    lexicon, places = entries.drop("places"), V.first_places(entries)
+    held = V.keyed_sentences(T.annotate(T.sentence_words(paragraphs), forms), places, lexicon)
+    plain = V.example_sentences(held, lexicon)
+    got = V.first_sentences(paragraphs, places, forms)
+    assert rows(got, *plain.columns) == rows(plain, *plain.columns) and got.count() == lexicon.count()
+    assert rows(got.filter("book_id = 'b'").join(lexicon.filter("lemma = 'mar'"), ["book_id", "key"]), "es") == [("Y el mar azul.",)]
