@@ -555,7 +555,7 @@ def _review_stream(spark: SparkSession, sf: str) -> DataFrame:
       ON c.user_id = f.user_id AND c.lemma_id = f.lemma_id AND f.i = c.n""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Newest state per card after the stream; equals the batch replay up to the watermark."""
-    out = W.run_to_table(W.stream_card_state(_review_stream(spark, sf)), shared_folder(spark, "cards"), "update")
+    out = W.run_cards(_review_stream(spark, sf), shared_folder(spark, "cards"))
     newest = out.groupBy("user_id", "lemma_id").agg(F.max_by(F.struct("stability", "difficulty", "reps", "lapses", "state"), "reps").alias("_c"))
     return newest.select("user_id", "lemma_id", "_c.*")
 
