@@ -567,7 +567,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     SELECT * FROM c WHERE plays >= 3 AND window_end <= (SELECT max(ts) FROM p) - INTERVAL 1 DAY""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     plays = _review_stream(spark, sf).select("user_id", F.col("lemma_id").alias("track_key"), "ts")
-    out = W.run_to_table(W.stream_candidates(plays), shared_folder(spark, "candidates"))
+    out = W.run_candidates(plays, shared_folder(spark, "candidates"))
     return out.select(
         F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"),
         "user_id", "track_key", "plays",
