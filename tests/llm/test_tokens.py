@@ -36,3 +36,10 @@ def test_forgetting_changes_nothing():
     small.units.limit = small.pieces.limit = 3
     for text in ("one two three four five", "five four six seven one", "two two nine ten eleven"):
         assert np.frombuffer(small.encode_bytes(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
+
+
+def test_a_worker_remembers_no_more_than_half_a_million_words_and_pieces():
+    encode = Encoder(public_tokenizers.path("byte_bpe_50k.json"), False)
+    for first in range(0, 800_000, 20_000):
+        encode.encode_bytes(" ".join(f"a{k}" for k in range(first, first + 20_000)))
+    assert sum(len(kept) + len(kept.older) for kept in (encode.units, encode.pieces)) < 560_000
