@@ -37,6 +37,14 @@ def reader_state(known: DataFrame, carded: DataFrame) -> DataFrame:
     )
 
 
+def state_of(cards: DataFrame, known: DataFrame, min_days: float = K.KNOWN_MIN_STABILITY_DAYS) -> DataFrame:
+    """``reader_state`` of ``known_state``, where each table is read once."""
+    matured = F.coalesce(srs.is_known(F.col("fsrs"), min_days), F.lit(False))
+    flags = cards.select(*READER_LEMMA, matured.alias("k"), F.lit(True).alias("c")).union(
+        known.select(*READER_LEMMA, F.lit(True).alias("k"), F.lit(False).alias("c")))
+    return flags.groupBy(*READER_LEMMA).agg(F.max("k").alias("is_known"), F.max("c").alias("is_carded"))
+
+
 def known_provenance(
     cards: DataFrame, known: DataFrame, min_days: float = K.KNOWN_MIN_STABILITY_DAYS
 ) -> DataFrame:

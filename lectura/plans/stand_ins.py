@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lectura import constants as K
 from lectura.operators import tokens as T
 from lectura.operators import vocab as V
+from lectura.operators.book_words import book_entries
 from lectura.session import deal, literal_table, parts_of_texts, spread, stored
 
 RANKED_LEMMAS = 100
@@ -148,6 +149,18 @@ def plain_shelf(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _with_threshold(stored(entries, "entries"))
 
 
+def whole_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(book_id, lemma, pos, book_count, first_chapter, chapters), names too, stored: the hub of plans that need no chapters."""
+    texts = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_index"), "text")
+    listed = {w: (w, pos) for pos, ws in K.CLOSED_CLASS_FORMS.items() for w in ws.split()}
+    return stored(book_entries(texts, listed, parts_of_texts(texts)), "books")
+
+
+def book_shelf(books: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``plain_shelf`` from ``whole_books``."""
+    return _with_threshold(books.filter(F.col("pos") != "PROPN"))
+
+
 def place_shelf(counted: DataFrame) -> DataFrame:
     """``plain_shelf`` with ``lemma|pos`` for key and the chapters of every entry, for plans that ask for words per chapter."""
     entries = V.places(counted).withColumn("key", F.concat_ws("|", "lemma", "pos"))
@@ -215,12 +228,12 @@ def cards(spark: SparkSession, sf_dir: str, words: DataFrame | None = None) -> D
         F.count(F.lit(1)).cast("int").alias("reps"),
         F.count_if(F.col("event_type") == "error").cast("int").alias("lapses"),
         F.sum(F.col("value").cast("decimal(12,2)")).cast("double").alias("stability"),
-        F.max_by("event_type", "event_id").alias("last_type"),
+        F.max_by(F.col("event_type") == "error", "event_id").alias("_failed"),
         F.min("ts").alias("created_at"), F.max("ts").alias("last_review"),
     )
     state = (
         F.when((F.col("reps") == 1) & (F.col("stability") < 5), 0).when(F.col("reps") == 1, 1)
-        .when(F.col("last_type") == "error", 3).otherwise(2)
+        .when(F.col("_failed"), 3).otherwise(2)
     )
     days = F.floor(F.col("stability") / 10).cast("int")
     fsrs = F.struct(

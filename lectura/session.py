@@ -64,6 +64,11 @@ def deal(df: DataFrame, keys: Sequence[str], parts: int | None = None) -> DataFr
     return df.repartition(parts, *keys) if parts else df.repartition(*keys)
 
 
+def deal_in_order(df: DataFrame, keys: Sequence[str], parts: int | None = None) -> DataFrame:
+    """``deal`` by ranges of ``keys``: rows with equal keys stay together, and so do neighbours as far as they can."""
+    return df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+
+
 def parts_of_texts(texts: DataFrame, text: str = "text") -> int | None:
     """Tasks that hold about ``CHARACTERS_TOGETHER`` of a text column each; none named if there are no more than cores."""
     return _more_than_cores(texts, (texts.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0) / CHARACTERS_TOGETHER)
