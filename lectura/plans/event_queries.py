@@ -17,7 +17,7 @@ from lectura.operators import vocab as V
 from lectura.plans import stand_ins as S
 from lectura.plans.ctes import ACTION_OF, GRADE_OF, TIME, case
 from lectura.plans.registry import CTES, query
-from lectura.plans.study_queries import Shelf, Study
+from lectura.plans.study_queries import Books, Study
 from lectura.session import shared_folder
 from lectura.streaming import streams as W
 
@@ -169,11 +169,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         FROM (SELECT user_id, date_trunc('week', created_at) AS week, count(*) AS n FROM cardsw GROUP BY ALL) GROUP BY 1) wk USING (user_id) LEFT JOIN (SELECT user_id, book_id, count(DISTINCT chapter_index) AS n FROM readings GROUP BY ALL) o USING (user_id, book_id)
     LEFT JOIN (SELECT user_id, count(*) AS n FROM knownw GROUP BY 1) k USING (user_id) LEFT JOIN (SELECT user_id, count(*) AS n FROM cardsw GROUP BY 1) c USING (user_id)""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    shelf = Shelf(spark, sf)
-    found = D.reading_statistics(
-        N.known_provenance(shelf.cards, shelf.marks), shelf.cards, shelf.books(),
-        L.latest_positions(S.positions(spark, sf)),
-    )
+    books = Books(spark, sf)
+    found = D.reading_statistics(N.known_provenance(books.cards, books.marks), books.cards, books.rows(), books.readings)
     week = F.transform("by_week", lambda w: F.concat_ws(" ", w["week_start"].cast("string"), w["n"].cast("string")))
     return found.withColumn("by_week", F.array_join(week, ", "))
 
