@@ -131,11 +131,6 @@ def with_gloss_columns(lexicon: DataFrame) -> DataFrame:
     )
 
 
-def lexicon(counted: DataFrame) -> DataFrame:
-    freq = V.corpus_zipf(V.lexicon_counts(counted))
-    return stored(with_gloss_columns(V.with_zipf(V.build_lexicon(counted), freq)), "lexicon")
-
-
 def shelf(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries with their chapters and glosses, uses of every lemma), for plans that ask no more of ``zipf`` than whether
     it reaches the threshold: it is 0.0 below, as the few lemmas above are all that is joined to the entries."""
@@ -161,16 +156,23 @@ def book_shelf(books: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _with_threshold(books.filter(F.col("pos") != "PROPN"))
 
 
+def keyed_shelf(books: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``book_shelf`` with keys; ``exact`` gives every entry its own ``zipf``."""
+    return _with_threshold(V.with_keys(books.filter(F.col("pos") != "PROPN")), exact)
+
+
 def place_shelf(counted: DataFrame) -> DataFrame:
     """``plain_shelf`` with ``lemma|pos`` for key and the chapters of every entry, for plans that ask for words per chapter."""
     entries = V.places(counted).withColumn("key", F.concat_ws("|", "lemma", "pos"))
     return _with_threshold(stored(entries, "entries"))[0]
 
 
-def _with_threshold(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _with_threshold(entries: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     uses = stored(V.lemma_uses(entries), "uses")
-    frequent = stored(V.zipf_of_uses(uses).filter(F.round("zipf", 2) >= K.ZIPF_THRESHOLD), "frequent")
-    return with_gloss_columns(V.with_zipf(entries, frequent)), uses
+    found = V.zipf_of_uses(uses)
+    if not exact:
+        found = stored(found.filter(F.round("zipf", 2) >= K.ZIPF_THRESHOLD), "frequent")
+    return with_gloss_columns(V.with_zipf(entries, found)), uses
 
 
 def unkeyed_lexicon(counted: DataFrame) -> DataFrame:

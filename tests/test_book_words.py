@@ -55,7 +55,7 @@ def test_state_of_is_the_reader_state(spark):
     assert sorted(N.state_of(cards, marks).collect()) == sorted(want.collect())
 
 
-@pytest.mark.parametrize("name", ["g3_book_coverage", "g5_coverage_band", "d9_reading_statistics"])
+@pytest.mark.parametrize("name", ["g3_book_coverage", "g5_coverage_band", "d9_reading_statistics", "r7_stratified_sample"])
 def test_whole_books_need_no_row_per_chapter_and_word(spark, monkeypatch, name):
     def none(*_):
         raise AssertionError("words were counted per chapter")
