@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from lectura import constants as K
 from lectura.functions import text as X
 from lectura.operators import documents as D
+from lectura.operators import shapes as H
 from lectura.operators import tokens as T
 from lectura.operators import vocab as V
 from lectura.plans import stand_ins as S
 from lectura.plans.ctes import CLOSED
 from lectura.plans.registry import CTES, query
-from lectura.session import stored
+from lectura.session import parts_of_texts, stored
 
 # Markup removal as SQL; one definition for all page queries.
 CTES["prose"] = r"""
@@ -243,9 +244,19 @@ CTES["shaped"] = """
     FROM anntoks a LEFT JOIN lexk x ON a.book_id = x.book_id AND a.l = x.lemma AND a.p = x.pos"""
 
 
+def _parts(spark: SparkSession, sf: str) -> tuple[DataFrame, int, DataFrame]:
+    """(texts in parts, how many, the lexicon with the parts that use an entry)."""
+    dealt, parts = H.parted(S.paragraphs(spark, sf))
+    return dealt, parts, H.part_entries(H.part_counts(dealt, parts, S.listed_forms()))
+
+
+def _keyed_parts(spark: SparkSession, sf: str) -> DataFrame:
+    dealt, parts, entries = _parts(spark, sf)
+    return H.part_rows(dealt, parts, H.in_parts(entries.select("book_id", "lemma", "pos", "key", "places")))
+
+
 def _shaped(spark: SparkSession, sf: str) -> DataFrame:
-    vocab = V.in_chapters(V.entries(S.counts(spark, sf)))
-    return T.shape_texts(S.paragraphs(spark, sf), vocab, S.forms(spark), parts=S.parts(spark, sf))
+    return H.shape_parts(_keyed_parts(spark, sf), S.listed_forms())
 
 
 @query("t3_shape_tokens", "SELECT * REPLACE (coalesce(ws, false) AS ws) FROM shaped")
@@ -282,7 +293,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     listed = ~is_teachable() & ~F.col("pos").isin(*K.CLOSED_CLASS_POS)
     vocab = V.in_chapters(entries.select("book_id", "lemma", "pos", "key", "first_chapter", "de", listed.alias("_listed"), "places")).withColumn(
         "marked", F.col("_listed") & (F.col("first_chapter") == F.col("chapter_index")))
-    return T.runs_of(T.shape_texts(S.paragraphs(spark, sf), vocab, S.forms(spark), ("marked", "de"), S.parts(spark, sf)))
+    return T.runs_of(T.shape_texts(S.paragraphs(spark, sf), vocab, S.forms(spark), ("marked", "de"), parts_of_texts(S.table(spark, sf, "documents"))))
 
 
 @query("t6_chapter_keys", """
@@ -295,7 +306,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     lexicon = entries.drop("places")
     nothing = lexicon.select(F.col("lemma").alias("lemma_id")).filter("false")
     baked = assign_to_chapters(classify_all(lexicon, nothing))
-    return T.chapter_keys(T.shape_texts(S.paragraphs(spark, sf), V.in_chapters(entries), S.forms(spark), parts=S.parts(spark, sf)), baked)
+    return T.chapter_keys(T.shape_texts(S.paragraphs(spark, sf), V.in_chapters(entries), S.forms(spark), parts=parts_of_texts(S.table(spark, sf, "documents"))), baked)
 
 
 @query("t7_lexicon_slice", """
