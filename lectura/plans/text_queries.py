@@ -289,11 +289,11 @@ CTES["lists"] = f"""
 def _(spark: SparkSession, sf: str) -> DataFrame:
     from lectura.operators.teach import is_teachable
 
-    entries, _ = S.shelf(S.counts(spark, sf))
+    dealt, parts, found = _parts(spark, sf)
     listed = ~is_teachable() & ~F.col("pos").isin(*K.CLOSED_CLASS_POS)
-    vocab = V.in_chapters(entries.select("book_id", "lemma", "pos", "key", "first_chapter", "de", listed.alias("_listed"), "places")).withColumn(
-        "marked", F.col("_listed") & (F.col("first_chapter") == F.col("chapter_index")))
-    return T.runs_of(T.shape_texts(S.paragraphs(spark, sf), vocab, S.forms(spark), ("marked", "de"), parts_of_texts(S.table(spark, sf, "documents"))))
+    words = H.in_parts(S.with_threshold(found).select(
+        "book_id", "lemma", "pos", "key", F.when(listed, F.col("first_chapter")).alias("listed"), F.when(listed, F.col("de")).alias("de"), "places"))
+    return H.runs_of_parts(H.part_rows(dealt, parts, words, ("listed", "de")), S.listed_forms())
 
 
 @query("t6_chapter_keys", """
