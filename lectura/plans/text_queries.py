@@ -14,7 +14,7 @@ from lectura.operators import vocab as V
 from lectura.plans import stand_ins as S
 from lectura.plans.ctes import CLOSED
 from lectura.plans.registry import CTES, query
-from lectura.session import parts_of_texts, stored
+from lectura.session import stored
 
 # Markup removal as SQL; one definition for all page queries.
 CTES["prose"] = r"""
@@ -300,13 +300,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     SELECT book_id, chapter_index, t AS key FROM shaped WHERE t IS NOT NULL
     UNION SELECT book_id, chapter_index, key FROM lists WHERE part = 'gloss_only'""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    from lectura.operators.teach import assign_to_chapters, classify_all
-
-    entries, _ = S.shelf(S.counts(spark, sf))
-    lexicon = entries.drop("places")
-    nothing = lexicon.select(F.col("lemma").alias("lemma_id")).filter("false")
-    baked = assign_to_chapters(classify_all(lexicon, nothing))
-    return T.chapter_keys(T.shape_texts(S.paragraphs(spark, sf), V.in_chapters(entries), S.forms(spark), parts=parts_of_texts(S.table(spark, sf, "documents"))), baked)
+    return H.keys_of_parts(_keyed_parts(spark, sf), S.listed_forms())
 
 
 @query("t7_lexicon_slice", """
